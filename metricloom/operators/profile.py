@@ -214,3 +214,181 @@ def profile(
         (dated & ~constant).alias("is_date_candidate"),
         category.alias("is_category_candidate"),
     )
+
+
+def semantic_types(profile_frame: DataFrame) -> DataFrame:
+    """Business meaning of each column from its name tokens, type and distinct count."""
+    spaced = F.regexp_replace("column", "([a-z0-9])([A-Z])", "$1_$2")
+    tokens = F.split(F.lower(spaced), "[^a-z0-9]+")
+
+    def has(words: Sequence[str]) -> Column:
+        return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
+
+    kind, distinct, rows = F.col("inferred_type"), F.col("unique_count"), F.col("row_count")
+    discrete = (distinct <= 20) & (distinct <= F.greatest(F.lit(2), F.floor(rows / 5)))
+    semantic = (
+        F.when(has(GEOGRAPHY_TOKENS), "GEOGRAPHIC")
+        .when(kind == "date/time", "TEMPORAL")
+        .when(kind == "boolean", "BOOLEAN_FLAG")
+        .when(kind == "identifier", "IDENTIFIER")
+        .when((kind == "categorical") & has(ORDINAL_TOKENS), "CATEGORICAL_ORDINAL")
+        .when(kind == "categorical", "CATEGORICAL_NOMINAL")
+        .when((kind == "numeric") & discrete, "NUMERIC_DISCRETE")
+        .when(kind == "numeric", "NUMERIC_CONTINUOUS")
+        .when(kind == "free text", "FREE_TEXT")
+        .otherwise("EMPTY")
+    )
+    return profile_frame.withColumn("semantic_type", semantic)
+
+
+def value_catalog(table: Table, columns: Sequence[str], limit: int = 20) -> DataFrame:
+    """First values of each category column in label order, with a truncation flag.
+
+    The rank filter becomes a partial group limit, so a column with very many values
+    only ships ``limit`` of them per task.
+    """
+    values = distinct_values(table, columns)
+    order = Window.partitionBy("ordinal").orderBy(F.lower("value"), "value")
+    counts = values.groupBy("ordinal").agg(F.count("*").alias("distinct_count"))
+    return (
+        values.withColumn("position", F.row_number().over(order))
+        .where(F.col("position") <= limit)
+        .join(F.broadcast(counts), "ordinal")  # one row per column
+        .withColumn("truncated", F.col("distinct_count") > limit)
+        .select(
+            "ordinal", "column", "position", "value", "value_count", "distinct_count", "truncated"
+        )
+    )
+
+
+def dictionary(profile_frame: DataFrame, kpis: DataFrame | None = None) -> DataFrame:
+    """Data dictionary with a running token per kind: N1, C1, D1, B1, O1 and M1 for KPIs."""
+    kind = F.col("inferred_type")
+    letter = (
+        F.when(kind == "numeric", "N")
+        .when(kind == "categorical", "C")
+        .when(kind == "date/time", "D")
+        .when(kind == "boolean", "B")
+        .otherwise("O")
+    )
+    per_letter = Window.partitionBy("letter").orderBy("ordinal")
+    columns = profile_frame.withColumn("letter", letter).select(
+        F.concat("letter", F.row_number().over(per_letter).cast("string")).alias("token"),
+        F.col("column").alias("name"),
+        F.col("inferred_type").alias("kind"),
+        "missing_count",
+        "unique_count",
+        "minimum",
+        "maximum",
+        "mean",
+        "earliest",
+        "latest",
+    )
+    if kpis is None:
+        return columns
+    place = Window.partitionBy(F.lit(0)).orderBy(F.desc("is_primary"), "name")
+    metrics = kpis.select(
+        F.concat(F.lit("M"), F.row_number().over(place).cast("string")).alias("token"),
+        "name",
+        F.lit("configured_kpi").alias("kind"),
+    )
+    return columns.unionByName(metrics, allowMissingColumns=True)
+
+
+def profile_summary(profile_frame: DataFrame) -> DataFrame:
+    """All columns as one JSON document; its size grows with columns, not rows."""
+    entry = F.struct(
+        "ordinal", "column", "inferred_type", "missing_count", "unique_count", "is_constant"
+    )
+    return profile_frame.agg(
+        F.to_json(
+            F.struct(
+                F.max("row_count").alias("row_count"),
+                F.count("*").alias("column_count"),
+                F.sort_array(F.collect_list(entry)).alias("columns"),
+            )
+        ).alias("summary")
+    )
+
+
+def numeric_summary(profile_frame: DataFrame, limit: int = 40) -> DataFrame:
+    """Varying numeric columns that do not look like identifiers, at most 40."""
+    spaced = F.regexp_replace("column", "([a-z0-9])([A-Z])", "$1_$2")
+    tokens = F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda t: t != "")
+    last = F.element_at(tokens, -1)
+    identifier = F.arrays_overlap(
+        tokens, F.array(*[F.lit(t) for t in IDENTIFIER_TOKENS])
+    ) | last.isin(*IDENTIFIER_LAST_TOKENS)
+    rows = profile_frame.where(F.col("is_kpi_candidate") & ~identifier)
+    return rows.orderBy("ordinal").limit(limit).select(
+        "ordinal",
+        "column",
+        "missing_count",
+        "unique_count",
+        F.round("minimum", 6).alias("minimum"),
+        F.round("maximum", 6).alias("maximum"),
+        F.round("mean", 6).alias("mean"),
+    )
+
+
+def visual_summary(profile_frame: DataFrame) -> DataFrame:
+    return semantic_types(profile_frame).select(
+        "ordinal", "column", "semantic_type", "unique_count", "missing_count"
+    )
+
+
+def measure_catalog(profile_frame: DataFrame, kpis: DataFrame, limit: int = 50) -> DataFrame:
+    """Configured KPIs, the record count, then numeric columns no KPI uses."""
+    used = kpis.select(F.explode("source_columns").alias("_c")).distinct()
+    configured = kpis.select(
+        F.lit(0).alias("_b"),
+        F.when(F.col("is_primary"), 0).otherwise(1).alias("_o"),
+        F.concat(F.lit("metric:"), "metric_id").alias("selector"),
+        F.col("name").alias("label"),
+        F.lit("configured_kpi").alias("role"),
+        "aggregation",
+        "calculation_level",
+    )
+    records = kpis.limit(1).select(
+        F.lit(1).alias("_b"),
+        F.lit(0).alias("_o"),
+        F.lit("count:records").alias("selector"),
+        F.lit("Record count").alias("label"),
+        F.lit("record_count").alias("role"),
+        F.lit("count").alias("aggregation"),
+        F.lit("aggregate").alias("calculation_level"),
+    )
+    free = profile_frame.where("is_kpi_candidate").join(
+        F.broadcast(used), F.col("column") == F.col("_c"), "left_anti"
+    )
+    columns = free.select(
+        F.lit(2).alias("_b"),
+        F.col("ordinal").alias("_o"),
+        F.concat(F.lit("column:"), "column").alias("selector"),
+        F.col("column").alias("label"),
+        F.lit("source_numeric").alias("role"),
+        F.lit("unknown").alias("aggregation"),
+        F.lit("row").alias("calculation_level"),
+    )
+    merged = configured.unionByName(records).unionByName(columns)
+    return merged.orderBy("_b", "_o", "label").limit(limit).drop("_b", "_o")
+
+
+def preview_rows(table: Table, limit: int = 5) -> DataFrame:
+    """First rows in row-key order."""
+    if not table.row_key:
+        raise ValueError("A preview follows row order and needs a row key.")
+    return table.df.orderBy(table.row_key).limit(limit)
+
+
+def metric_name(operation: str, left: str, right: str) -> str:
+    """Readable name of a two-column operation."""
+    return {
+        "add": f"{left} plus {right}",
+        "subtract": f"{left} minus {right}",
+        "multiply": f"{left} times {right}",
+        "ratio": f"{left} per {right}",
+        "percentage_ratio": f"{left} as percent of {right}",
+        "percentage_difference": f"{left} percent difference from {right}",
+        "margin_percentage": f"{left} margin after {right}",
+    }[operation]
