@@ -38,7 +38,8 @@ def strip(c: Column) -> Column:
 
 
 def collapse_spaces(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    """Single spaces instead of any run of (Unicode) white space."""
+    return F.btrim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def is_missing_text(c: Column) -> Column:

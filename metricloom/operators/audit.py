@@ -43,12 +43,12 @@ ACTION_WORDS = (
 )
 NUMERIC_SYMBOLS = "%$€£¥₹"
 NUMBER_TOKEN = (
-    r"(?<![\w])[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?(?![\w])"
+    r"(?U)(?<![\w])[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?(?![\w])"
 )
 SECRET_ASSIGNMENT = (
-    r"(?i)\b(password|passwd|token|api[_-]?key|secret)\b(\s*[:=]\s*)([^\s,;]+)"
+    r"(?iuU)\b(password|passwd|token|api[_-]?key|secret)\b(\s*[:=]\s*)([^\s,;]+)"
 )
-BEARER = r"(?i)\bbearer\s+[a-z0-9._~+\-/]+=*"
+BEARER = r"(?iuU)\bbearer\s+[a-z0-9._~+\-/]+=*"
 BUSINESS_LEAVES = (
     "segment", "period", "region", "product", "category", "cohort", "series", "channel",
     "department", "territory", "market", "country", "state", "city", "branch",
@@ -95,7 +95,7 @@ FACT_PRIORITY = (
 
 
 def _words(words) -> str:
-    return r"(?i)\b(" + "|".join(words) + r")\b"
+    return r"(?iuU)\b(" + "|".join(words) + r")\b"
 
 
 def is_causal(text: Column) -> Column:
@@ -108,7 +108,7 @@ def has_action(text: Column) -> Column:
 
 def has_spelled_number(text: Column) -> Column:
     units = "|".join(UNIT_WORDS)
-    return text.rlike(r"(?i)\b(" + "|".join(NUMBER_WORDS) + r")\b\s+(?:" + units + r")\b")
+    return text.rlike(r"(?iuU)\b(" + "|".join(NUMBER_WORDS) + r")\b\s+(?:" + units + r")\b")
 
 
 def has_numeric_symbol(text: Column) -> Column:
@@ -116,7 +116,7 @@ def has_numeric_symbol(text: Column) -> Column:
 
 
 def number_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({NUMBER_TOKEN})"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(NUMBER_TOKEN), F.lit(0))
 
 
 def as_decimal(token: Column) -> Column:
@@ -170,7 +170,7 @@ def audit_commentary(
         ((F.length("_t") == 0) | (F.length("_t") > max_length)).alias("bad_length"),
         F.size("_tokens").alias("number_count"),
         unknown.alias("unverified_number"),
-        rest.rlike(r"\d").alias("leftover_digit"),
+        rest.rlike(r"(?U)\d").alias("leftover_digit"),
         has_numeric_symbol(symbols).alias("forbidden_symbol"),
         has_spelled_number(F.col("_c")).alias("spelled_number"),
         is_causal(F.col("_t")).alias("causal_language"),
@@ -188,7 +188,7 @@ def audit_commentary(
 def names_label(text: Column, labels: Column) -> Column:
     """Whether a text holds one of its labels as a whole word; true without labels."""
     quote = lambda s: F.concat(
-        F.lit(r"(?<!\w)"), F.regexp_replace(s, r"([^\w\s])", r"\\$1"), F.lit(r"(?!\w)")
+        F.lit(r"(?U)(?<!\w)"), F.regexp_replace(s, r"([^\w\s])", r"\\$1"), F.lit(r"(?!\w)")
     )
     found = F.exists(labels, lambda label: F.regexp(text, quote(label)))
     return (F.size(F.coalesce(labels, F.array().cast("array<string>"))) == 0) | found
@@ -205,7 +205,7 @@ def mentions_metric(text: Column, metric: Column) -> Column:
 def redact_numbers(text: Column) -> Column:
     """Replace numbers and number words, drop currency and percent signs."""
     out = F.regexp_replace(
-        text, r"(?<![A-Za-z])[-+]?\d+(?:[.,]\d+)*%?(?![A-Za-z])", "the configured threshold"
+        text, r"(?U)(?<![A-Za-z])[-+]?\d+(?:[.,]\d+)*%?(?![A-Za-z])", "the configured threshold"
     )
     out = F.regexp_replace(out, _words(NUMBER_WORDS), "the configured threshold")
     return F.regexp_replace(out, f"[{NUMERIC_SYMBOLS}]", "")
@@ -232,7 +232,7 @@ def interpretation_problems(text: Column) -> Column:
     return (
         F.when(F.length(flat) == 0, "empty")
         .when(F.length(flat) > MAX_INTERPRETATION, "too_long")
-        .when(flat.rlike(r"[0-9%$€£₹]"), "number_or_symbol")
+        .when(flat.rlike(r"(?U)[\d%$€£₹]"), "number_or_symbol")
     )
 
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from metricloom.operators.quantiles import exact_quantiles
 
 # Fields of a log row, in file order.
-SCHEMA = T._parse_datatype_string(
+SCHEMA = (
     "schema_version int, run_id string, workflow_run_id string, started_at_utc timestamp, "
     "task_type string, prompt_version string, dataset_id string, report_id string, "
     "story_id string, attempt int, model string, status string, wall_time_ms double, "

@@ -40,14 +40,15 @@ def read_latest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format(newest["format"]).load(f"{folder}/versions/{newest['version']}")
 
 
-def append_log(df: DataFrame, path: str, schema: T.StructType) -> None:
+def append_log(df: DataFrame, path: str, schema: str) -> None:
     """Append rows to a CSV log whose columns must match the schema exactly."""
-    if df.columns != schema.names:
+    names = [field.split()[0] for field in schema.split(", ")]
+    if df.columns != names:
         raise SourceError("The rows do not have the columns of the log.")
     safe_text(df).write.mode("append").option("header", True).csv(path)
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return (
         spark.read.option("header", True)
         .option("enforceSchema", False)
