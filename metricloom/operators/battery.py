@@ -9,8 +9,10 @@ aggregates.
 Segments come from category columns with at most ``MAX_SEGMENTS`` distinct values, the
 rule that makes a column a category in the profile; ``Battery`` checks it on the cells.
 Periods are bounded too: days of one month, or at most 23 months, or quarters, or
-years.  Windows and broadcasts over the merged groups therefore stay small whatever
-the table size.  Outlier rows are the only unbounded output and stay distributed.
+years.  The merged groups therefore number a few thousand rows whatever the table size;
+they are kept in one partition, so the analyses over them need no shuffle, and they
+carry the KPI settings, so they need no joins.  Outlier rows are the only unbounded
+output and stay distributed.
 """
 
 from __future__ import annotations
@@ -54,10 +56,21 @@ MAX_SEGMENTS = 50
 GRID_CATEGORIES = 3
 
 _KEY = ["metric_pos", "category_pos"]
+_SETTINGS = [
+    "metric_id",
+    "metric",
+    "aggregation",
+    "display_format",
+    "kpi_direction",
+    "target",
+    "target_scope",
+    "row_level",
+    "additive",
+]
 _META = (
     "metric_pos int, metric_id string, metric string, aggregation string, "
     "display_format string, kpi_direction string, target double, target_scope string, "
-    "row_level boolean, additive boolean, source_columns array<string>"
+    "row_level boolean, additive boolean"
 )
 
 
@@ -109,7 +122,6 @@ class Battery:
                 k.target_scope,
                 k.row_level,
                 k.aggregation == "sum",
-                list(k.source_columns),
             )
             for i, k in enumerate(self.registry.kpis)
         ]
@@ -267,26 +279,21 @@ class Battery:
         """Merged KPI values per metric and grouping; small, checkpointed."""
         metrics = F.array(*[F.lit(i) for i in range(len(self.measures))])
         keys = ["metric_pos", "level", "category_pos", "segment", "period"]
+        settings = ["status", "granularity"]
         spread = (
             self.cells.withColumn("metric_pos", F.explode(metrics))
-            .join(
-                self.temporal_fixed.select("metric_pos", "status", "granularity"), "metric_pos"
-            )
-            .withColumn("_l", F.explode(self._levels()))
-            .select("*", "_l.*")
-            .where(F.col("_set") == F.greatest(F.col("category_pos"), F.lit(0)))
-            if len(self.categories) > GRID_CATEGORIES
-            else self.cells.withColumn("metric_pos", F.explode(metrics))
-            .join(
-                self.temporal_fixed.select("metric_pos", "status", "granularity"), "metric_pos"
-            )
+            .join(self.temporal_fixed.select("metric_pos", *settings), "metric_pos")
             .withColumn("_l", F.explode(self._levels()))
             .select("*", "_l.*")
         )
+        if len(self.categories) > GRID_CATEGORIES:
+            # Cells of one grouping set serve one category; set 0 also the totals.
+            own = F.greatest(F.col("category_pos"), F.lit(0))
+            spread = spread.where(F.col("_set") == own)
         merged = (
             spread.withColumn("period", self._period())
             .where(~F.col("dated") | F.col("period").isNotNull())
-            .groupBy(*keys)
+            .groupBy(*keys, *settings)
             .agg(F.sum("n_rows").alias("n_rows"), *[s.merge() for s in self._states()])
         )
         for i, measure in enumerate(self.measures):
@@ -320,6 +327,7 @@ class Battery:
             named = F.when(F.col("category_pos") == j, F.lit(column)).otherwise(named)
         out = merged.select(
             *keys,
+            *settings,
             named.alias("category_column"),
             pick(lambda m: F.col(f"{m.prefix}_n")).alias("n"),
             "n_rows",
@@ -327,8 +335,9 @@ class Battery:
             pick(slot_or_null("breach", "long")).alias("breaches"),
             pick(slot_or_null("rows", "double")).alias("row_sum"),
             *[c.alias(name) for name, c in details.items()],
-        )
-        return checkpointed(out)
+        ).join(self.meta, "metric_pos")
+        # A few thousand rows at most: one partition spares every later shuffle.
+        return checkpointed(out).coalesce(1)
 
     def _with_median(
         self, merged: DataFrame, i: int, measure: Measure, slot: str, expression: Column
@@ -381,9 +390,8 @@ class Battery:
     @cached_property
     def _timed(self) -> DataFrame:
         """KPIs that have a time line."""
-        return F.broadcast(
-            self.temporal.where(F.col("status") == "ok").select("metric_pos", "granularity")
-        )
+        rows = self.totals.where(F.col("status") == "ok")
+        return rows.select("metric_pos", "granularity", *_SETTINGS)
 
     @cached_property
     def latest(self) -> DataFrame:
@@ -392,6 +400,8 @@ class Battery:
         back = Window.partitionBy("metric_pos").orderBy(F.desc("period"))
         ranked = self.periods.select(
             "metric_pos",
+            "granularity",
+            *_SETTINGS,
             F.col("period").alias("current_period"),
             F.col("value").alias("current_value"),
             F.col("n").alias("current_n"),
@@ -401,7 +411,7 @@ class Battery:
             F.count("*").over(Window.partitionBy("metric_pos")).alias("period_count"),
             F.row_number().over(back).alias("_back"),
         )
-        return ranked.where(F.col("_back") == 1).drop("_back").join(self._timed, "metric_pos")
+        return ranked.where(F.col("_back") == 1).drop("_back")
 
     @cached_property
     def _eligible_periods(self) -> DataFrame:
@@ -415,7 +425,7 @@ class Battery:
     # ---------------------------------------------------------------- whole table
 
     def snapshot(self) -> DataFrame:
-        rows = self.totals.join(self.meta, "metric_pos").where(F.col("value").isNotNull())
+        rows = self.totals.where(F.col("value").isNotNull())
         target, value = F.col("target"), F.col("value")
         scoped = target.isNotNull() & (F.col("target_scope") == "dataset")
         gap = F.when(scoped, clean(value - target))
@@ -495,7 +505,7 @@ class Battery:
         )
 
     def benchmark_breach(self) -> DataFrame:
-        rows = self.totals.join(self.meta, "metric_pos").where(
+        rows = self.totals.where(
             F.col("target").isNotNull()
             & (F.col("target_scope") == "row")
             & F.col("row_level")
@@ -524,13 +534,12 @@ class Battery:
     def period_values(self) -> DataFrame:
         """KPI per period, whatever the record count."""
         return (
-            self.periods.join(self._timed, "metric_pos")
-            .join(self.meta, "metric_pos")
+            self.periods
             .select("metric_id", "metric", "granularity", "period", "value", F.col("n").alias("record_count"))
         )
 
     def period_change(self) -> DataFrame:
-        rows = self.latest.join(self.meta, "metric_pos").where(
+        rows = self.latest.where(
             (F.col("period_count") >= 2)
             & (F.least("previous_n", "current_n") >= MIN_PERIOD_RECORDS)
             & F.col("previous_value").isNotNull()
@@ -572,6 +581,8 @@ class Battery:
         around = w.rowsBetween(-BASELINE_PERIODS, 0)
         rows = self._eligible_periods.select(
             "metric_pos",
+            "granularity",
+            *_SETTINGS,
             F.col("period").alias("current_period"),
             F.col("value").alias("current_value"),
             F.col("_count").alias("eligible_periods"),
@@ -585,12 +596,10 @@ class Battery:
             F.sum("n").over(around).alias("record_count"),
             F.min("n").over(around).alias("_low"),
         )
-        return rows.where(F.col("_x") == F.col("eligible_periods") - 1).join(
-            self._timed, "metric_pos"
-        )
+        return rows.where(F.col("_x") == F.col("eligible_periods") - 1)
 
     def period_baseline(self) -> DataFrame:
-        rows = self._baseline.join(self.meta, "metric_pos").where(
+        rows = self._baseline.where(
             (F.col("eligible_periods") >= 3)
             & (F.col("_valued") == F.col("baseline_period_count"))
             & F.col("current_value").isNotNull()
@@ -625,7 +634,7 @@ class Battery:
     @cached_property
     def _trend(self) -> DataFrame:
         x, y = F.col("_x").cast("double"), F.col("value")
-        return self._eligible_periods.groupBy("metric_pos").agg(
+        return self._eligible_periods.groupBy("metric_pos", "granularity", *_SETTINGS).agg(
             F.count("*").alias("eligible_periods"),
             F.count("value").alias("_valued"),
             F.sum("n").alias("record_count"),
@@ -633,10 +642,10 @@ class Battery:
             F.var_pop(x).alias("_xx"),
             F.var_pop(y).alias("_yy"),
             F.sort_array(F.collect_list("period")).alias("periods"),
-        ).join(self._timed, "metric_pos")
+        )
 
     def trend(self) -> DataFrame:
-        rows = self._trend.join(self.meta, "metric_pos").where(
+        rows = self._trend.where(
             (F.col("eligible_periods") >= MIN_TREND_PERIODS)
             & (F.col("_valued") == F.col("eligible_periods"))
         )
@@ -664,13 +673,13 @@ class Battery:
 
     def period_target_rows(self) -> DataFrame:
         """Every eligible period against a per-period target."""
-        rows = self._eligible_periods.join(self.meta, "metric_pos").where(
+        rows = self._eligible_periods.where(
             F.col("target").isNotNull()
             & (F.col("target_scope") == "period")
             & F.col("value").isNotNull()
         )
         meets = _meets(F.col("value"), F.col("target"), F.col("kpi_direction"))
-        return rows.join(self._timed, "metric_pos").select(
+        return rows.select(
             "metric_pos",
             "metric_id",
             "metric",
@@ -721,7 +730,6 @@ class Battery:
             .withColumn("position", F.row_number().over(order))
             .withColumn("segment_count", F.count("*").over(whole))
             .where(F.col("segment_count") >= 2)
-            .join(self.meta, "metric_pos")
             .select(
                 *_KEY,
                 "metric_id",
@@ -755,18 +763,19 @@ class Battery:
     @cached_property
     def _shares(self) -> DataFrame:
         whole = Window.partitionBy(*_KEY)
-        missing = self.groups.where(
-            (F.col("level") == "segment") & F.col("segment").isNull()
-        ).select(*_KEY, F.col("n_rows").alias("missing_category_count"))
+        unnamed = F.when(F.col("segment").isNull(), F.col("n_rows"))
+        rows = self.groups.where((F.col("level") == "segment") & F.col("additive"))
         return (
-            self.segments.join(self.meta, "metric_pos")
-            .where(F.col("additive") & F.col("value").isNotNull())
+            rows.withColumn(
+                "missing_category_count", F.coalesce(F.sum(unnamed).over(whole), F.lit(0))
+            )
+            .where(
+                F.col("segment").isNotNull() & (F.col("n") > 0) & F.col("value").isNotNull()
+            )
             .withColumn("total_value", F.sum("value").over(whole))
             .withColumn("lowest", F.min("value").over(whole))
             .withColumn("segment_count", F.count("*").over(whole))
             .where(F.col("segment_count") >= 2)
-            .join(F.broadcast(missing), _KEY, "left")
-            .fillna(0, ["missing_category_count"])
         )
 
     def segment_share_rows(self) -> DataFrame:
@@ -825,7 +834,7 @@ class Battery:
         )
         mean = F.try_divide(F.col("row_sum"), F.col("n"))
         return (
-            self.segments.join(self.meta, "metric_pos")
+            self.segments
             .where(
                 F.col("target").isNotNull()
                 & (F.col("target_scope") == "row")
@@ -879,7 +888,7 @@ class Battery:
     @cached_property
     def _segment_targets(self) -> DataFrame:
         return (
-            self.segments.join(self.meta, "metric_pos")
+            self.segments
             .where(
                 F.col("target").isNotNull()
                 & (F.col("target_scope") == "segment")
@@ -951,12 +960,7 @@ class Battery:
         """Each segment in the last two periods; an absent side stays NULL."""
         last_two = F.broadcast(
             self.latest.where(F.col("period_count") >= 2).select(
-                "metric_pos",
-                "granularity",
-                "previous_period",
-                "current_period",
-                "previous_n",
-                "current_n",
+                "metric_pos", "previous_period", "current_period", "previous_n", "current_n"
             )
         )
         rows = self.groups.where(
@@ -970,6 +974,7 @@ class Battery:
             rows.where(old | new)
             .groupBy(
                 *_KEY,
+                *_SETTINGS,
                 "category_column",
                 "granularity",
                 "previous_period",
@@ -984,7 +989,6 @@ class Battery:
                 F.coalesce(F.max(F.when(old, F.col("n"))), F.lit(0)).alias("previous_record_count"),
                 F.coalesce(F.max(F.when(new, F.col("n"))), F.lit(0)).alias("current_record_count"),
             )
-            .join(self.meta, "metric_pos")
         )
 
     @cached_property
@@ -1231,51 +1235,56 @@ class Battery:
 
     @cached_property
     def _correlation_stats(self) -> DataFrame:
-        """Pairwise-complete moments of every KPI and column from one aggregate."""
-        aggregates, parts = [], []
-        for i, m in enumerate(self.measures):
-            if not m.kpi.row_level:
-                continue
-            for j, name in enumerate(self.numeric_columns):
-                if name == m.kpi.name:
-                    continue
-                p = f"p{i}_{j}"
-                x, y = m.row_value, self.table.num(name)
-                x2, y2 = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-                aggregates += [
-                    F.count(F.when(x.isNotNull() & y.isNotNull(), F.lit(1))).alias(f"{p}_n"),
-                    F.covar_pop(x2, y2).alias(f"{p}_xy"),
-                    F.var_pop(x2).alias(f"{p}_xx"),
-                    F.var_pop(y2).alias(f"{p}_yy"),
-                    F.min(y).alias(f"{p}_lo"),
-                    F.max(y).alias(f"{p}_hi"),
-                ]
-                parts.append(
-                    F.struct(
-                        F.lit(i).alias("metric_pos"),
-                        F.lit(j).alias("column_pos"),
-                        F.lit(name).alias("associated_metric"),
-                        F.col(f"{p}_n").alias("pairs"),
-                        F.col(f"{p}_xy").alias("xy"),
-                        F.col(f"{p}_xx").alias("xx"),
-                        F.col(f"{p}_yy").alias("yy"),
-                        (F.col(f"{p}_lo") < F.col(f"{p}_hi")).alias("varies"),
-                    )
-                )
-        if not parts:
+        """Pairwise-complete statistics of every KPI and column from one aggregate.
+
+        ``regr_r2`` gives the size of the coefficient without the division by zero that
+        ``corr`` raises on constant input, ``covar_pop`` its sign.
+        """
+        pairs = [
+            (i, m, j, name)
+            for i, m in enumerate(self.measures)
+            if m.kpi.row_level
+            for j, name in enumerate(self.numeric_columns)
+            if name != m.kpi.name
+        ]
+        if not pairs:
             return literal_frame(
                 self.spark,
                 [],
                 "metric_pos int, column_pos int, associated_metric string, pairs long, "
-                "xy double, xx double, yy double, varies boolean",
+                "r2 double, covariance double",
+            )
+        aggregates, parts = [], []
+        for j in sorted({j for _, _, j, _ in pairs}):
+            y = self.table.num(self.numeric_columns[j])
+            aggregates += [F.min(y).alias(f"lo{j}"), F.max(y).alias(f"hi{j}")]
+        for i, m, j, name in pairs:
+            p = f"p{i}_{j}"
+            x, y = m.row_value, self.table.num(name)
+            aggregates += [
+                F.regr_count(y, x).alias(f"{p}_n"),
+                F.regr_r2(y, x).alias(f"{p}_r"),
+                F.covar_pop(x, y).alias(f"{p}_c"),
+            ]
+            parts.append(
+                F.struct(
+                    F.lit(i).alias("metric_pos"),
+                    F.lit(j).alias("column_pos"),
+                    F.lit(name).alias("associated_metric"),
+                    F.col(f"{p}_n").alias("pairs"),
+                    F.col(f"{p}_r").alias("r2"),
+                    F.col(f"{p}_c").alias("covariance"),
+                    (F.col(f"lo{j}") < F.col(f"hi{j}")).alias("varies"),
+                )
             )
         wide = checkpointed(self.table.df.agg(*aggregates))
-        return wide.select(F.inline(F.array(*parts))).where(F.col("varies"))
+        return wide.select(F.inline(F.array(*parts))).where(F.col("varies")).drop("varies")
 
     def correlations(self) -> DataFrame:
-        r = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
-        r = F.when((F.col("xx") > 0) & (F.col("yy") > 0), r)
-        r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+        size = F.sqrt(F.least(F.lit(1.0), F.col("r2")))
+        # A constant side shows as no fit, or as a perfect fit without covariance.
+        constant = (F.col("covariance") == 0) & (F.col("r2") == 1)
+        r = F.when(~constant, F.signum("covariance") * size)
         rows = self._correlation_stats.withColumn("coefficient", clean(r)).where(
             (F.col("pairs") >= MIN_CORRELATION_PAIRS) & r.isNotNull()
         )

@@ -64,7 +64,7 @@ def issues(battery: Battery) -> DataFrame:
             F.lit(unit).alias("unit"),
         )
 
-    totals = b.totals.drop("category_pos").join(meta, "metric_pos")
+    totals = b.totals.drop("category_pos")
     parts = [
         issue(
             totals.where(F.col("value").isNull()),
@@ -81,7 +81,7 @@ def issues(battery: Battery) -> DataFrame:
             F.count("*").alias("_e"), F.count("value").alias("_valued")
         )
         counted = b._timed.join(eligible, "metric_pos", "left").fillna(0, ["_e", "_valued"])
-        per_period = counted.join(meta, "metric_pos").where(
+        per_period = counted.where(
             F.col("target").isNotNull()
             & (F.col("target_scope") == "period")
             & (F.col("_valued") == 0)
@@ -176,7 +176,14 @@ def issues(battery: Battery) -> DataFrame:
                 "valid_row_values",
             ),
         ]
-    return union_all(parts).join(meta.select("metric_pos", "metric_id", "metric"), "metric_pos")
+    names = F.array(
+        *[
+            F.struct(F.lit(k.metric_id).alias("metric_id"), F.lit(k.name).alias("metric"))
+            for k in b.registry.kpis
+        ]
+    )
+    found = union_all(parts).withColumn("_k", F.element_at(names, F.col("metric_pos") + 1))
+    return found.select("*", "_k.*").drop("_k")
 
 
 def insufficient_warnings(battery: Battery) -> DataFrame:
@@ -231,7 +238,7 @@ def skipped(battery: Battery) -> DataFrame:
             F.col("target").isNotNull() & (F.col("target_scope") == "period"),
             F.array(F.lit("period_target_comparison")),
         ).otherwise(F.array().cast("array<string>"))
-        lines = b.temporal.join(meta, "metric_pos").where(
+        lines = b.totals.drop("category_pos").where(
             status.isin("missing_dates", "unparseable_date", "no_dated_kpi_values")
         )
         out.append(
@@ -243,7 +250,7 @@ def skipped(battery: Battery) -> DataFrame:
         )
         undefined = F.lit("undefined_derived_aggregate")
         one = lambda name: F.array(F.lit(name))
-        latest = b.latest.join(meta, "metric_pos").where(
+        latest = b.latest.where(
             (F.col("period_count") >= 2)
             & (F.least("previous_n", "current_n") >= MIN_PERIOD_RECORDS)
             & (F.col("previous_value").isNull() | F.col("current_value").isNull())
@@ -252,7 +259,7 @@ def skipped(battery: Battery) -> DataFrame:
             skip(latest, _GENERAL, 3, undefined, one("period_change"),
                  F.col("previous_n") + F.col("current_n"))
         )
-        base = b._baseline.join(meta, "metric_pos").where(
+        base = b._baseline.where(
             (F.col("eligible_periods") >= 3)
             & (
                 (F.col("_valued") < F.col("baseline_period_count"))
@@ -263,7 +270,7 @@ def skipped(battery: Battery) -> DataFrame:
             skip(base, _GENERAL, 4, undefined, one("period_baseline_comparison"),
                  F.col("record_count"))
         )
-        trend = b._trend.join(meta, "metric_pos").where(
+        trend = b._trend.where(
             (F.col("eligible_periods") >= MIN_TREND_PERIODS)
             & (F.col("_valued") < F.col("eligible_periods"))
         )
@@ -308,16 +315,17 @@ def _pack(
     first = [F.lit(battery.registry.date_column)] if dated else []
     first.append(category.cast("string"))
     last = [F.col("associated_metric")] if "associated_metric" in names else []
-    sources = battery.meta.select("metric_pos", F.col("source_columns").alias("_s"))
+    own = F.array(*[F.array(*[F.lit(c) for c in m.kpi.source_columns]) for m in battery.measures])
+    own = F.element_at(own, F.col("metric_pos") + 1)
     observed = [c for c in names if c not in _HIDDEN and c not in ("block", "analysis_pos")]
     columns = F.array_distinct(
         F.filter(
-            F.concat(F.array(*first), F.col("_s"), F.array(*last).cast("array<string>")),
+            F.concat(F.array(*first), own, F.array(*last).cast("array<string>")),
             lambda c: c.isNotNull(),
         )
     )
     periods = periods if periods is not None else F.array().cast("array<string>")
-    return frame.join(sources, "metric_pos").select(
+    return frame.select(
         "metric_pos",
         (F.col("block") if "block" in names else F.lit(block)).alias("block"),
         (F.col("category_pos") if "category_pos" in names else F.lit(-1))
@@ -474,9 +482,7 @@ def support_rows(battery: Battery) -> DataFrame:
                 )
             ),
         )
-        eligible = b._eligible_periods.join(b._timed, "metric_pos").join(
-            b.meta.select("metric_pos", "metric_id"), "metric_pos"
-        )
+        eligible = b._eligible_periods
         line = eligible.where(F.col("_count") >= MIN_TREND_PERIODS).select(
             "metric_id", (F.col("_x") + 1).alias("position"), "period", "value"
         )

@@ -18,8 +18,6 @@ from metricloom.functions.frames import literal_frame
 from metricloom.functions.values import (
     BOOLEAN_VALUES,
     Table,
-    name_tokens,
-    parse_number,
     parse_timestamp,
 )
 from metricloom.operators.quantiles import exact_quantiles
@@ -85,44 +83,63 @@ def profile(
     for i, name in enumerate(columns):
         value = table.text(name)
         number = table.num(name)
-        folded = F.lower(value)
-        words = F.size(F.split(value, r"\s+"))
-        idlike = (
-            (F.length(value) <= 64)
-            & value.rlike(r"^[A-Za-z0-9_.:-]+$")
-            & value.rlike(r"[0-9]")
-        )
-        if table.is_text(name):
-            moment = parse_timestamp(value)
-            numeric = number.isNotNull()
-        else:
-            moment = table.moment(name) if table.is_temporal(name) else F.lit(None).cast("timestamp")
-            numeric = F.lit(table.is_number(name))
         present = value.isNotNull()
+        no, none = F.lit(False), F.lit(None)
 
         def all_of(test: Column) -> Column:
-            return F.coalesce(F.bool_and(F.when(present, F.coalesce(test, F.lit(False)))), F.lit(False))
+            held = F.when(present, F.coalesce(test, F.lit(False)))
+            return F.coalesce(F.bool_and(held), F.lit(False))
 
+        # Typed columns need no guessing; NULL literals cost nothing in the scan.
         tests = {
             "n": F.count(value),
-            "is_bool": all_of(folded.isin(*BOOLEAN_VALUES)),
-            "is_date": all_of(moment.isNotNull()),
-            "is_num": all_of(numeric),
-            "id_like": all_of(idlike),
-            "max_len": F.max(F.length(value)),
-            "avg_len": F.avg(F.length(value)),
-            "max_words": F.max(F.when(present, words)),
-            "nums": F.count(number),
-            "lo": F.min(number),
-            "hi": F.max(number),
-            "mean": F.avg(number),
-            "total": F.sum(number),
-            "sd": F.stddev_pop(number),
-            "first_ts": F.min(moment),
-            "last_ts": F.max(moment),
+            "is_bool": F.lit(table.types[name].typeName() == "boolean"),
+            "is_date": F.lit(table.is_temporal(name)),
+            "is_num": F.lit(table.is_number(name)),
+            "id_like": no,
+            "max_len": none.cast("int"),
+            "avg_len": none.cast("double"),
+            "max_words": none.cast("int"),
+            "nums": none.cast("long"),
+            "lo": none.cast("double"),
+            "hi": none.cast("double"),
+            "mean": none.cast("double"),
+            "total": none.cast("double"),
+            "sd": none.cast("double"),
+            "first_ts": none.cast("timestamp"),
+            "last_ts": none.cast("timestamp"),
         }
+        moment = table.moment(name)
+        if table.is_text(name):
+            moment = parse_timestamp(value)
+            idlike = (
+                (F.length(value) <= 64)
+                & value.rlike(r"^[A-Za-z0-9_.:-]+$")
+                & value.rlike(r"[0-9]")
+            )
+            words = F.size(F.split(value, r"\s+"))
+            tests |= {
+                "is_bool": all_of(F.lower(value).isin(*BOOLEAN_VALUES)),
+                "is_date": all_of(moment.isNotNull()),
+                "is_num": all_of(number.isNotNull()),
+                "id_like": all_of(idlike),
+                "max_len": F.max(F.length(value)),
+                "avg_len": F.avg(F.length(value)),
+                "max_words": F.max(F.when(present, words)),
+            }
+        if table.is_text(name) or table.is_temporal(name):
+            tests |= {"first_ts": F.min(moment), "last_ts": F.max(moment)}
+        if table.is_text(name) or table.is_number(name):
+            tests |= {
+                "nums": F.count(number),
+                "lo": F.min(number),
+                "hi": F.max(number),
+                "mean": F.avg(number),
+                "total": F.sum(number),
+                "sd": F.stddev_pop(number),
+            }
         if approximate:
-            tests["distinct"] = F.approx_count_distinct(value, 0.01)
+            tests["distinct"] = F.hll_sketch_estimate(F.hll_sketch_agg(value, F.lit(14)))
             tests["median"] = F.percentile_approx(number, 0.5, 10000)
         aggregates += [c.alias(f"c{i}_{k}") for k, c in tests.items()]
         date_text = "yyyy-MM-dd'T'HH:mm:ss"

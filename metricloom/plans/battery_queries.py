@@ -59,12 +59,11 @@ def events_battery(spark, folder) -> Battery:
     return Battery(load(spark, folder, "events", "event_id"), registry)
 
 
-def supplier_battery(spark, folder) -> Battery:
-    """Negative values, no date: share is skipped where a nation's sum is negative."""
-    registry = K.Registry(
-        (K.source_kpi("s_acctbal", "sum"),), None, ("s_nationkey",)
-    )
-    return Battery(load(spark, folder, "supplier", "s_suppkey"), registry)
+def margin_battery(spark, folder) -> Battery:
+    """A KPI whose sum is negative, so shares of it make no sense."""
+    kpi = K.formula_kpi("tax_gap", "[l_tax] - [l_discount]", "row", "sum")
+    registry = K.Registry((kpi,), None, ("l_returnflag", "l_linestatus"))
+    return Battery(load(spark, folder, "lineitem"), registry, numeric_columns=["l_tax"])
 
 
 # ---- oracle parts ------------------------------------------------------------
@@ -146,20 +145,20 @@ def capability_plan(spark, folder):
     "temporal_context",
     "B4 M11",
     f"""WITH m AS (SELECT metric, period FROM ({_P}))
-    SELECT metric, 'year' AS granularity, period, round(value, 2) AS value, n AS record_count FROM ({_P})""",
+    SELECT metric, 'year' AS granularity, period, round(value, 4) AS value, n AS record_count FROM ({_P})""",
 )
 def temporal_context(spark, folder):
     out = lineitem_battery(spark, folder).period_values().drop("metric_id")
-    return shown(out, 2)
+    return shown(out, 4)
 
 
 @query(
     "period_change",
     "B5 W1 B21",
     f"""WITH p AS ({_P}), {_LAST_TWO}
-    SELECT metric, prev.period AS previous_period, round(prev.value, 2) AS previous_value,
-    cur.period AS current_period, round(cur.value, 2) AS current_value,
-    round(cur.value - prev.value, 2) AS absolute_change,
+    SELECT metric, prev.period AS previous_period, round(prev.value, 4) AS previous_value,
+    cur.period AS current_period, round(cur.value, 4) AS current_value,
+    round(cur.value - prev.value, 4) AS absolute_change,
     round((cur.value - prev.value) / prev.value * 100, 6) AS percentage_change,
     {_DIR.format('(cur.value - prev.value)')} AS direction,
     (cur.value > prev.value) = (metric <> 'unit_price') AS favorable,
@@ -169,7 +168,7 @@ def temporal_context(spark, folder):
 def period_change(spark, folder):
     out = _public(lineitem_battery(spark, folder).period_change())
     out = out.drop("aggregation", "period_granularity", "impact")
-    return shown(out, 2, percentage_change=6)
+    return shown(out, 4, percentage_change=6)
 
 
 @query(
@@ -179,9 +178,9 @@ def period_change(spark, folder):
          FROM p WHERE n >= 2),
     b AS (SELECT metric, avg(value) AS base, min(value) AS lo, max(value) AS hi, count(*) AS k, sum(n) AS bn,
           min(n) AS low FROM e WHERE back BETWEEN 2 AND 5 GROUP BY metric)
-    SELECT metric, k AS baseline_period_count, round(base, 2) AS baseline_value,
-    round(lo, 2) AS baseline_minimum, round(hi, 2) AS baseline_maximum, e.period AS current_period,
-    round(e.value, 2) AS current_value, round(e.value - base, 2) AS absolute_change,
+    SELECT metric, k AS baseline_period_count, round(base, 1) AS baseline_value,
+    round(lo, 1) AS baseline_minimum, round(hi, 1) AS baseline_maximum, e.period AS current_period,
+    round(e.value, 1) AS current_value, round(e.value - base, 1) AS absolute_change,
     round((e.value - base) / base * 100, 6) AS percentage_change,
     {_DIR.format('(e.value - base)')} AS direction, (bn + e.n)::BIGINT AS record_count,
     {_CONF.format('least(low, e.n)')} AS confidence
@@ -193,7 +192,7 @@ def period_baseline(spark, folder):
         "aggregation", "period_granularity", "baseline_method", "baseline_periods", "favorable",
         "impact",
     )
-    return shown(out, 2, percentage_change=6)
+    return shown(out, 1, percentage_change=6)
 
 
 @query(
@@ -216,8 +215,8 @@ def trend(spark, folder):
     "period_target",
     "B13 F11",
     f"""WITH p AS ({_P}) SELECT metric, max(period) AS current_period,
-    round(max_by(value, period), 2) AS current_value,
-    round(max_by(value, period) - 60000000, 2) AS current_gap_to_target,
+    round(max_by(value, period), 4) AS current_value,
+    round(max_by(value, period) - 60000000, 4) AS current_gap_to_target,
     count(*) FILTER (WHERE value < 60000000) AS missed_period_count,
     count(*) AS eligible_period_count, sum(n)::BIGINT AS record_count
     FROM p WHERE metric = 'net' AND n >= 2 GROUP BY metric""",
@@ -227,27 +226,27 @@ def period_target(spark, folder):
         "metric", "current_period", "current_value", "current_gap_to_target",
         "missed_period_count", "eligible_period_count", "record_count",
     )
-    return shown(out, 2)
+    return shown(out, 4)
 
 
 @query(
     "segment_ranking",
     "B8 T4 F9",
-    f"""WITH s AS ({_S}) SELECT metric, category_column, segment, round(value, 2) AS value, n AS record_count,
+    f"""WITH s AS ({_S}) SELECT metric, category_column, segment, round(value, 4) AS value, n AS record_count,
     row_number() OVER (PARTITION BY metric, category_column
         ORDER BY round(value, 6) DESC, lower(segment), segment) AS position
     FROM s WHERE n >= 2""",
 )
 def segment_ranking(spark, folder):
     out = _public(lineitem_battery(spark, folder).segment_ranking_rows())
-    return shown(out.drop("aggregation", "segment_count"), 2)
+    return shown(out.drop("aggregation", "segment_count"), 4)
 
 
 @query(
     "segment_share",
     "B9 W7",
     f"""WITH s AS (SELECT * FROM ({_S}) WHERE metric IN ('l_extendedprice', 'net'))
-    SELECT metric, category_column, segment, round(value, 2) AS value,
+    SELECT metric, category_column, segment, round(value, 4) AS value,
     round(value / sum(value) OVER (PARTITION BY metric, category_column) * 100, 6) AS share_percentage,
     row_number() OVER (PARTITION BY metric, category_column ORDER BY value DESC) AS position FROM s""",
 )
@@ -255,7 +254,7 @@ def segment_share(spark, folder):
     out = lineitem_battery(spark, folder).segment_share_rows().select(
         "metric", "category_column", "segment", "value", "share_percentage", "position"
     )
-    return shown(out, 6, value=2)
+    return shown(out, 6, value=4)
 
 
 @query(
@@ -263,8 +262,8 @@ def segment_share(spark, folder):
     "B10 J1 X1",
     f"""WITH p AS ({_P}), {_LAST_TWO}, sp AS ({_SP})
     SELECT metric, category_column, segment, prev.period AS previous_period, cur.period AS current_period,
-    round(o.value, 2) AS previous_value, round(w.value, 2) AS current_value,
-    round(w.value - o.value, 2) AS absolute_change,
+    round(o.value, 4) AS previous_value, round(w.value, 4) AS current_value,
+    round(w.value - o.value, 4) AS absolute_change,
     CASE WHEN abs(o.value) > 1e-12 THEN round((w.value - o.value) / o.value * 100, 6) END AS percentage_change,
     o.n AS previous_record_count, w.n AS current_record_count
     FROM sp o JOIN prev ON o.metric = prev.metric AND o.period = prev.period
@@ -280,7 +279,7 @@ def cohort_comparison(spark, folder):
         "previous_value", "current_value", "absolute_change", "percentage_change",
         "previous_record_count", "current_record_count",
     )
-    return shown(out, 2, percentage_change=6)
+    return shown(out, 4, percentage_change=6)
 
 
 @query(
@@ -317,17 +316,17 @@ def cohort_best_worst(spark, folder):
       sum(CASE WHEN sp.period = cur.period THEN sp.value ELSE 0 END) AS w
       FROM sp JOIN prev ON prev.metric = sp.metric JOIN cur ON cur.metric = sp.metric
       WHERE sp.period IN (prev.period, cur.period) GROUP BY ALL)
-    SELECT metric, category_column, segment, round(o, 2) AS previous_value, round(w, 2) AS current_value,
-    round(w - o, 2) AS absolute_change,
+    SELECT metric, category_column, segment, round(o, 4) AS previous_value, round(w, 4) AS current_value,
+    round(w - o, 4) AS absolute_change,
     round((w - o) / sum(w - o) OVER (PARTITION BY metric, category_column) * 100, 5) AS contribution_percentage,
-    round(sum(w - o) OVER (PARTITION BY metric, category_column), 2) AS overall_change FROM c""",
+    round(sum(w - o) OVER (PARTITION BY metric, category_column), 4) AS overall_change FROM c""",
 )
 def segment_contribution(spark, folder):
     out = lineitem_battery(spark, folder).contribution_rows().select(
         "metric", "category_column", "segment", "previous_value", "current_value",
         "absolute_change", "contribution_percentage", "overall_change",
     )
-    return shown(out, 2, contribution_percentage=5)
+    return shown(out, 4, contribution_percentage=5)
 
 
 @query(
@@ -497,13 +496,16 @@ def missing_data_query(spark, folder):
 @query(
     "skipped_analyses",
     "B19",
-    """WITH v AS (SELECT s_nationkey, sum(s_acctbal) AS v, count(*) AS n FROM supplier GROUP BY 1)
-    SELECT 'category_share_requires_nonnegative_additive_values' AS reason,
-    'segment_share:s_nationkey' AS analyses, sum(n)::BIGINT AS record_count
-    FROM v HAVING min(v) < 0 OR sum(v) <= 0""",
+    " UNION ALL ".join(
+        f"""SELECT 'category_share_requires_nonnegative_additive_values' AS reason,
+        'segment_share:{c}' AS analyses, sum(n)::BIGINT AS record_count
+        FROM (SELECT {c}, sum(l_tax - l_discount) AS v, count(*) AS n FROM lineitem GROUP BY 1)
+        HAVING min(v) < 0 OR sum(v) <= 0"""
+        for c in _CATS
+    ),
 )
 def skipped_analyses(spark, folder):
-    out = skipped(supplier_battery(spark, folder))
+    out = skipped(margin_battery(spark, folder))
     return out.select("reason", F.array_join("analyses", ",").alias("analyses"), "record_count")
 
 
@@ -580,8 +582,8 @@ _SCORED = f"""p AS ({_P}), {_LAST_TWO},
 @query(
     "evidence_scores",
     "E3 E4 E5",
-    f"""WITH {_SCORED} SELECT type, metric, round(impact, 5) AS impact, round(relevance, 6)::DOUBLE AS relevance,
-    1.0::DOUBLE AS confidence_score, round(0.5 * impact + 0.2 + 0.3 * relevance, 5) AS combined FROM s""",
+    f"""WITH {_SCORED} SELECT type, metric, round(impact, 6) AS impact, round(relevance, 6)::DOUBLE AS relevance,
+    1.0::DOUBLE AS confidence_score, round(0.5 * impact + 0.2 + 0.3 * relevance, 6) AS combined FROM s""",
 )
 def evidence_scores(spark, folder):
     _, evidence = _evidence(spark, folder)
@@ -593,7 +595,7 @@ def evidence_scores(spark, folder):
     out = rows.select(
         label.alias("type"), "metric", "impact", "relevance", "confidence_score", "combined"
     )
-    return shown(out, 5)
+    return shown(out, 6)
 
 
 @query("evidence_sections", "E7 E15")

@@ -427,12 +427,14 @@ def board_stacked_percent(spark, folder):
 @query(
     "board_stacked_problems",
     "C17 F8",
-    """WITH c AS (SELECT c_mktsegment AS x, c_nationkey AS s, sum(c_acctbal) AS y FROM customer GROUP BY ALL)
+    """WITH c AS (SELECT l_returnflag AS x, l_linestatus AS s, sum(l_tax - l_discount) AS y FROM lineitem GROUP BY ALL)
     SELECT 'negative_values' AS problem FROM c HAVING min(y) < 0
     UNION ALL SELECT 'no_positive_value' FROM c HAVING max(y) <= 0""",
 )
 def board_stacked_problems(spark, folder):
-    return B.stacked_problems(load(spark, folder, "customer"), "c_mktsegment", "c_acctbal", "c_nationkey")
+    table = load(spark, folder, "lineitem")
+    table = Table(table.df.withColumn("gap", F.col("l_tax") - F.col("l_discount")))
+    return B.stacked_problems(table, "l_returnflag", "gap", "l_linestatus")
 
 
 @query(

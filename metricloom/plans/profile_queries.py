@@ -251,11 +251,15 @@ def preview_rows(spark, folder):
 @query(
     "unsafe_text_cells",
     "S8",
-    r"""SELECT doc_id AS row_key, 'text' AS "column" FROM documents
-       WHERE regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]')""",
+    """SELECT doc_id AS row_key, 'text' AS "column" FROM documents WHERE contains(text, 'zw')
+       UNION ALL SELECT doc_id, 'source' FROM documents WHERE source = 'src1'""",
 )
 def unsafe_text_cells(spark, folder):
-    return S.unsafe_cells(load(spark, folder, "documents", "doc_id"))
+    """Documents with bell and escape characters put in where a rare pair stands."""
+    table = load(spark, folder, "documents", "doc_id")
+    df = table.df.withColumn("text", F.replace("text", F.lit("zw"), F.lit("\x07")))
+    df = df.withColumn("source", F.when(F.col("source") == "src1", "\x1b[1m").otherwise(F.col("source")))
+    return S.unsafe_cells(Table(df, "doc_id"))
 
 
 @query(
