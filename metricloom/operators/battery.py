@@ -1235,50 +1235,56 @@ class Battery:
 
     @cached_property
     def _correlation_stats(self) -> DataFrame:
-        """Pairwise-complete statistics of every KPI and column from one aggregate.
+        """Pairwise-complete statistics of every KPI and numeric column.
 
+        Each row is spread over its numeric columns and grouped by column, so the
+        number of aggregates depends on the KPIs (at most five) and not on the columns.
         ``regr_r2`` gives the size of the coefficient without the division by zero that
         ``corr`` raises on constant input, ``covar_pop`` its sign.
         """
-        pairs = [
-            (i, m, j, name)
-            for i, m in enumerate(self.measures)
-            if m.kpi.row_level
-            for j, name in enumerate(self.numeric_columns)
-            if name != m.kpi.name
-        ]
-        if not pairs:
+        metrics = [(i, m) for i, m in enumerate(self.measures) if m.kpi.row_level]
+        if not metrics or not self.numeric_columns:
             return literal_frame(
                 self.spark,
                 [],
                 "metric_pos int, column_pos int, associated_metric string, pairs long, "
                 "r2 double, covariance double",
             )
-        aggregates, parts = [], []
-        for j in sorted({j for _, _, j, _ in pairs}):
-            y = self.table.num(self.numeric_columns[j])
-            aggregates += [F.min(y).alias(f"lo{j}"), F.max(y).alias(f"hi{j}")]
-        for i, m, j, name in pairs:
-            p = f"p{i}_{j}"
-            x, y = m.row_value, self.table.num(name)
+        columns = [
+            F.struct(
+                F.lit(j).alias("column_pos"),
+                F.lit(name).alias("associated_metric"),
+                self.table.num(name).alias("y"),
+            )
+            for j, name in enumerate(self.numeric_columns)
+        ]
+        long = self.table.df.select(
+            *[m.row_value.alias(f"x{i}") for i, m in metrics], F.inline(F.array(*columns))
+        )
+        aggregates = [F.min("y").alias("lo"), F.max("y").alias("hi")]
+        for i, _ in metrics:
+            x, y = F.col(f"x{i}"), F.col("y")
             aggregates += [
-                F.regr_count(y, x).alias(f"{p}_n"),
-                F.regr_r2(y, x).alias(f"{p}_r"),
-                F.covar_pop(x, y).alias(f"{p}_c"),
+                F.regr_count(y, x).alias(f"n{i}"),
+                F.regr_r2(y, x).alias(f"r{i}"),
+                F.covar_pop(x, y).alias(f"c{i}"),
             ]
-            parts.append(
+        wide = checkpointed(long.groupBy("column_pos", "associated_metric").agg(*aggregates))
+        per_metric = F.array(
+            *[
                 F.struct(
                     F.lit(i).alias("metric_pos"),
-                    F.lit(j).alias("column_pos"),
-                    F.lit(name).alias("associated_metric"),
-                    F.col(f"{p}_n").alias("pairs"),
-                    F.col(f"{p}_r").alias("r2"),
-                    F.col(f"{p}_c").alias("covariance"),
-                    (F.col(f"lo{j}") < F.col(f"hi{j}")).alias("varies"),
+                    F.lit(m.kpi.name).alias("_name"),
+                    F.col(f"n{i}").alias("pairs"),
+                    F.col(f"r{i}").alias("r2"),
+                    F.col(f"c{i}").alias("covariance"),
                 )
-            )
-        wide = checkpointed(self.table.df.agg(*aggregates))
-        return wide.select(F.inline(F.array(*parts))).where(F.col("varies")).drop("varies")
+                for i, m in metrics
+            ]
+        )
+        varying = wide.where(F.col("lo") < F.col("hi"))
+        out = varying.select("column_pos", "associated_metric", F.inline(per_metric))
+        return out.where(F.col("associated_metric") != F.col("_name")).drop("_name")
 
     def correlations(self) -> DataFrame:
         size = F.sqrt(F.least(F.lit(1.0), F.col("r2")))
@@ -1305,31 +1311,29 @@ class Battery:
 
     def correlation_sums(self) -> DataFrame:
         """Sufficient statistics behind each coefficient, for re-checking it."""
-        aggregates, parts = [], []
-        for i, m in enumerate(self.measures):
-            if not m.kpi.row_level:
-                continue
-            for j, name in enumerate(self.numeric_columns):
-                if name == m.kpi.name:
-                    continue
-                p = f"p{i}_{j}"
-                y = self.table.num(name)
-                x = F.when(y.isNotNull(), m.row_value)
-                y = F.when(m.row_value.isNotNull(), y)
-                terms = {
-                    "pair_count": F.count(x + y),
-                    "sum_x": F.sum(x),
-                    "sum_y": F.sum(y),
-                    "sum_x_squared": F.sum(x * x),
-                    "sum_y_squared": F.sum(y * y),
-                    "sum_xy": F.sum(x * y),
-                }
-                aggregates += [c.alias(f"{p}_{t}") for t, c in terms.items()]
-                parts.append(
-                    F.struct(
-                        F.lit(m.kpi.name).alias("metric"),
-                        F.lit(name).alias("associated_metric"),
-                        *[F.col(f"{p}_{t}").alias(t) for t in terms],
-                    )
-                )
-        return self.table.df.agg(*aggregates).select(F.inline(F.array(*parts)))
+        pairs = [
+            F.struct(
+                F.lit(m.kpi.name).alias("metric"),
+                F.lit(name).alias("associated_metric"),
+                m.row_value.alias("x"),
+                self.table.num(name).alias("y"),
+            )
+            for m in self.measures
+            if m.kpi.row_level
+            for name in self.numeric_columns
+            if name != m.kpi.name
+        ]
+        x, y = F.col("x"), F.col("y")
+        return (
+            self.table.df.select(F.inline(F.array(*pairs)))
+            .where(x.isNotNull() & y.isNotNull())
+            .groupBy("metric", "associated_metric")
+            .agg(
+                F.count("*").alias("pair_count"),
+                F.sum(x).alias("sum_x"),
+                F.sum(y).alias("sum_y"),
+                F.sum(x * x).alias("sum_x_squared"),
+                F.sum(y * y).alias("sum_y_squared"),
+                F.sum(x * y).alias("sum_xy"),
+            )
+        )

@@ -1,9 +1,10 @@
 """Column profiles: missing values, statistics and inferred types in one wide scan.
 
 All per-column tests are aggregates of the same ``agg``, so a table is read once.
-Distinct counts and medians are separate, because an exact ``count_distinct`` over many
-columns expands every row once per column: distinct counts run as one
-``(column, value)`` aggregation, medians through the exact rank selection.
+Distinct counts and medians are separate.  ``count_distinct`` over many columns would
+build one hash table per column in one task; instead (column, value) pairs of equal
+type, whole numbers, floating numbers and texts, are combined before their shuffle.
+Medians go through the exact rank selection.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.functions.frames import literal_frame
+from metricloom.functions.frames import literal_frame, union_all
 from metricloom.functions.values import (
     BOOLEAN_VALUES,
     Table,
     parse_timestamp,
+    quoted,
 )
 from metricloom.operators.quantiles import exact_quantiles
-from metricloom.session import checkpointed
 
 # Name tokens and limits of the type rules.
 IDENTIFIER_TOKENS = ("id", "identifier", "uuid", "guid", "key")
@@ -65,6 +66,27 @@ def distinct_values(table: Table, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("ordinal", "column", "value").agg(F.count("*").alias("value_count"))
 
 
+def _distinct_counts(table: Table, columns: Sequence[str]) -> DataFrame:
+    """(ordinal, distinct) per column with at least one value."""
+    whole, floating, other = [], [], []
+    for i, name in enumerate(columns):
+        kind = table.types[name].typeName()
+        if kind in ("byte", "short", "integer", "long"):
+            whole.append((i, quoted(name).cast("long")))
+        elif kind in ("float", "double"):
+            floating.append((i, table.num(name)))
+        else:
+            other.append((i, table.text(name)))
+    parts = []
+    for group in (whole, floating, other):
+        if not group:
+            continue
+        cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), c.alias("v")) for i, c in group])
+        pairs = table.df.select(F.inline(cells)).where(F.col("v").isNotNull())
+        parts.append(pairs.distinct().groupBy("ordinal").agg(F.count("v").alias("distinct")))
+    return union_all(parts)
+
+
 def profile(
     table: Table,
     *,
@@ -79,11 +101,20 @@ def profile(
     columns = list(columns) if columns is not None else _scalar_columns(table)
     spark = table.df.sparkSession
     aggregates: list[Column] = [F.count("*").alias("row_count")]
+    inputs: list[Column] = []
     parts = []
     for i, name in enumerate(columns):
-        value = table.text(name)
-        number = table.num(name)
-        present = value.isNotNull()
+        # Inputs are projected once, so the many aggregates only read plain columns.
+        text, moment = table.text(name), table.moment(name)
+        if table.is_text(name):
+            moment = parse_timestamp(text)
+        inputs += [
+            text.alias(f"v{i}"),
+            table.num(name).alias(f"x{i}"),
+            moment.alias(f"t{i}"),
+            (~table.missing(name)).alias(f"p{i}"),
+        ]
+        value, number, moment, present = (F.col(f"{k}{i}") for k in "vxtp")
         no, none = F.lit(False), F.lit(None)
 
         def all_of(test: Column) -> Column:
@@ -92,7 +123,7 @@ def profile(
 
         # Typed columns need no guessing; NULL literals cost nothing in the scan.
         tests = {
-            "n": F.count(value),
+            "n": F.count(F.when(present, F.lit(1))),
             "is_bool": F.lit(table.types[name].typeName() == "boolean"),
             "is_date": F.lit(table.is_temporal(name)),
             "is_num": F.lit(table.is_number(name)),
@@ -109,9 +140,7 @@ def profile(
             "first_ts": none.cast("timestamp"),
             "last_ts": none.cast("timestamp"),
         }
-        moment = table.moment(name)
         if table.is_text(name):
-            moment = parse_timestamp(value)
             idlike = (
                 (F.length(value) <= 64)
                 & value.rlike(r"^[A-Za-z0-9_.:-]+$")
@@ -157,12 +186,10 @@ def profile(
                 *fields,
             )
         )
-    wide = table.df.agg(*aggregates)
+    wide = table.df.select(*inputs).agg(*aggregates)
     stats = wide.select("row_count", F.inline(F.array(*parts)))
     if not approximate:
-        counts = distinct_values(table, columns).groupBy("ordinal").agg(
-            F.count("*").alias("distinct")
-        )
+        counts = _distinct_counts(table, columns)
         numbers = [
             F.struct(F.lit(i).alias("ordinal"), table.num(c).alias("v"))
             for i, c in enumerate(columns)

@@ -74,13 +74,20 @@ def validation_rates(log: DataFrame) -> DataFrame:
 def medians(log: DataFrame) -> DataFrame:
     """Median wall time, total and completion tokens per task, prompt version and model."""
     names = ("wall_time_ms", "total_tokens", "completion_tokens")
-    out = None
-    for name in names:
-        part = exact_quantiles(log, GROUP, F.col(name), [0.5]).select(
-            *GROUP, F.col("quantiles")[0].alias(f"median_{name}")
-        )
-        out = part if out is None else out.join(part, list(GROUP), "full")
-    return out
+    measures = F.array(
+        *[
+            F.struct(F.lit(n).alias("_field"), F.col(n).cast("double").alias("_value"))
+            for n in names
+        ]
+    )
+    long = log.select(*GROUP, F.inline(measures))
+    middle = exact_quantiles(long, [*GROUP, "_field"], F.col("_value"), [0.5])
+    return middle.groupBy(*GROUP).agg(
+        *[
+            F.max(F.when(F.col("_field") == n, F.col("quantiles")[0])).alias(f"median_{n}")
+            for n in names
+        ]
+    )
 
 
 def retries(log: DataFrame) -> DataFrame:

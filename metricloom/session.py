@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, app: str = "metricloom") -> SparkSession
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
