@@ -354,7 +354,8 @@ class Battery:
         one = self.temporal_fixed.where(F.col("metric_pos") == i).select("status", "granularity")
         keys = ["level", "category_pos", "segment", "period"]
         spread = (
-            rows.crossJoin(F.broadcast(one))  # exactly one row
+            rows.withColumn("status", one.select("status").scalar())
+            .withColumn("granularity", one.select("granularity").scalar())
             .withColumn("_l", F.explode(self._levels()))
             .select("_x", "_day", "status", "granularity", "_l.*")
             .withColumn("period", self._period())

@@ -62,17 +62,15 @@ def grouped(table: Table, chart: str, x: str, y: str | None = None) -> DataFrame
         order = [F.col("first_row")]
     else:
         order = [F.desc(F.abs("y")), F.col("first_row"), F.col("x")]
-    totals = points.agg(
-        F.sum("record_count").alias("total_records"), F.count("*").alias("group_count")
-    )
     kept = points.orderBy(*order).limit(limit)
     place = Window.partitionBy(F.lit(0)).orderBy(*order)
     kept = kept.withColumn("position", F.row_number().over(place))
     if chart in POSITIVE:
         kept = kept.where(F.col("y") > 0)
-    out = kept.crossJoin(F.broadcast(totals)).withColumn(  # one row of totals
-        "truncated", F.col("group_count") > limit
-    )
+    out = kept.withColumn(
+        "total_records", points.agg(F.sum("record_count")).scalar()
+    ).withColumn("group_count", points.agg(F.count("*")).scalar())
+    out = out.withColumn("truncated", F.col("group_count") > limit)
     if chart == "pareto":
         running = Window.partitionBy(F.lit(0)).orderBy("position").rowsBetween(
             Window.unboundedPreceding, Window.currentRow
@@ -118,10 +116,13 @@ def stacked(table: Table, chart: str, x: str, y: str, series: str) -> DataFrame:
         )
 
     dated = table.is_temporal(x)
-    grid = top("x", MAX_STACK_GROUPS, dated).crossJoin(  # at most 12 x 8 rows
-        F.broadcast(top("series", MAX_STACK_SERIES, False))
-    )
-    filled = F.broadcast(grid).join(cells, ["x", "series"], "left").select(
+    # Eight series as one array value, spread over twelve labels: at most 96 rows.
+    kept = top("series", MAX_STACK_SERIES, False)
+    every = kept.agg(F.collect_list(F.struct("series", "series_position"))).scalar()
+    labels = top("x", MAX_STACK_GROUPS, dated).withColumn("_all", every)
+    grid = F.broadcast(labels.select("x", "x_position", F.inline("_all")))
+    shown = cells.join(grid.select("x", "series"), ["x", "series"])
+    filled = grid.join(F.broadcast(shown), ["x", "series"], "left").select(
         "x", "series", "x_position", "series_position", F.coalesce("y", F.lit(0.0)).alias("y")
     )
     if chart.startswith("stacked_100"):
@@ -179,11 +180,11 @@ def points(table: Table, x: str, y: str, size: str | None = None) -> DataFrame:
     if size:
         valid = valid & (F.col("size") > 0)
     rows = rows.where(valid)
-    count = rows.agg(F.count("*").alias("valid_count"))
+    count = rows.agg(F.count("*")).scalar()
     return (
         rows.orderBy("row_key")
         .limit(MAX_POINTS)
-        .crossJoin(F.broadcast(count))  # one row
+        .withColumn("valid_count", count)
         .withColumn("truncated", F.col("valid_count") > MAX_POINTS)
     )
 

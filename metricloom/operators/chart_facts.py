@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.frames import union_all
 from metricloom.functions.values import clean, human_number, signed_number
 from metricloom.operators.quantiles import exact_quantiles
+from metricloom.session import checkpointed
 
 MAX_OBSERVATIONS = 24
 MAX_FINDINGS = 5
@@ -143,11 +144,14 @@ def distribution(values: DataFrame) -> DataFrame:
         (at[1] - 1.5 * iqr).alias("lower_fence"),
         (at[3] + 1.5 * iqr).alias("upper_fence"),
     )
-    beyond = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
-    rest = rows.crossJoin(F.broadcast(summary)).agg(  # one summary row
-        F.avg("value").alias("mean"), F.count_if(beyond).alias("outlier_count")
+    summary = checkpointed(summary)
+    low, high = summary.select("lower_fence").scalar(), summary.select("upper_fence").scalar()
+    beyond = (F.col("value") < low) | (F.col("value") > high)
+    return summary.select(
+        "*",
+        rows.agg(F.avg("value")).scalar().alias("mean"),
+        rows.where(beyond).agg(F.count("*")).scalar().alias("outlier_count"),
     )
-    return summary.crossJoin(F.broadcast(rest))
 
 
 def target_comparison(card: DataFrame) -> DataFrame:

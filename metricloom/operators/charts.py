@@ -320,10 +320,15 @@ def _ordered_labels(long: DataFrame, spec: ChartSpec) -> DataFrame:
     return kept.select("x", F.row_number().over(ranked).alias("x_position"))
 
 
-def _densify(rows: DataFrame, xs: DataFrame, fill: Column) -> DataFrame:
-    """Every kept x with every series; absent combinations get ``fill``."""
-    series = rows.select("series", "measure", "measure_selector", "aggregation", "measure_position")
-    grid = xs.crossJoin(F.broadcast(series.distinct()))  # top_n labels times 12 series
+def _densify(rows: DataFrame, xs: DataFrame, fill: Column, *, few: bool = True) -> DataFrame:
+    """Every kept x with every series; absent combinations get ``fill``.
+
+    The series (12 at most, see :func:`guards`) travel as one array value.  ``few`` says
+    that the labels are capped, so the rows may be broadcast.
+    """
+    names = ("series", "measure", "measure_selector", "aggregation", "measure_position")
+    every = rows.agg(F.collect_set(F.struct(*names))).scalar()
+    grid = xs.withColumn("_all", every).select(*xs.columns, F.inline("_all"))
     have = rows.select(
         F.col("x").alias("_x"),
         F.col("series").alias("_s"),
@@ -337,7 +342,7 @@ def _densify(rows: DataFrame, xs: DataFrame, fill: Column) -> DataFrame:
         & (F.col("measure_position") == F.col("_m"))
     )
     return (
-        grid.join(F.broadcast(have), condition, "left")
+        grid.join(F.broadcast(have) if few else have, condition, "left")
         .withColumn("value", F.coalesce("value", fill))
         .withColumn("record_count", F.coalesce("record_count", F.lit(0)))
         .drop("_x", "_s", "_m")
@@ -355,7 +360,7 @@ def chart_data(table: Table, spec: ChartSpec, registry: Registry | None = None)
         rows = long.drop("first_row")
         if spec.chart != "time_line" and spec.series:
             xs = rows.select("x").distinct()
-            rows = _densify(rows, xs, F.lit(0.0))
+            rows = _densify(rows, xs, F.lit(0.0), few=False)
         return rows.orderBy("x", "series", "measure")
     labels = F.broadcast(_ordered_labels(long, spec))
     rows = long.join(labels, "x").drop("first_row")
@@ -473,14 +478,15 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     """
     values = df.select(value.alias("v")).where(F.col("v").isNotNull())
     span = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
-    one = F.broadcast(span.where(F.col("n") > 0))  # exactly one row
+    one = span.where(F.col("n") > 0)
     flat = F.col("lo") == F.col("hi")
     width = (F.col("hi") - F.col("lo")) / bins
     index = F.when(flat, 0).otherwise(
         F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))
     )
     counted = (
-        values.crossJoin(one)
+        values.withColumn("lo", span.select("lo").scalar())
+        .withColumn("hi", span.select("hi").scalar())
         .groupBy(index.cast("int").alias("_b"))
         .agg(F.count("*").alias("count"))
     )
@@ -500,7 +506,7 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     )
 
 
-def box_summary(df: DataFrame, *, few_groups: bool = False) -> DataFrame:
+def box_summary(df: DataFrame, *, few_groups: bool | None = None) -> DataFrame:
     """Five-number summary, whiskers within 1.5 IQR, and outlier counts per ``x``.
 
     Whiskers need the quartiles first, so the values are read once more with the few

@@ -463,7 +463,7 @@ def aggregate_measures(
     measures: Sequence[Measure],
     *,
     extra: Sequence[Column] = (),
-    few_groups: bool = False,
+    few_groups: bool | None = None,
 ) -> DataFrame:
     """One ``groupBy`` that carries the states of every measure, plus exact medians.
 
@@ -475,7 +475,7 @@ def aggregate_measures(
     for measure in measures:
         for slot, expression in measure.medians:
             middle = exact_quantiles(
-                df, keys, expression, [0.5], few_groups=few_groups or not keys
+                df, keys, expression, [0.5], few_groups=few_groups if keys else True
             ).select(
                 *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                 F.col("quantiles")[0].alias(f"{slot}_med"),

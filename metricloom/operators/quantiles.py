@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.functions.values import finite
+from metricloom.session import checkpointed
 
 _PARTS = 65536
+BROADCAST_BUCKETS = 200_000
 
 
 def _magnitude_bucket(v: Column) -> Column:
@@ -46,15 +48,17 @@ def exact_quantiles(
     value: Column,
     probabilities: Sequence[float],
     *,
-    few_groups: bool = False,
+    few_groups: bool | None = None,
     output: str = "quantiles",
 ) -> DataFrame:
     """Inclusive (linear interpolation) quantiles per group, as an array column.
 
-    ``few_groups`` says that the number of groups has a proven bound (a global
-    quantile, a category that passed the distinct-value rule), so the wanted
-    buckets, at most ``2 * len(probabilities)`` per group, may be broadcast.
-    Without it the join strategy is left to the optimizer.
+    The wanted buckets, at most ``2 * len(probabilities)`` per group, are joined back to
+    the values.  ``few_groups=True`` says that the number of groups has a proven bound
+    (a global quantile, a category that passed the distinct-value rule), so they are
+    broadcast.  By default they are materialised and counted: up to
+    ``BROADCAST_BUCKETS`` they are broadcast, beyond that the join shuffles, which
+    spreads a hot group over its buckets.
     """
     keys = list(keys)
     base = df.select(*keys, finite(value.cast("double")).alias("_v")).where(
@@ -100,6 +104,9 @@ def exact_quantiles(
         .withColumn("_start", F.lit(0).cast("long"))
     )
     first = holding(counted, keys or ["_n"], "_b1").drop("_ranks")
+    if few_groups is None:
+        first = checkpointed(first)
+        few_groups = first.count() <= BROADCAST_BUCKETS
 
     first, same = _renamed(first, [*keys, "_b1"])
     inside = base.join(small(first), same).select(

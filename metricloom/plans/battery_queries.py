@@ -676,9 +676,9 @@ def stale_chart_insights(spark, folder):
 )
 def foreign_evidence(spark, folder):
     docs = load(spark, folder, "documents").df
-    overall = docs.agg(F.avg("n_chars").alias("_a"))
+    overall = docs.agg(F.avg("n_chars")).scalar()
     means = docs.groupBy("source").agg(F.avg("n_chars").alias("_m"))
-    chosen = means.crossJoin(F.broadcast(overall)).where("_m > _a")  # one row of overall
+    chosen = means.where(F.col("_m") > overall)
     evidence = docs.select(F.col("source").alias("metric_id"))
     out = E.foreign_evidence(evidence, chosen.select(F.col("source").alias("metric_id")))
     return out.groupBy(F.col("metric_id").alias("source")).agg(F.count("*").alias("evidence_count"))
