@@ -5,6 +5,7 @@ All helpers return Catalyst expressions, so they stay inside whole-stage codegen
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,15 +146,20 @@ def spreadsheet_safe(c: Column) -> Column:
 
 def human_number(c: Column) -> Column:
     """Short number text: B and M suffixes, commas from a thousand, else two decimals."""
+
+    def fixed(x: Column, pattern: str) -> Column:
+        # Unlike format_string, this rounds the exact binary value.
+        return F.call_function("format_number", x, F.lit(pattern))
+
     size = F.abs(c)
     whole = c == F.floor(c)
-    large = F.when(whole, F.format_number(c, 0)).otherwise(F.format_number(c, 2))
-    small = F.when(whole, F.format_string("%.0f", c)).otherwise(F.format_string("%.2f", c))
+    large = F.when(whole, fixed(c, "#,##0")).otherwise(fixed(c, "#,##0.00"))
+    small = F.when(whole, fixed(c, "0")).otherwise(fixed(c, "0.00"))
     return (
         F.when(c.isNull(), "unavailable")
         .when(c == 0, "0")
-        .when(size >= 1e9, F.format_string("%.2fB", c / 1e9))
-        .when(size >= 1e6, F.format_string("%.2fM", c / 1e6))
+        .when(size >= 1e9, F.concat(fixed(c / 1e9, "0.00"), F.lit("B")))
+        .when(size >= 1e6, F.concat(fixed(c / 1e6, "0.00"), F.lit("M")))
         .when(size >= 1e3, large)
         .otherwise(small)
     )
@@ -169,6 +175,26 @@ def signed_number(c: Column) -> Column:
     )
 
 
+def significant(c: Column, digits: int = 12) -> Column:
+    """Keep ``digits`` significant digits; values within 1e-12 of zero become zero."""
+    text = F.format_string(f"%.{digits - 1}e", c)
+    return F.when(near_zero(c), F.lit(0.0)).otherwise(text.try_cast("double"))
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Unicode compatibility form, which has no built-in function."""
+    return texts.str.normalize("NFKC")
+
+
+def label_text(c: Column, limit: int = 60) -> Column:
+    """Label for display: no control characters, single spaces, dots after ``limit``."""
+    flat = collapse_spaces(F.regexp_replace(nfkc(c), r"\p{C}", " "))
+    flat = F.replace(flat, F.lit("$"), F.lit("\\$"))
+    cut = F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))
+    return F.when(F.length(flat) > limit, cut).otherwise(flat)
+
+
 def name_tokens(name: str) -> list[str]:
     """Lower-case word tokens of a column name; camel case counts as a boundary."""
     import re

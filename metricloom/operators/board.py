@@ -215,13 +215,14 @@ def bins(table: Table, y: str) -> DataFrame:
 
 
 def range_text(c: Column) -> Column:
-    """Four significant digits, as in printf %.4g without its exponent form."""
-    digits = F.greatest(
-        F.lit(0), 3 - F.floor(F.log10(F.when(c == 0, F.lit(1.0)).otherwise(F.abs(c)))).cast("int")
-    )
-    scale = F.pow(F.lit(10.0), digits)
-    text = F.format_string("%.6f", F.rint(c * scale) / scale)
-    return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+    """Four significant digits in the manner of C's ``%.4g``."""
+    scientific = F.format_string("%.3e", c)
+    exponent = F.regexp_extract(scientific, "e(.*)$", 1).cast("int")
+    scale = F.pow(F.lit(10.0), F.lit(3) - exponent)
+    plain = F.format_string("%.7f", F.rint(c * scale) / scale)
+    plain = F.regexp_replace(F.regexp_replace(plain, r"0+$", ""), r"\.$", "")
+    short = F.regexp_replace(scientific, r"\.?0+e", "e")
+    return F.when(c == 0, "0").when(exponent.between(-4, 3), plain).otherwise(short)
 
 
 def box(table: Table, y: str, x: str | None = None) -> DataFrame:

@@ -485,9 +485,17 @@ def board_histogram(spark, folder):
     return shown(B.bins(load(spark, folder, "lineitem"), "l_extendedprice").drop("label"), 4)
 
 
-@query("board_histogram_labels", "M21 C21")
+@query(
+    "board_histogram_labels",
+    "M21 C21",
+    _HISTOGRAM.format(c="l_extendedprice", t="lineitem", n=10)
+    .replace("SELECT g.bin, round(", "SELECT g.bin, printf('%.4g', ")
+    .replace(", 4) AS bin_start,\n    round(", ") || '–' || printf('%.4g', ")
+    .replace(", 4) AS bin_end", ") AS label"),
+)
 def board_histogram_labels(spark, folder):
-    return B.bins(load(spark, folder, "lineitem"), "l_extendedprice").select("bin", "label", "count")
+    out = B.bins(load(spark, folder, "lineitem"), "l_extendedprice")
+    return shown(out.select("bin", "label", "count"))
 
 
 @query("board_box", "C21 T8 A13",
@@ -499,7 +507,11 @@ def board_box(spark, folder):
     return shown(out.drop("lower_fence", "upper_fence"), 4)
 
 
-@query("automatic_chart", "C22")
+@query(
+    "automatic_chart",
+    "C22",
+    """SELECT p_type AS x, 'column' AS chart, round(sum(p_retailprice), 2) AS y, count(*) AS record_count FROM part GROUP BY 1""",
+)
 def automatic_chart(spark, folder):
     """Chart chosen from profiled types, then its first points."""
     from metricloom.operators.profile import profile
@@ -507,7 +519,8 @@ def automatic_chart(spark, folder):
     table = load(spark, folder, "part", "p_partkey")
     kinds = {r["column"]: r["inferred_type"] for r in profile(table).select("column", "inferred_type").collect()}
     chart = B.automatic_chart(kinds, "p_type", "p_retailprice")
-    return B.grouped(table, chart, "p_type", "p_retailprice").withColumn("chart", F.lit(chart))
+    out = B.grouped(table, chart, "p_type", "p_retailprice").withColumn("chart", F.lit(chart))
+    return shown(out.select("x", "chart", "y", "record_count"), 2)
 
 
 # ---- facts -------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +24,12 @@ def local_session(cores: int | str = 8, app: str = "metricloom") -> SparkSession
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written intermediate tables.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only a
-    local-master session without that setting gets a temporary one.
+    It is the one the session names in ``spark.checkpoint.dir``.  Only a local-master
+    session without that setting gets a temporary one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,4 +40,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 )
             folder = tempfile.mkdtemp(prefix="metricloom-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and continue from the files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing has written to yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

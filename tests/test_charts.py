@@ -127,9 +127,21 @@ def test_board(sales):
 def test_range_text(spark):
     from pyspark.sql import functions as F
 
-    values = [0.0, 12345.678, 1.23456, 0.5, -99.996]
-    df = spark.createDataFrame([(v,) for v in values], "v double").select(B.range_text(F.col("v")))
-    assert [r[0] for r in df.collect()] == ["0", "12346", "1.235", "0.5", "-100"]
+    values = [0.0, 12345.678, 1.23456, 0.5, -99.996, 9999.6, 0.000123456, 0.00001234, 1234, 1e300]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").select(B.range_text(F.col("v")))
+    assert [r[0] for r in df.collect()] == [f"{v:.4g}" for v in values]
+
+
+def test_human_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from metricloom.functions.values import human_number, signed_number
+
+    values = [0.0, 5.0, 2.675, -0.125, 999.999, 1000.0, 1234567.0, 12345.675, -2.5e9, 1e6]
+    want = ["0", "5", "2.67", "-0.12", "1000.00", "1,000", "1.23M", "12,345.67", "-2.50B", "1.00M"]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(human_number(F.col("v"))).collect()] == want
+    assert [r[0] for r in df.select(signed_number(F.col("v"))).collect()][:4] == ["0", "+5", "+2.67", "-0.12"]
 
 
 def test_facts(sales):
