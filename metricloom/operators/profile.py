@@ -1,7 +1,7 @@
 """Column profiles: missing values, statistics and inferred types in one wide scan.
 
-All per-column tests are aggregates of the same ``agg``, so a table is read once.
-Distinct counts and medians are separate.  ``count_distinct`` over many columns would
+Counts and number statistics are aggregates of one wide ``agg``.  Distinct counts and
+medians are separate, and type tests of text columns run on the distinct values.  ``count_distinct`` over many columns would
 build one hash table per column in one task; instead (column, value) pairs of equal
 type, whole numbers, floating numbers and texts, are combined before their shuffle.
 Medians go through the exact rank selection.
@@ -19,6 +19,7 @@ from metricloom.functions.frames import literal_frame, union_all
 from metricloom.functions.values import (
     BOOLEAN_VALUES,
     Table,
+    parse_number,
     parse_timestamp,
     quoted,
 )
@@ -36,6 +37,7 @@ ORDINAL_TOKENS = (
     "status", "tier",
 )
 MAX_CATEGORY_VALUES = 50
+_DATE_TEXT = "yyyy-MM-dd'T'HH:mm:ss"
 
 
 def identifier_name(name: str) -> bool:
@@ -67,10 +69,12 @@ def distinct_values(table: Table, columns: Sequence[str]) -> DataFrame:
 
 
 def _distinct_counts(table: Table, columns: Sequence[str]) -> DataFrame:
-    """(ordinal, distinct) per column with at least one value."""
+    """(ordinal, distinct) per typed column with at least one value."""
     whole, floating, other = [], [], []
     for i, name in enumerate(columns):
         kind = table.types[name].typeName()
+        if table.is_text(name):
+            continue
         if kind in ("byte", "short", "integer", "long"):
             whole.append((i, quoted(name).cast("long")))
         elif kind in ("float", "double"):
@@ -84,9 +88,52 @@ def _distinct_counts(table: Table, columns: Sequence[str]) -> DataFrame:
         cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), c.alias("v")) for i, c in group])
         pairs = table.df.select(F.inline(cells)).where(F.col("v").isNotNull())
         parts.append(pairs.distinct().groupBy("ordinal").agg(F.count("v").alias("distinct")))
+    if not parts:
+        return literal_frame(table.df.sparkSession, [], "ordinal int, distinct long")
     return union_all(parts)
 
 
+def _value_tests(value: Column) -> dict[str, Column]:
+    """What type inference asks about one text value."""
+    return {
+        "is_bool": F.lower(value).isin(*BOOLEAN_VALUES),
+        "is_date": parse_timestamp(value).isNotNull(),
+        "is_num": parse_number(value).isNotNull(),
+        "id_like": (F.length(value) <= 64)
+        & value.rlike(r"^[A-Za-z0-9_.:-]+$")
+        & value.rlike(r"[0-9]"),
+    }
+
+
+def _text_tests(table: Table, columns: Sequence[str]) -> DataFrame:
+    """Type tests per text column, asked once per distinct value instead of per row."""
+    texts = [(i, c) for i, c in enumerate(columns) if table.is_text(c)]
+    if not texts:
+        return literal_frame(
+            table.df.sparkSession,
+            [],
+            "ordinal int, distinct long, is_bool boolean, is_date boolean, is_num boolean, "
+            "id_like boolean, max_len int, avg_len double, max_words int, first_ts string, "
+            "last_ts string",
+        )
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("ordinal"), table.text(c).alias("v")) for i, c in texts]
+    )
+    long = table.df.select(F.inline(cells)).where(F.col("v").isNotNull())
+    values = long.groupBy("ordinal", "v").agg(F.count("*").alias("c"))
+    value, moment = F.col("v"), parse_timestamp(F.col("v"))
+    size = F.length(value)
+    return values.groupBy("ordinal").agg(
+        F.count("*").alias("distinct"),
+        *[F.bool_and(F.coalesce(t, F.lit(False))).alias(k) for k, t in _value_tests(value).items()],
+        F.max(size).alias("max_len"),
+        (F.sum(size * F.col("c")) / F.sum("c")).alias("avg_len"),
+        F.max(F.size(F.split(value, r"\s+"))).alias("max_words"),
+        F.date_format(F.min(moment), _DATE_TEXT).alias("first_ts"),
+        F.date_format(F.max(moment), _DATE_TEXT).alias("last_ts"),
+    )
+
+
 def profile(
     table: Table,
     *,
@@ -140,23 +187,15 @@ def profile(
             "first_ts": none.cast("timestamp"),
             "last_ts": none.cast("timestamp"),
         }
-        if table.is_text(name):
-            idlike = (
-                (F.length(value) <= 64)
-                & value.rlike(r"^[A-Za-z0-9_.:-]+$")
-                & value.rlike(r"[0-9]")
-            )
+        if table.is_text(name) and approximate:
             words = F.size(F.split(value, r"\s+"))
+            tests |= {k: all_of(t) for k, t in _value_tests(value).items()}
             tests |= {
-                "is_bool": all_of(F.lower(value).isin(*BOOLEAN_VALUES)),
-                "is_date": all_of(moment.isNotNull()),
-                "is_num": all_of(number.isNotNull()),
-                "id_like": all_of(idlike),
                 "max_len": F.max(F.length(value)),
                 "avg_len": F.avg(F.length(value)),
                 "max_words": F.max(F.when(present, words)),
             }
-        if table.is_text(name) or table.is_temporal(name):
+        if table.is_temporal(name) or (table.is_text(name) and approximate):
             tests |= {"first_ts": F.min(moment), "last_ts": F.max(moment)}
         if table.is_text(name) or table.is_number(name):
             tests |= {
@@ -171,12 +210,11 @@ def profile(
             tests["distinct"] = F.hll_sketch_estimate(F.hll_sketch_agg(value, F.lit(14)))
             tests["median"] = F.percentile_approx(number, 0.5, 10000)
         aggregates += [c.alias(f"c{i}_{k}") for k, c in tests.items()]
-        date_text = "yyyy-MM-dd'T'HH:mm:ss"
         fields = []
         for k in tests:
             c = F.col(f"c{i}_{k}")
             fields.append(
-                (F.date_format(c, date_text) if k in ("first_ts", "last_ts") else c).alias(k)
+                (F.date_format(c, _DATE_TEXT) if k in ("first_ts", "last_ts") else c).alias(k)
             )
         parts.append(
             F.struct(
@@ -189,7 +227,11 @@ def profile(
     wide = table.df.select(*inputs).agg(*aggregates)
     stats = wide.select("row_count", F.inline(F.array(*parts)))
     if not approximate:
-        counts = _distinct_counts(table, columns)
+        found = _text_tests(table, columns).unionByName(
+            _distinct_counts(table, columns), allowMissingColumns=True
+        )
+        asked = [c for c in found.columns if c not in ("ordinal", "distinct")]
+        found = found.select("ordinal", "distinct", *[F.col(c).alias(f"_{c}") for c in asked])
         numbers = [
             F.struct(F.lit(i).alias("ordinal"), table.num(c).alias("v"))
             for i, c in enumerate(columns)
@@ -207,9 +249,10 @@ def profile(
             middle = literal_frame(spark, [], "ordinal int, median double")
         # One row per column on either side.
         stats = (
-            stats.join(F.broadcast(counts), "ordinal", "left")
+            stats.join(F.broadcast(found), "ordinal", "left")
             .join(F.broadcast(middle), "ordinal", "left")
             .fillna(0, ["distinct"])
+            .withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in asked})
         )
     n, distinct = F.col("n"), F.col("distinct")
     kind = (

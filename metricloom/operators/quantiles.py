@@ -35,10 +35,12 @@ def _magnitude_bucket(v: Column) -> Column:
 def _renamed(frame: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Column]:
     """Rename the join columns of a target frame; return it with the join condition."""
     condition = F.lit(True)
+    fixed = {f.name for f in frame.schema.fields if not f.nullable} | {"_b1"}
     for i, name in enumerate(names):
         frame = frame.withColumnRenamed(name, f"_t{i}")
         left, right = F.col(name), F.col(f"_t{i}")
-        condition = condition & (left == right if name == "_b1" else left.eqNullSafe(right))
+        # Plain equality where no NULL can occur: a cheaper hash key.
+        condition = condition & (left == right if name in fixed else left.eqNullSafe(right))
     return frame, condition
 
 
