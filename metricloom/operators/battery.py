@@ -351,11 +351,12 @@ class Battery:
                 for n, c in zip(self._segment_names, self.categories, strict=True)
             ],
         ).where(F.col("_x").isNotNull())
-        one = self.temporal_fixed.where(F.col("metric_pos") == i).select("status", "granularity")
+        # One row of the temporal frame, so the labels use a constant granularity.
+        known = self.temporal.where(F.col("metric_pos") == i).first()
         keys = ["level", "category_pos", "segment", "period"]
         spread = (
-            rows.withColumn("status", one.select("status").scalar())
-            .withColumn("granularity", one.select("granularity").scalar())
+            rows.withColumn("status", F.lit(known["status"]))
+            .withColumn("granularity", F.lit(known["granularity"]).cast("string"))
             .withColumn("_l", F.explode(self._levels()))
             .select("_x", "_day", "status", "granularity", "_l.*")
             .withColumn("period", self._period())

@@ -67,9 +67,12 @@ def grouped(table: Table, chart: str, x: str, y: str | None = None) -> DataFrame
     kept = kept.withColumn("position", F.row_number().over(place))
     if chart in POSITIVE:
         kept = kept.where(F.col("y") > 0)
-    out = kept.withColumn(
-        "total_records", points.agg(F.sum("record_count")).scalar()
-    ).withColumn("group_count", points.agg(F.count("*")).scalar())
+    totals = points.agg(
+        F.struct(
+            F.sum("record_count").alias("total_records"), F.count("*").alias("group_count")
+        )
+    )
+    out = kept.withColumn("_totals", totals.scalar()).select("*", "_totals.*").drop("_totals")
     out = out.withColumn("truncated", F.col("group_count") > limit)
     if chart == "pareto":
         running = Window.partitionBy(F.lit(0)).orderBy("position").rowsBetween(

@@ -145,13 +145,16 @@ def distribution(values: DataFrame) -> DataFrame:
         (at[3] + 1.5 * iqr).alias("upper_fence"),
     )
     summary = checkpointed(summary)
-    low, high = summary.select("lower_fence").scalar(), summary.select("upper_fence").scalar()
-    beyond = (F.col("value") < low) | (F.col("value") > high)
-    return summary.select(
-        "*",
-        rows.agg(F.avg("value")).scalar().alias("mean"),
-        rows.where(beyond).agg(F.count("*")).scalar().alias("outlier_count"),
+    fences = summary.select(F.struct("lower_fence", "upper_fence")).scalar()
+    marked = rows.withColumn("_f", fences).select("value", "_f.*")
+    beyond = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
+    rest = marked.agg(
+        F.avg("value").alias("mean"),
+        F.count_if(beyond).alias("outlier_count"),
+        F.count("*").alias("record_count"),
     )
+    # Both sides are one row with the same count.
+    return summary.join(F.broadcast(rest), "record_count")
 
 
 def target_comparison(card: DataFrame) -> DataFrame:

@@ -485,8 +485,8 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
         F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))
     )
     counted = (
-        values.withColumn("lo", span.select("lo").scalar())
-        .withColumn("hi", span.select("hi").scalar())
+        values.withColumn("_s", span.select(F.struct("lo", "hi")).scalar())
+        .select("v", "_s.*")
         .groupBy(index.cast("int").alias("_b"))
         .agg(F.count("*").alias("count"))
     )
