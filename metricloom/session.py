@@ -27,14 +27,14 @@ def local_session(cores: int | str = 8, app: str = "metricloom") -> SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and written intermediate tables.
 
-    It is the one the session names in ``spark.checkpoint.dir``.  Only a local-master
-    session without that setting gets a temporary one.
+    It is the one the session names in ``spark.checkpoint.dir``.  Only a session whose
+    executors are threads of one process (``local[n]``) gets a temporary one without it.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise RuntimeError(
                     "Set spark.checkpoint.dir to a folder every executor can reach."
                 )
