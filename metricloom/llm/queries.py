@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metricloom.llm import decontamination, exact_dedup, language_id, mixing, simhash
+from metricloom.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    mixing,
+    pii,
+    secrets,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 from metricloom.llm.common import read
 from metricloom.llm.oracle import SQL
 
@@ -21,13 +31,42 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, folder, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pii(read(spark, folder, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.decontamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read(spark, folder, "documents"))
+
+
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secrets(read(spark, folder, "documents"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixing(read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_simhash, op6_decontamination, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_language_id,
+        op3_simhash,
+        op4_toxicity,
+        op5_pii,
+        op6_decontamination,
+        op7_substring_dedup,
+        op9_secrets,
+        op10_mixing,
+    )
+}
 ORACLE = {name: sql for name, sql in SQL.items() if name in QUERIES}
