@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from metricloom.llm import (
     decontamination,
     exact_dedup,
+    html_text,
     language_id,
     mixing,
     pii,
@@ -47,6 +48,10 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.substring_dedup(read(spark, folder, "documents"))
 
 
+def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.html_text(read(spark, folder, "pages"))
+
+
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secrets(read(spark, folder, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES = {
         op5_pii,
         op6_decontamination,
         op7_substring_dedup,
+        op8_html_text,
         op9_secrets,
         op10_mixing,
     )
