@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from metricloom.session import new_path
@@ -59,6 +60,29 @@ def crc_remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def bounded_sample(rows: DataFrame, group: str, mark: Column, limit: int, groups: int = 1000) -> DataFrame:
+    """At most ``limit`` rows of each of the ``groups`` most frequent groups, in the order of a hash.
+
+    ``place`` numbers them from 1.  The leading zeros of the hash thin every group out to
+    about twice the limit before any group meets in a task.
+    """
+    hashed = rows.withColumn("hash_", F.pmod(F.xxhash64(mark, F.lit("sample")), F.lit(1 << 32)))
+    hashed = hashed.withColumn("level_", 32 - F.length(F.bin("hash_")))
+    counts = hashed.groupBy(group, "level_").agg(F.count(F.lit(1)).alias("n_"))
+    above = F.sum("n_").over(W.partitionBy(group).orderBy(F.col("level_").desc()))
+    cuts = (
+        counts.withColumn("above_", above)
+        .groupBy(group)
+        .agg(F.coalesce(F.max(F.when(F.col("above_") >= limit, F.col("level_"))), F.lit(0)).alias("cut_"), F.sum("n_").alias("n_"))
+        .orderBy(F.desc("n_"), group)
+        .limit(groups)
+        .select(group, "cut_")
+    )
+    thin = hashed.join(F.broadcast(cuts), group).where("level_ >= cut_")
+    order = W.partitionBy(group).orderBy("hash_", mark)
+    return thin.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("hash_", "level_", "cut_")
+
+
 def in_batches(function: Callable, *arguments) -> Callable:
     """Adapt ``function(batch, *arguments) -> batch`` to ``mapInArrow``; empty batches are skipped."""
 

@@ -21,10 +21,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import ROW, crc_remainder, in_batches, unwrapped, wrapped
+from metricloom.llm.common import ROW, bounded_sample, crc_remainder, in_batches, unwrapped, wrapped
 
 UNDETERMINED = "und"
 #: Letters per piece of a long text.
@@ -209,16 +208,12 @@ class Profiles:
 def training_sample(
     docs: DataFrame, usable: Column, per_language: int, total: int
 ) -> DataFrame:
-    """Labelled training rows: at most ``per_language`` of a language and ``total`` in all.
-
-    Rows are taken in the order of a hash of their id, the languages in turn.  The ids are
+    """Labelled training rows: at most ``per_language`` of each of the 1000 most frequent languages
+    and ``total`` in all.  Rows are taken in the order of a hash of their id, the languages in turn.  The ids are
     chosen on slim rows; their texts are then fetched by a broadcast of at most ``total`` ids.
     """
     slim = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    ranked = slim.select(
-        "doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id")).alias("place")
-    ).where(F.col("place") <= per_language)
+    ranked = bounded_sample(slim.select("doc_id", "lang"), "lang", F.col("doc_id"), per_language)
     chosen = ranked.orderBy("place", "lang", "doc_id").limit(total).select("doc_id").distinct()
     return slim.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
 

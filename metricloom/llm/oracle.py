@@ -13,8 +13,8 @@ SQL = {
     places AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS words
       FROM docs, (SELECT DISTINCT n FROM windows), unnest(generate_series(1, len(w) - n + 1)) AS t(i)),
     found AS (SELECT DISTINCT doc_id, item_id, n, i FROM places JOIN windows USING (n, words)),
-    hits AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM
-      (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS at FROM (SELECT DISTINCT doc_id, n, i FROM found)) GROUP BY 1),
+    hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM
+      (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS place FROM (SELECT DISTINCT doc_id, n, i FROM found)) GROUP BY 1),
     named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY 1)
     SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,

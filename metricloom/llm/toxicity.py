@@ -34,10 +34,9 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import crc_remainder, in_batches, text_of, written
+from metricloom.llm.common import bounded_sample, crc_remainder, in_batches, text_of, written
 
 BUCKETS = 1 << 20
 SAMPLE = 20_000
@@ -90,8 +89,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
     distinct = marked.join(known, "doc_id").groupBy("mark").agg(
         F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")
     )
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("mark", F.lit("sample")), "mark")
-    chosen = distinct.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    chosen = bounded_sample(distinct, "toxic", F.col("mark"), size)
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("mark", F.xxhash64("text"))
     picked = rows.join(F.broadcast(chosen.select("doc_id", "mark", "toxic")), ["doc_id", "mark"])
     return written(picked.select("mark", "toxic", "text").dropDuplicates(["mark"]).select("toxic", "text"), "toxic-sample")
