@@ -257,20 +257,62 @@ def answered_once(answers: DataFrame, expected: DataFrame, group: str, fact: str
 
 
 def flatten_numbers(
-    df: DataFrame, key: str, json: str, max_depth: int = 5, max_keys: int = 12, max_items: int = 8
+    df: DataFrame,
+    key: str,
+    json: str,
+    max_depth: int | None = None,
+    max_keys: int | None = None,
+    max_items: int | None = None,
 ) -> DataFrame:
-    """(key, path, label, number) of the numeric leaves of JSON text, level by level."""
-    return _leaves(df, key, json, max_depth, max_keys, max_items, numeric=True)
+    """(key, path, label, number) of the numeric leaves of JSON text, level by level.
+
+    Everything by default.  The limits keep the first keys and items of every object and
+    array and the upper levels; :func:`omitted_leaves` counts what they leave out.
+    """
+    return _leaves(df, key, json, max_depth, max_keys, max_items, None, numeric=True)
 
 
 def flatten_labels(
-    df: DataFrame, key: str, json: str, max_depth: int = 5, max_keys: int = 12, max_items: int = 8
+    df: DataFrame,
+    key: str,
+    json: str,
+    max_depth: int | None = None,
+    max_keys: int | None = None,
+    max_items: int | None = None,
+    max_length: int | None = None,
 ) -> DataFrame:
-    """(key, path, label) of the short text leaves of JSON text."""
-    return _leaves(df, key, json, max_depth, max_keys, max_items, numeric=False)
+    """(key, path, label) of the text leaves of JSON text, or of those of ``max_length``."""
+    return _leaves(df, key, json, max_depth, max_keys, max_items, max_length, numeric=False)
+
+
+def omitted_leaves(whole: DataFrame, limited: DataFrame, key: str) -> DataFrame:
+    """(key, omitted_count) of the keys whose limited leaves are not the whole ones."""
+    left = whole.join(limited.select(key, "path"), [key, "path"], "left_anti")
+    return left.groupBy(key).agg(F.count("*").alias("omitted_count"))
 
 
-def _leaves(df, key, json, max_depth, max_keys, max_items, *, numeric: bool) -> DataFrame:
+def json_depth(df: DataFrame, json: str) -> int:
+    """Deepest nesting of brackets in a JSON column, outside its strings."""
+    bare = F.regexp_replace(F.col(json), r'"(?:[^"\\]|\\.)*+"', "")
+    steps = F.transform(
+        F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "(?!$)"),
+        lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0),
+    )
+    deepest = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, d: F.struct(
+            (s["now"] + d).alias("now"), F.greatest(s["most"], s["now"] + d).alias("most")
+        ),
+    )["most"]
+    return df.agg(F.max(deepest)).first()[0] or 0
+
+
+def _leaves(
+    df, key, json, max_depth, max_keys, max_items, max_length, *, numeric: bool
+) -> DataFrame:
+    if max_depth is None:
+        max_depth = json_depth(df, json)
     level = df.select(
         F.col(key).alias("_key"), F.lit("facts").alias("path"), F.try_parse_json(json).alias("v")
     ).where(F.col("v").isNotNull())
@@ -292,11 +334,16 @@ def _leaves(df, key, json, max_depth, max_keys, max_items, *, numeric: bool) ->
         level = nested.lateralJoin(children.toDF("_i", "_k", "_child")).select(
             "_key", "_p", "_i", "_k", F.col("_child").alias("v")
         )
-        bound = F.when(F.col("_k").isNull(), max_items).otherwise(max_keys)
+        item = F.col("_k").isNull()
+        inside = F.lit(True)
+        if max_items is not None:
+            inside = inside & (~item | (F.col("_i") < max_items))
+        if max_keys is not None:
+            inside = inside & (item | (F.col("_i") < max_keys))
         step = F.when(
             F.col("_k").isNull(), F.concat(F.lit("["), F.col("_i").cast("string"), F.lit("]"))
         ).otherwise(F.concat(F.lit("."), F.col("_k")))
-        level = level.where(F.col("_i") < bound).select(
+        level = level.where(inside).select(
             "_key", F.concat("_p", step).alias("path"), "v"
         )
     out = found[0]
@@ -305,7 +352,9 @@ def _leaves(df, key, json, max_depth, max_keys, max_items, *, numeric: bool) ->
     out = out.withColumnRenamed("_key", key)
     if numeric:
         return out.withColumn("label", fact_label(F.col("path")))
-    usable = (F.length("label") > 0) & (F.length("label") <= 120)
+    usable = F.length("label") > 0
+    if max_length is not None:
+        usable = usable & (F.length("label") <= max_length)
     generated = F.col("label").rlike(r"^(EVD|STY)-[0-9A-F]{16}$")
     return out.where(usable & ~generated)
 
@@ -333,12 +382,12 @@ def fact_priority(path: Column) -> Column:
     return rank
 
 
-def top_facts(facts: DataFrame, key: str) -> DataFrame:
-    """The eight highest-priority numeric facts per evidence, with reference ids."""
+def top_facts(facts: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Numeric facts per evidence by priority, all or the first ``limit``, with reference ids."""
     order = Window.partitionBy(key).orderBy(fact_priority(F.col("path")), F.lower("path"))
-    numbered = facts.withColumn("_n", F.row_number().over(order)).where(
-        F.col("_n") <= MAX_FACTS_PER_EVIDENCE
-    )
+    numbered = facts.withColumn("_n", F.row_number().over(order))
+    if limit is not None:
+        numbered = numbered.where(F.col("_n") <= limit)
     return numbered.select(
         key,
         F.concat(F.col(key).cast("string"), F.format_string("::FACT-%03d", "_n")).alias("reference"),

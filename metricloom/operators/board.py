@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from metricloom.functions.values import Table, clean
 from metricloom.operators.charts import ChartError, box_summary, histogram
 
-# Caps of the board.
+# Display limits of the board.  Every chart takes its limit as a parameter and
+# shows everything by default; callers pass these.
 MAX_GROUPS = 16
 MAX_PIE_GROUPS = 8
 MAX_STACK_GROUPS = 12
@@ -39,8 +40,18 @@ def _labels(table: Table, name: str) -> Column:
     return table.text(name)
 
 
-def grouped(table: Table, chart: str, x: str, y: str | None = None) -> DataFrame:
-    """Sum of ``y`` (or record count) per label, capped and ordered for the chart."""
+def display_limit(chart: str) -> int:
+    """The number of groups the board shows in a grouped chart."""
+    return MAX_PIE_GROUPS if chart in SHORT else MAX_GROUPS
+
+
+def grouped(
+    table: Table, chart: str, x: str, y: str | None = None, limit: int | None = None
+) -> DataFrame:
+    """Sum of ``y`` (or record count) per label, ordered for the chart.
+
+    ``limit`` keeps the first groups in that order; ``group_count`` counts all of them.
+    """
     if chart not in GROUPED:
         raise ChartError(f"The chart is one of {GROUPED}.")
     if chart in ("line", "area") and not (table.is_temporal(x) or table.is_text(x)):
@@ -54,7 +65,6 @@ def grouped(table: Table, chart: str, x: str, y: str | None = None) -> DataFrame
     points = rows.groupBy("x").agg(
         F.sum("v").alias("y"), F.count("*").alias("record_count"), F.min("key").alias("first_row")
     )
-    limit = MAX_PIE_GROUPS if chart in SHORT else MAX_GROUPS
     if chart in ("line", "area"):
         order = [F.col("x")]
     elif chart == "waterfall":
@@ -62,7 +72,7 @@ def grouped(table: Table, chart: str, x: str, y: str | None = None) -> DataFrame
         order = [F.col("first_row")]
     else:
         order = [F.desc(F.abs("y")), F.col("first_row"), F.col("x")]
-    kept = points.orderBy(*order).limit(limit)
+    kept = points if limit is None else points.orderBy(*order).limit(limit)
     place = Window.partitionBy(F.lit(0)).orderBy(*order)
     kept = kept.withColumn("position", F.row_number().over(place))
     if chart in POSITIVE:
@@ -73,7 +83,7 @@ def grouped(table: Table, chart: str, x: str, y: str | None = None) -> DataFrame
         )
     )
     out = kept.withColumn("_totals", totals.scalar()).select("*", "_totals.*").drop("_totals")
-    out = out.withColumn("truncated", F.col("group_count") > limit)
+    out = out.withColumn("truncated", F.lit(False) if limit is None else F.col("group_count") > limit)
     if chart == "pareto":
         running = Window.partitionBy(F.lit(0)).orderBy("position").rowsBetween(
             Window.unboundedPreceding, Window.currentRow
@@ -93,8 +103,21 @@ def grouped(table: Table, chart: str, x: str, y: str | None = None) -> DataFrame
     return out.drop("first_row")
 
 
-def stacked(table: Table, chart: str, x: str, y: str, series: str) -> DataFrame:
-    """Top x times top series, absent combinations filled with zero."""
+def stacked(
+    table: Table,
+    chart: str,
+    x: str,
+    y: str,
+    series: str,
+    limit: int | None = None,
+    series_limit: int | None = None,
+) -> DataFrame:
+    """Sums per x and series with their places.
+
+    With both limits, the top x times the top series with absent combinations as zero;
+    ``x_count`` and ``series_count`` tell how many there are.  Without one, only the
+    combinations that exist, since the full grid grows with the product of both.
+    """
     if chart not in STACKED:
         raise ChartError(f"The chart is one of {STACKED}.")
     if len({x, y, series}) != 3:
@@ -110,24 +133,33 @@ def stacked(table: Table, chart: str, x: str, y: str, series: str) -> DataFrame:
         .groupBy("x", "series")
         .agg(F.sum("v").alias("y"), F.min("key").alias("first_row"))
     )
-    def top(name: str, n: int, by_label: bool) -> DataFrame:
+    def top(name: str, n: int | None, by_label: bool) -> DataFrame:
         totals = cells.groupBy(name).agg(F.sum("y").alias("_t"), F.min("first_row").alias("_f"))
         order = [F.col(name)] if by_label else [F.desc("_t"), F.col("_f"), F.col(name)]
         place = Window.partitionBy(F.lit(0)).orderBy(*order)
-        return totals.orderBy(*order).limit(n).select(
-            name, F.row_number().over(place).alias(f"{name}_position")
-        )
+        kept = totals if n is None else totals.orderBy(*order).limit(n)
+        return kept.select(name, F.row_number().over(place).alias(f"{name}_position"))
 
     dated = table.is_temporal(x)
-    # Eight series as one array value, spread over twelve labels: at most 96 rows.
-    kept = top("series", MAX_STACK_SERIES, False)
-    every = kept.agg(F.collect_list(F.struct("series", "series_position"))).scalar()
-    labels = top("x", MAX_STACK_GROUPS, dated).withColumn("_all", every)
-    grid = F.broadcast(labels.select("x", "x_position", F.inline("_all")))
-    shown = cells.join(grid.select("x", "series"), ["x", "series"])
-    filled = grid.join(F.broadcast(shown), ["x", "series"], "left").select(
-        "x", "series", "x_position", "series_position", F.coalesce("y", F.lit(0.0)).alias("y")
-    )
+    counts = cells.agg(
+        F.struct(F.count_distinct("x").alias("x_count"), F.count_distinct("series").alias("series_count"))
+    ).scalar()
+    if limit is None or series_limit is None:
+        filled = (
+            cells.join(top("x", limit, dated), "x")
+            .join(top("series", series_limit, False), "series")
+            .select("x", "series", "x_position", "series_position", "y")
+        )
+    else:
+        # The series as one array value of at most ``series_limit``, spread over the labels.
+        kept = top("series", series_limit, False)
+        every = kept.agg(F.collect_list(F.struct("series", "series_position"))).scalar()
+        labels = top("x", limit, dated).withColumn("_all", every)
+        grid = labels.select("x", "x_position", F.inline("_all"))
+        filled = grid.join(cells.select("x", "series", "y"), ["x", "series"], "left").select(
+            "x", "series", "x_position", "series_position", F.coalesce("y", F.lit(0.0)).alias("y")
+        )
+    filled = filled.withColumn("_counts", counts).select("*", "_counts.*").drop("_counts")
     if chart.startswith("stacked_100"):
         inside = Window.partitionBy("x")
         filled = filled.withColumn(
@@ -157,8 +189,11 @@ def stacked_problems(table: Table, x: str, y: str, series: str) -> DataFrame:
     return checked.select(F.explode(problems).alias("problem"))
 
 
-def combo(table: Table, x: str, y: str, secondary: str) -> DataFrame:
-    """Two sums per label over rows where both values are valid."""
+def combo(table: Table, x: str, y: str, secondary: str, limit: int | None = None) -> DataFrame:
+    """Two sums per label over rows where both values are valid.
+
+    ``limit`` keeps the first labels; ``group_count`` counts all of them.
+    """
     if y == secondary:
         raise ChartError("Use two different measures.")
     a, b = table.num(y), table.num(secondary)
@@ -169,11 +204,14 @@ def combo(table: Table, x: str, y: str, secondary: str) -> DataFrame:
         F.sum("a").alias("y"), F.sum("b").alias("secondary_y"), F.count("*").alias("record_count")
     )
     order = [F.col("x")] if table.is_temporal(x) else [F.desc(F.abs("y")), F.col("x")]
-    return points.orderBy(*order).limit(MAX_GROUPS)
+    count = points.agg(F.count("*")).scalar()
+    return (points if limit is None else points.orderBy(*order).limit(limit)).withColumn("group_count", count)
 
 
-def points(table: Table, x: str, y: str, size: str | None = None) -> DataFrame:
-    """First 250 valid points in row order, with the number of all valid points."""
+def points(
+    table: Table, x: str, y: str, size: str | None = None, limit: int | None = None
+) -> DataFrame:
+    """Valid points, or the first ``limit`` in row order, with the number of all valid points."""
     key = _need_key(table)
     columns = {"x": table.num(x), "y": table.num(y)}
     if size:
@@ -184,12 +222,9 @@ def points(table: Table, x: str, y: str, size: str | None = None) -> DataFrame:
         valid = valid & (F.col("size") > 0)
     rows = rows.where(valid)
     count = rows.agg(F.count("*")).scalar()
-    return (
-        rows.orderBy("row_key")
-        .limit(MAX_POINTS)
-        .withColumn("valid_count", count)
-        .withColumn("truncated", F.col("valid_count") > MAX_POINTS)
-    )
+    kept = rows if limit is None else rows.orderBy("row_key").limit(limit)
+    kept = kept.withColumn("valid_count", count)
+    return kept.withColumn("truncated", F.lit(False) if limit is None else F.col("valid_count") > limit)
 
 
 def card(table: Table, y: str, target: float | None = None) -> DataFrame:
@@ -228,15 +263,17 @@ def range_text(c: Column) -> Column:
     return F.when(c == 0, "0").when(exponent.between(-4, 3), plain).otherwise(short)
 
 
-def box(table: Table, y: str, x: str | None = None) -> DataFrame:
-    """Summaries of the 16 groups with most records."""
+def box(table: Table, y: str, x: str | None = None, limit: int | None = None) -> DataFrame:
+    """Summaries of all groups, or of the ``limit`` groups with most records."""
     label = table.text(x) if x else F.lit("All records")
     rows = table.df.select(label.alias("x"), table.num(y).alias("value"))
     if x is None:
         return box_summary(rows, few_groups=True)
     valid = rows.where(F.col("x").isNotNull() & F.col("value").isNotNull())
+    if limit is None:
+        return box_summary(valid)
     largest = valid.groupBy("x").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "x")
-    largest = F.broadcast(largest.limit(MAX_GROUPS).select("x"))  # 16 rows
+    largest = F.broadcast(largest.limit(limit).select("x"))
     return box_summary(valid.join(largest, "x"), few_groups=True)
 
 

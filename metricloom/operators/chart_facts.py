@@ -1,7 +1,7 @@
 """Second-level facts about chart rows: extremes, changes, shares and findings.
 
-Inputs are chart frames, which are bounded by their caps, except for scatter and
-distribution observations, which aggregate row-level frames.  ``x_order`` is a column
+Inputs are chart frames, a row per displayed point, except for scatter and distribution
+observations, which aggregate row-level frames.  ``x_order`` is a column
 that orders the displayed points (position, or the period label of a time chart).
 """
 
@@ -15,6 +15,7 @@ from metricloom.functions.values import clean, human_number, signed_number
 from metricloom.operators.quantiles import exact_quantiles
 from metricloom.session import checkpointed
 
+# What a display shows; callers pass them as limits.
 MAX_OBSERVATIONS = 24
 MAX_FINDINGS = 5
 
@@ -210,8 +211,10 @@ def summary_numbers(rows: DataFrame, x_order: str) -> DataFrame:
     )
 
 
-def observations(rows: DataFrame, chart: str, x_order: str) -> DataFrame:
-    """All observations of a grouped chart in one shape, at most 24."""
+def observations(
+    rows: DataFrame, chart: str, x_order: str, limit: int | None = None
+) -> DataFrame:
+    """All observations of a grouped chart in one shape, or the first ``limit``."""
     parts = [
         extremes(rows, x_order).select(
             F.lit(0).alias("_k"),
@@ -252,16 +255,14 @@ def observations(rows: DataFrame, chart: str, x_order: str) -> DataFrame:
             )
         )
     order = Window.partitionBy(F.lit(0)).orderBy("measure", "_k", "_s")
-    return (
-        union_all(parts)
-        .withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= MAX_OBSERVATIONS)
-        .drop("_k", "_s")
-    )
+    out = union_all(parts).withColumn("position", F.row_number().over(order)).drop("_k", "_s")
+    return out if limit is None else out.where(F.col("position") <= limit)
 
 
-def findings(rows: DataFrame, chart: str, x_order: str, aggregation: str) -> DataFrame:
-    """Up to five distinct sentences about a grouped chart."""
+def findings(
+    rows: DataFrame, chart: str, x_order: str, aggregation: str, limit: int | None = None
+) -> DataFrame:
+    """Distinct sentences about a grouped chart, all or the first ``limit``."""
 
     def label(point: str) -> Column:
         return point_label(F.col(f"{point}.x"), F.col(f"{point}.series"))
@@ -366,17 +367,17 @@ def findings(rows: DataFrame, chart: str, x_order: str, aggregation: str) -> Dat
                 ).alias("finding"),
             )
         )
-    # Sentences come from a capped chart, so these windows see a few dozen rows.
+    # A few sentences per measure and series.
     first = Window.partitionBy("finding").orderBy("_p", "measure")
     order = Window.partitionBy(F.lit(0)).orderBy("_p", "measure", "finding")
-    return (
+    out = (
         union_all(sentences)
         .withColumn("_d", F.row_number().over(first))
         .where(F.col("_d") == 1)
         .withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= MAX_FINDINGS)
         .select("position", "measure", "finding")
     )
+    return out if limit is None else out.where(F.col("position") <= limit)
 
 
 def rounded_summary(frame: DataFrame, *names: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.frames import literal_frame
 from metricloom.functions.values import Table, clean, period_label
 from metricloom.operators.kpi import AGGREGATIONS, Kpi, Measure, Registry, aggregate_measures, source_kpi
+from metricloom.operators.profile import profile
 from metricloom.operators.quantiles import exact_quantiles
 from metricloom.session import checkpointed
 
@@ -222,11 +223,11 @@ def filter_date_column(
     return dates[0] if len(dates) == 1 else None
 
 
-def profile_facts(profile: DataFrame) -> dict[str, dict]:
+def profile_facts(profiled: DataFrame) -> dict[str, dict]:
     """Schema-level profile facts for driver-side checks; one entry per column."""
     names = ("inferred_type", "unique_count", "is_kpi_candidate", "is_date_candidate",
              "is_category_candidate")
-    return {r["column"]: {n: r[n] for n in names} for r in profile.select("column", *names).collect()}
+    return {r["column"]: {n: r[n] for n in names} for r in profiled.select("column", *names).collect()}
 
 
 def filter_rows(table: Table, spec: ChartSpec, registry: Registry | None = None) -> DataFrame:
@@ -320,15 +321,15 @@ def _ordered_labels(long: DataFrame, spec: ChartSpec) -> DataFrame:
     return kept.select("x", F.row_number().over(ranked).alias("x_position"))
 
 
-def _densify(rows: DataFrame, xs: DataFrame, fill: Column, *, few: bool = True) -> DataFrame:
+def _densify(rows: DataFrame, xs: DataFrame, fill: Column) -> DataFrame:
     """Every kept x with every series; absent combinations get ``fill``.
 
-    The series (12 at most, see :func:`guards`) travel as one array value.  ``few`` says
-    that the labels are capped, so the rows may be broadcast.
+    The x labels travel as one array value: at most ``top_n`` of them, or the periods of the
+    calendar.  The series stay distributed, however many there are.
     """
     names = ("series", "measure", "measure_selector", "aggregation", "measure_position")
-    every = rows.agg(F.collect_set(F.struct(*names))).scalar()
-    grid = xs.withColumn("_all", every).select(*xs.columns, F.inline("_all"))
+    every = xs.agg(F.collect_list(F.struct(*xs.columns))).scalar()
+    grid = rows.select(*names).distinct().withColumn("_all", every).select(F.inline("_all"), *names)
     have = rows.select(
         F.col("x").alias("_x"),
         F.col("series").alias("_s"),
@@ -342,7 +343,7 @@ def _densify(rows: DataFrame, xs: DataFrame, fill: Column, *, few: bool = True)
         & (F.col("measure_position") == F.col("_m"))
     )
     return (
-        grid.join(F.broadcast(have) if few else have, condition, "left")
+        grid.join(have, condition, "left")
         .withColumn("value", F.coalesce("value", fill))
         .withColumn("record_count", F.coalesce("record_count", F.lit(0)))
         .drop("_x", "_s", "_m")
@@ -360,7 +361,7 @@ def chart_data(table: Table, spec: ChartSpec, registry: Registry | None = None)
         rows = long.drop("first_row")
         if spec.chart != "time_line" and spec.series:
             xs = rows.select("x").distinct()
-            rows = _densify(rows, xs, F.lit(0.0), few=False)
+            rows = _densify(rows, xs, F.lit(0.0))
         return rows.orderBy("x", "series", "measure")
     labels = F.broadcast(_ordered_labels(long, spec))
     rows = long.join(labels, "x").drop("first_row")
@@ -413,6 +414,17 @@ def chart_data(table: Table, spec: ChartSpec, registry: Registry | None = None)
     return rows.orderBy("x_position", "series", "measure_position")
 
 
+def drawable(table: Table, spec: ChartSpec, registry: Registry | None = None) -> DataFrame:
+    """:func:`chart_data` after the column rules, refused when the rows break a guard."""
+    check_columns(spec, profile_facts(profile(table)))
+    rows = chart_data(table, spec, registry)
+    if "value" in rows.columns:
+        problems = [r["problem"] for r in guards(rows, spec).collect()]
+        if problems:
+            raise ChartError(f"The chart cannot be drawn: {problems}")
+    return rows
+
+
 def guards(rows: DataFrame, spec: ChartSpec) -> DataFrame:
     """Rule violations of chart rows, one row each; an empty frame means drawable."""
     checked = rows.agg(
@@ -468,7 +480,7 @@ def _row_chart(table: Table, spec: ChartSpec, registry: Registry | None) -> Data
     if spec.chart == "histogram":
         return histogram(df.select(value.alias("value")), F.col("value"), spec.bins)
     category = table.text(spec.x) if spec.x else F.lit("All records")
-    return box_summary(df.select(category.alias("x"), value.alias("value")), few_groups=True)
+    return box_summary(df.select(category.alias("x"), value.alias("value")), few_groups=True if spec.x is None else None)
 
 
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:

@@ -66,6 +66,7 @@ SECTIONS = (
     ),
 )
 DIAGNOSTICS = ("missing_data_warning", "insufficient_data_warning", "analysis_skipped")
+# What a report shows; callers pass them as limits.
 MAX_DEFAULT_EVIDENCE = 10
 MAX_DEFAULT_ASSOCIATIONS = 2
 MAX_PACKAGE_EVIDENCE = 50
@@ -184,8 +185,14 @@ def build_evidence(insights: DataFrame, dataset_id: str) -> DataFrame:
     )
 
 
-def recommended(evidence: DataFrame) -> DataFrame:
-    """Default pick: one finding per KPI first, then by rank, with two associations."""
+def recommended(
+    evidence: DataFrame, limit: int | None = None, associations: int | None = None
+) -> DataFrame:
+    """Pick in order: one finding per KPI first, then by rank.
+
+    ``limit`` keeps the first findings and ``associations`` the first associations;
+    ``available`` counts what there was to pick from.
+    """
     by_metric = Window.partitionBy("metric_id").orderBy("rank")
     usable = evidence.where(F.col("kind") != "diagnostic")
     anchors = (
@@ -198,18 +205,20 @@ def recommended(evidence: DataFrame) -> DataFrame:
         F.broadcast(anchors), usable["evidence_id"] == F.col("_anchor"), "left"
     ).withColumn("priority", F.when(F.col("_anchor").isNotNull(), 0).otherwise(1))
     of_kind = Window.partitionBy("kind").orderBy("rank")
-    allowed = (
-        (F.col("kind") != "association") | (F.col("_k") <= MAX_DEFAULT_ASSOCIATIONS)
-    )
+    allowed = F.lit(True)
+    if associations is not None:
+        allowed = (F.col("kind") != "association") | (F.col("_k") <= associations)
     first = F.when(F.col("priority") == 0, F.col("metric_pos")).otherwise(F.col("rank"))
     order = Window.partitionBy(F.lit(0)).orderBy("priority", first)
-    return (
+    whole = Window.partitionBy(F.lit(0))
+    picked = (
         marked.withColumn("_k", F.row_number().over(of_kind))
+        .withColumn("available", F.count("*").over(whole))
         .where(allowed)
         .withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= MAX_DEFAULT_EVIDENCE)
         .drop("_k", "_anchor", "priority")
     )
+    return picked if limit is None else picked.where(F.col("position") <= limit)
 
 
 def sectioned(evidence: DataFrame) -> DataFrame:
@@ -227,9 +236,13 @@ def sectioned(evidence: DataFrame) -> DataFrame:
 
 
 def package(
-    evidence: DataFrame, support: DataFrame, selected: DataFrame | None = None
+    evidence: DataFrame,
+    support: DataFrame,
+    selected: DataFrame | None = None,
+    max_evidence: int = MAX_PACKAGE_EVIDENCE,
+    max_rows: int = MAX_PACKAGE_ROWS,
 ) -> DataFrame:
-    """The first 50 selected findings with at most 12 support rows each.
+    """The first ``max_evidence`` selected findings with at most ``max_rows`` support rows each.
 
     What is left out is counted: ``support_omitted`` per finding, and the findings
     beyond the bound stay in the frame with ``included`` false and no rows.
@@ -239,7 +252,7 @@ def package(
         chosen = evidence.join(selected.select("evidence_id").distinct(), "evidence_id")
     order = Window.partitionBy(F.lit(0)).orderBy("rank")
     chosen = chosen.withColumn("position", F.row_number().over(order)).withColumn(
-        "included", F.col("position") <= MAX_PACKAGE_EVIDENCE
+        "included", F.col("position") <= max_evidence
     )
     keys = ["metric_id", "type", "category_pos", "column_pos"]
     inside = Window.partitionBy(*keys).orderBy("position")
@@ -251,7 +264,7 @@ def package(
             F.transform(
                 F.sort_array(
                     F.collect_list(
-                        F.when(F.col("_n") <= MAX_PACKAGE_ROWS, F.struct("_n", "row"))
+                        F.when(F.col("_n") <= max_rows, F.struct("_n", "row"))
                     )
                 ),
                 lambda e: e["row"],
@@ -325,7 +338,7 @@ def latest_charts(charts: DataFrame, source_sha256: str) -> DataFrame:
     )
 
 
-def stories(evidence: DataFrame, max_stories: int | None = MAX_STORIES) -> DataFrame:
+def stories(evidence: DataFrame, max_stories: int | None = None) -> DataFrame:
     """Groups of up to three findings of one KPI, dealt round-robin over the KPIs."""
     by_metric = Window.partitionBy("metric").orderBy("rank")
     whole = Window.partitionBy("metric")
@@ -351,8 +364,11 @@ def stories(evidence: DataFrame, max_stories: int | None = MAX_STORIES) -> DataF
     return numbered if max_stories is None else numbered.where(F.col("position") <= max_stories)
 
 
-def finding_charts(support: DataFrame, limit: int = 20) -> DataFrame:
-    """Chart type and bounded rows for each finding that has a chart."""
+def finding_charts(support: DataFrame, limit: int | None = None) -> DataFrame:
+    """Chart type and rows for each finding that has a chart.
+
+    ``limit`` keeps the first rows of charts other than lines.
+    """
     forms = (
         ("period_change", "bar"),
         ("trend", "line"),
@@ -374,5 +390,6 @@ def finding_charts(support: DataFrame, limit: int = 20) -> DataFrame:
     ranked = support.join(F.broadcast(names), "type").withColumn(
         "_n", F.row_number().over(inside)
     )
-    time_line = F.col("chart") == "line"
-    return ranked.where(time_line | (F.col("_n") <= limit)).drop("_n")
+    if limit is not None:
+        ranked = ranked.where((F.col("chart") == "line") | (F.col("_n") <= limit))
+    return ranked.drop("_n")

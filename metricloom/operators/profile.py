@@ -328,8 +328,8 @@ def semantic_types(profile_frame: DataFrame) -> DataFrame:
     return profile_frame.withColumn("semantic_type", semantic)
 
 
-def value_catalog(table: Table, columns: Sequence[str], limit: int = 20) -> DataFrame:
-    """First values of each category column in label order, with a truncation flag.
+def value_catalog(table: Table, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Values of each category column in label order, or the first ``limit`` of them.
 
     The rank filter becomes a partial group limit, so a column with very many values
     only ships ``limit`` of them per task.
@@ -339,9 +339,9 @@ def value_catalog(table: Table, columns: Sequence[str], limit: int = 20) -> Data
     counts = values.groupBy("ordinal").agg(F.count("*").alias("distinct_count"))
     return (
         values.withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= limit)
+        .where(F.lit(True) if limit is None else F.col("position") <= limit)
         .join(F.broadcast(counts), "ordinal")  # one row per column
-        .withColumn("truncated", F.col("distinct_count") > limit)
+        .withColumn("truncated", F.lit(False) if limit is None else F.col("distinct_count") > limit)
         .select(
             "ordinal", "column", "position", "value", "value_count", "distinct_count", "truncated"
         )
@@ -398,8 +398,8 @@ def profile_summary(profile_frame: DataFrame) -> DataFrame:
     )
 
 
-def numeric_summary(profile_frame: DataFrame, limit: int = 40) -> DataFrame:
-    """Varying numeric columns that do not look like identifiers, at most 40."""
+def numeric_summary(profile_frame: DataFrame, limit: int | None = None) -> DataFrame:
+    """Varying numeric columns that do not look like identifiers, all or the first ``limit``."""
     spaced = F.regexp_replace("column", "([a-z0-9])([A-Z])", "$1_$2")
     tokens = F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda t: t != "")
     last = F.element_at(tokens, -1)
@@ -407,7 +407,8 @@ def numeric_summary(profile_frame: DataFrame, limit: int = 40) -> DataFrame:
         tokens, F.array(*[F.lit(t) for t in IDENTIFIER_TOKENS])
     ) | last.isin(*IDENTIFIER_LAST_TOKENS)
     rows = profile_frame.where(F.col("is_kpi_candidate") & ~identifier)
-    return rows.orderBy("ordinal").limit(limit).select(
+    kept = rows if limit is None else rows.orderBy("ordinal").limit(limit)
+    return kept.select(
         "ordinal",
         "column",
         "missing_count",
@@ -424,7 +425,7 @@ def visual_summary(profile_frame: DataFrame) -> DataFrame:
     )
 
 
-def measure_catalog(profile_frame: DataFrame, kpis: DataFrame, limit: int = 50) -> DataFrame:
+def measure_catalog(profile_frame: DataFrame, kpis: DataFrame, limit: int | None = None) -> DataFrame:
     """Configured KPIs, the record count, then numeric columns no KPI uses."""
     used = kpis.select(F.explode("source_columns").alias("_c")).distinct()
     configured = kpis.select(
@@ -458,7 +459,8 @@ def measure_catalog(profile_frame: DataFrame, kpis: DataFrame, limit: int = 50)
         F.lit("row").alias("calculation_level"),
     )
     merged = configured.unionByName(records).unionByName(columns)
-    return merged.orderBy("_b", "_o", "label").limit(limit).drop("_b", "_o")
+    merged = merged.orderBy("_b", "_o", "label")
+    return (merged if limit is None else merged.limit(limit)).drop("_b", "_o")
 
 
 def preview_rows(table: Table, limit: int = 5) -> DataFrame:

@@ -212,7 +212,7 @@ def fact_numbers_flat(spark, folder):
     UNION ALL SELECT o_orderkey, 'facts.note', o_orderstatus, false FROM orders""",
 )
 def fact_labels_flat(spark, folder):
-    out = A.flatten_labels(_facts(spark, folder), "o_orderkey", "facts")
+    out = A.flatten_labels(_facts(spark, folder), "o_orderkey", "facts", max_length=120)
     return out.withColumn("business", A.is_business_path(F.col("path")))
 
 
@@ -236,7 +236,7 @@ def event_props_facts(spark, folder):
 )
 def top_facts(spark, folder):
     facts = A.flatten_numbers(_facts(spark, folder), "o_orderkey", "facts")
-    return A.top_facts(facts, "o_orderkey").select("o_orderkey", "reference", "path")
+    return A.top_facts(facts, "o_orderkey", A.MAX_FACTS_PER_EVIDENCE).select("o_orderkey", "reference", "path")
 
 
 @query(

@@ -609,7 +609,7 @@ def evidence_sections(spark, folder):
 @query("recommended_evidence", "T10 E6")
 def recommended_evidence(spark, folder):
     _, evidence = _evidence(spark, folder)
-    return E.recommended(evidence).select("position", "metric", "type", "kind", "rank")
+    return E.recommended(evidence, E.MAX_DEFAULT_EVIDENCE, E.MAX_DEFAULT_ASSOCIATIONS).select("position", "metric", "type", "kind", "rank")
 
 
 @query("support_rows", "E1 E14")
@@ -627,13 +627,13 @@ def report_package(spark, folder):
 @query("story_groups", "W11 E13 E17")
 def story_groups(spark, folder):
     _, evidence = _evidence(spark, folder)
-    chosen = E.recommended(evidence)
-    return E.stories(chosen).withColumn("evidence_ids", F.array_join("evidence_ids", "|"))
+    chosen = E.recommended(evidence, E.MAX_DEFAULT_EVIDENCE, E.MAX_DEFAULT_ASSOCIATIONS)
+    return E.stories(chosen, E.MAX_STORIES).withColumn("evidence_ids", F.array_join("evidence_ids", "|"))
 
 
 @query("finding_chart_rows", "E8")
 def finding_chart_rows(spark, folder):
-    return E.finding_charts(support_rows(lineitem_battery(spark, folder)))
+    return E.finding_charts(support_rows(lineitem_battery(spark, folder)), 20)
 
 
 @query(

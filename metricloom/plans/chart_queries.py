@@ -347,7 +347,19 @@ def chart_scorecard(spark, folder):
     count(*) OVER () AS group_count, count(*) OVER () > 16 AS truncated FROM g QUALIFY position <= 16""",
 )
 def board_column(spark, folder):
-    out = B.grouped(load(spark, folder, "part", "p_partkey"), "column", "p_brand", "p_retailprice")
+    out = B.grouped(load(spark, folder, "part", "p_partkey"), "column", "p_brand", "p_retailprice", B.MAX_GROUPS)
+    return shown(out.drop("total_records"), 2)
+
+
+@query(
+    "board_table_all",
+    "C16 T5",
+    """WITH g AS (SELECT p_name AS x, sum(p_retailprice) AS y, count(*) AS record_count, min(p_partkey) AS f FROM part GROUP BY 1)
+    SELECT x, round(y, 2) AS y, record_count, row_number() OVER (ORDER BY abs(y) DESC, f) AS position,
+    count(*) OVER () AS group_count, false AS truncated FROM g""",
+)
+def board_table_all(spark, folder):
+    out = B.grouped(load(spark, folder, "part", "p_partkey"), "table", "p_name", "p_retailprice")
     return shown(out.drop("total_records"), 2)
 
 
@@ -358,7 +370,7 @@ def board_column(spark, folder):
     SELECT x, y, row_number() OVER (ORDER BY abs(y) DESC, f) AS position FROM g QUALIFY position <= 8""",
 )
 def board_pie(spark, folder):
-    out = B.grouped(load(spark, folder, "part", "p_partkey"), "pie", "p_brand")
+    out = B.grouped(load(spark, folder, "part", "p_partkey"), "pie", "p_brand", limit=B.MAX_PIE_GROUPS)
     return shown(out.select("x", "y", "position"), 2)
 
 
@@ -369,7 +381,7 @@ def board_pie(spark, folder):
        GROUP BY 1 ORDER BY x LIMIT 16""",
 )
 def board_line(spark, folder):
-    out = B.grouped(load(spark, folder, "events", "event_id"), "line", "ts", "value")
+    out = B.grouped(load(spark, folder, "events", "event_id"), "line", "ts", "value", B.MAX_GROUPS)
     return shown(out.select("x", "y", "record_count"), 4)
 
 
@@ -405,14 +417,41 @@ _STACK = """WITH c AS (SELECT p_brand AS x, p_type AS series, sum(p_retailprice)
 @query(
     "board_stacked",
     "C17 T6 J8",
-    _STACK + " SELECT x, series, round(y, 2) AS y, xp AS x_position, sp AS series_position FROM d",
+    _STACK + " SELECT x, series, round(y, 2) AS y, xp AS x_position, sp AS series_position,\n    (SELECT count(DISTINCT x) FROM c) AS x_count, (SELECT count(DISTINCT series) FROM c) AS series_count FROM d",
 )
 def board_stacked(spark, folder):
     table = load(spark, folder, "part", "p_partkey")
-    out = B.stacked(table, "stacked_column", "p_brand", "p_retailprice", "p_type")
+    out = B.stacked(table, "stacked_column", "p_brand", "p_retailprice", "p_type", B.MAX_STACK_GROUPS, B.MAX_STACK_SERIES)
     return shown(out, 2)
 
 
+@query(
+    "board_stacked_all",
+    "C17 T6",
+    """SELECT p_brand AS x, p_type AS series, round(sum(p_retailprice), 2) AS y FROM part GROUP BY ALL""",
+)
+def board_stacked_all(spark, folder):
+    table = load(spark, folder, "part", "p_partkey")
+    out = B.stacked(table, "grouped_column", "p_brand", "p_retailprice", "p_type")
+    return shown(out.select("x", "series", "y"), 2)
+
+
+@query(
+    "board_scatter_all",
+    "C19 T7",
+    """SELECT p_partkey AS row_key, p_size::DOUBLE AS x, p_retailprice AS y FROM part""",
+)
+def board_scatter_all(spark, folder):
+    out = B.points(load(spark, folder, "part", "p_partkey"), "p_size", "p_retailprice")
+    return out.select("row_key", "x", "y")
+
+
+@query("board_box_all", "C21 T8 A13", _BOX.format(g="p_type", v="p_retailprice", t="part"))
+def board_box_all(spark, folder):
+    out = B.box(load(spark, folder, "part"), "p_retailprice", "p_type")
+    return shown(out.drop("lower_fence", "upper_fence"), 4)
+
+
 @query(
     "board_stacked_percent",
     "C17 W8",
@@ -420,7 +459,7 @@ def board_stacked(spark, folder):
 )
 def board_stacked_percent(spark, folder):
     table = load(spark, folder, "part", "p_partkey")
-    out = B.stacked(table, "stacked_100_column", "p_brand", "p_retailprice", "p_type")
+    out = B.stacked(table, "stacked_100_column", "p_brand", "p_retailprice", "p_type", B.MAX_STACK_GROUPS, B.MAX_STACK_SERIES)
     return shown(out.select("x", "series", "percentage"), 5)
 
 
@@ -441,7 +480,7 @@ def board_stacked_problems(spark, folder):
     "board_combo",
     "C18",
     """SELECT o_orderpriority AS x, round(sum(o_totalprice), 2) AS y, sum(o_custkey)::DOUBLE AS secondary_y,
-       count(*) AS record_count FROM orders GROUP BY 1""",
+       count(*) AS record_count, count(*) OVER () AS group_count FROM orders GROUP BY 1""",
 )
 def board_combo(spark, folder):
     out = B.combo(load(spark, folder, "orders"), "o_orderpriority", "o_totalprice", "o_custkey")
@@ -455,7 +494,7 @@ def board_combo(spark, folder):
        (SELECT count(*) FROM part) > 250 AS truncated FROM part ORDER BY p_partkey LIMIT 250""",
 )
 def board_scatter(spark, folder):
-    return B.points(load(spark, folder, "part", "p_partkey"), "p_size", "p_retailprice")
+    return B.points(load(spark, folder, "part", "p_partkey"), "p_size", "p_retailprice", limit=B.MAX_POINTS)
 
 
 @query(
@@ -467,7 +506,7 @@ def board_scatter(spark, folder):
 )
 def board_bubble(spark, folder):
     table = load(spark, folder, "customer", "c_custkey")
-    return B.points(table, "c_nationkey", "c_custkey", "c_acctbal").drop("truncated")
+    return B.points(table, "c_nationkey", "c_custkey", "c_acctbal", B.MAX_POINTS).drop("truncated")
 
 
 @query(
@@ -503,7 +542,7 @@ def board_histogram_labels(spark, folder):
            "FROM q JOIN w USING (x)",
            "FROM q JOIN w USING (x) ORDER BY count DESC, x LIMIT 16"))
 def board_box(spark, folder):
-    out = B.box(load(spark, folder, "part"), "p_retailprice", "p_brand")
+    out = B.box(load(spark, folder, "part"), "p_retailprice", "p_brand", B.MAX_GROUPS)
     return shown(out.drop("lower_fence", "upper_fence"), 4)
 
 
@@ -669,12 +708,12 @@ def fact_numbers(spark, folder):
 
 @query("chart_observations", "E9")
 def chart_observations(spark, folder):
-    return X.observations(_yearly(spark, folder), "time_line", "x")
+    return X.observations(_yearly(spark, folder), "time_line", "x", X.MAX_OBSERVATIONS)
 
 
 @query("chart_findings", "E10 E11 T13 X5 M6")
 def chart_findings(spark, folder):
-    return X.findings(_yearly(spark, folder), "time_line", "x", "sum")
+    return X.findings(_yearly(spark, folder), "time_line", "x", "sum", X.MAX_FINDINGS)
 
 
 @query(
@@ -689,7 +728,7 @@ def chart_findings(spark, folder):
 def finding_sentences(spark, folder):
     spec = ChartSpec("category_bar", ("column:o_totalprice",), "o_orderpriority", aggregation="sum")
     rows = chart_data(load(spark, folder, "orders"), spec)
-    out = X.findings(rows, "category_bar", "x_position", "sum")
+    out = X.findings(rows, "category_bar", "x_position", "sum", X.MAX_FINDINGS)
     return out.where(F.col("finding").startswith("The displayed gap")).select("finding")
 
 

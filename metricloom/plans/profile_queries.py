@@ -228,14 +228,14 @@ def profile_summaries(spark, folder):
        UNION ALL SELECT 'p_partkey', count(DISTINCT p_partkey), round(avg(p_partkey), 6) FROM part""",
 )
 def numeric_summary(spark, folder):
-    out = P.numeric_summary(P.profile(load(spark, folder, "part")))
+    out = P.numeric_summary(P.profile(load(spark, folder, "part")), 40)
     return shown(out.select("column", "unique_count", "mean"), 6)
 
 
 @query("measure_catalog", "P16")
 def measure_catalog(spark, folder):
     table = load(spark, folder, "lineitem")
-    return P.measure_catalog(P.profile(table), K.metric_definitions(table, lineitem_registry()))
+    return P.measure_catalog(P.profile(table), K.metric_definitions(table, lineitem_registry()), 50)
 
 
 @query(
@@ -265,10 +265,27 @@ def unsafe_text_cells(spark, folder):
 @query(
     "row_digest",
     "S11",
-    "SELECT count(*) AS row_count FROM orders",
+    "SELECT count(*) AS row_count, true AS same_reordered, false AS same_changed, false AS same_renamed, false AS same_swapped FROM orders",
 )
 def row_digest(spark, folder):
-    return S.row_digest(load(spark, folder, "orders").df).select("row_count")
+    orders = load(spark, folder, "orders").df
+    pair = orders.select("o_orderkey", "o_custkey", F.lit(None).cast("long").alias("gap"))
+    swapped = pair.select("o_orderkey", F.col("gap").alias("o_custkey"), F.col("o_custkey").alias("gap"))
+    changed = orders.withColumn("o_custkey", F.col("o_custkey") + (F.col("o_orderkey") == 1).cast("int"))
+    frames = {
+        "row_digest": orders, "reordered": orders.orderBy(F.desc("o_custkey")), "changed": changed,
+        "renamed": orders.withColumnRenamed("o_custkey", "c"), "pair": pair, "swapped": swapped,
+    }
+    digests = {n: S.row_digest(f).select(F.struct("row_count", "row_digest")).scalar() for n, f in frames.items()}
+    one = spark.range(1).select(*[d.alias(n) for n, d in digests.items()])
+    whole = F.col("row_digest")
+    return one.select(
+        F.col("row_digest.row_count").alias("row_count"),
+        (F.col("reordered") == whole).alias("same_reordered"),
+        (F.col("changed") == whole).alias("same_changed"),
+        (F.col("renamed") == whole).alias("same_renamed"),
+        (F.col("swapped") == F.col("pair")).alias("same_swapped"),
+    )
 
 
 @query("row_digest_value", "S11")
@@ -277,6 +294,17 @@ def row_digest_value(spark, folder):
     return out.select("row_count", F.col("row_digest").cast("string").alias("row_digest"))
 
 
+@query(
+    "file_formats",
+    "S5 S6",
+    """SELECT f || '.parquet' AS file, 'parquet' AS format FROM unnest(['benchmark', 'conversations', 'customer', 'documents',
+    'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS t(f)""",
+)
+def file_formats(spark, folder):
+    name = F.element_at(F.split("path", "/"), -1)
+    return S.catalog(spark, f"{folder}/*.parquet").select(name.alias("file"), "format")
+
+
 @query("file_catalog", "S6 S11")
 def file_catalog(spark, folder):
     return S.catalog(spark, folder)
@@ -347,4 +375,3 @@ def header_and_nesting_checks(spark, folder):
     )
 
 
-assert quoted  # re-exported for callers that build typed columns

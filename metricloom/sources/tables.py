@@ -101,7 +101,9 @@ def read_json(spark: SparkSession, path: str, *, lines: bool = False) -> Loaded:
     nested = nested_columns(raw)
     if nested:
         raise SourceError(f"Nested values are not supported: {nested}")
-    names = check_headers([c for c in raw.columns if c != CORRUPT])
+    if raw.columns == [CORRUPT]:
+        raise SourceError("No record of the source can be read as a flat JSON object.")
+    names = check_headers(_first_seen(spark, path, lines, [c for c in raw.columns if c != CORRUPT]))
     good = raw
     rejects = literal_frame(spark, [], "raw string")
     if CORRUPT in raw.columns:
@@ -112,6 +114,28 @@ def read_json(spark: SparkSession, path: str, *, lines: bool = False) -> Loaded:
     return Loaded(good.select(*[F.coalesce(quoted(n), empty).alias(n) for n in names]), rejects)
 
 
+def _first_seen(spark: SparkSession, path: str, lines: bool, names: list[str]) -> list[str]:
+    """``names`` in the order in which the records first use them.
+
+    The reader sorts them.  The keys of every record come with their places and only the
+    smallest place of each key leaves the tasks.
+    """
+    texts = spark.read.text(path, wholetext=not lines).select(
+        F.monotonically_increasing_id().alias("record"), "value"
+    )
+    if lines:
+        records = texts.select("record", F.lit(0).alias("item"), "value")
+    else:
+        array = F.from_json("value", "array<string>")
+        whole = F.array(F.col("value"))
+        items = F.when(F.ltrim("value").startswith("{"), whole).otherwise(array)
+        records = texts.select("record", F.posexplode(items).alias("item", "value"))
+    keys = records.select("record", "item", F.posexplode(F.json_object_keys("value")).alias("place", "key"))
+    first = keys.groupBy("key").agg(F.min(F.struct("record", "item", "place")).alias("at"))
+    order = [r["key"] for r in first.where(F.col("key").isin(names)).orderBy("at").collect()]
+    return order + [n for n in names if n not in order]
+
+
 def nested_columns(df: DataFrame) -> list[str]:
     kinds = (T.StructType, T.ArrayType, T.MapType)
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
@@ -156,15 +180,26 @@ def read_table(
             if kind == "csv"
             else read_json(spark, path, lines=kind == "ndjson")
         )
-        if strict and not loaded.rejects.isEmpty():
-            raise SourceError("The source has malformed rows.")
         df = loaded.rows
         check_headers(df.columns, max_columns)
-    if df.isEmpty():
+        rejects = loaded.rejects if strict else None
+    _check_rows(df, rejects if kind in ("csv", "json", "ndjson") else None, max_rows)
+    return Table(df, row_key)
+
+
+def _check_rows(df: DataFrame, rejects: DataFrame | None, max_rows: int | None) -> None:
+    """Refuse sources with rejects, without rows or with too many, in one job."""
+    counted = df.limit(1 if max_rows is None else max_rows + 1).agg(F.count("*").alias("n"))
+    bad = F.lit(0)
+    if rejects is not None:
+        bad = rejects.limit(1).agg(F.count("*")).scalar()
+    row = counted.select("n", bad.alias("bad")).first()
+    if row["bad"]:
+        raise SourceError("The source has malformed rows.")
+    if not row["n"]:
         raise SourceError("The source has no rows.")
-    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
+    if max_rows is not None and row["n"] > max_rows:
         raise SourceError(f"The source has more than {max_rows} rows.")
-    return Table(df, row_key)
 
 
 def unsafe_cells(table: Table) -> DataFrame:
@@ -178,12 +213,19 @@ def unsafe_cells(table: Table) -> DataFrame:
 
 
 def sniff(content: Column) -> Column:
-    """Format of file content: a zip container, JSON, or CSV."""
-    head = F.substring(content, 1, 2)
-    text = F.regexp_replace(content.cast("string"), r"^[﻿\s]+", "")
+    """Format of file content: Parquet, a workbook, JSON, CSV, or ``unsupported``.
+
+    A zip container is a workbook only if it names the workbook part; other content that is
+    not UTF-8 text is unsupported.
+    """
+    text = content.cast("string")
+    start = F.substring(F.ltrim(text, F.lit("\ufeff \t\r\n\f\v")), 1, 1)
+    zipped = F.substring(content, 1, 4) == F.lit(b"PK\x03\x04")
     return (
-        F.when(head == F.lit(b"PK"), "xlsx")
-        .when(F.substring(text, 1, 1).isin("[", "{"), "json")
+        F.when(F.substring(content, 1, 4) == F.lit(b"PAR1"), "parquet")
+        .when(zipped & F.contains(content, F.lit(b"xl/workbook.xml")), "xlsx")
+        .when(zipped | ~F.is_valid_utf8(text) | F.contains(text, F.lit("\0")), "unsupported")
+        .when(start.isin("[", "{"), "json")
         .otherwise("csv")
     )
 
@@ -209,6 +251,12 @@ def source_id(digest: Column, sheet: Column | None = None) -> Column:
 
 
 def row_digest(df: DataFrame) -> DataFrame:
-    """Order-independent fingerprint of a table of any size, as one row."""
-    h = F.xxhash64(*[quoted(c) for c in df.columns]).cast("decimal(38,0)")
+    """Order-independent fingerprint of a table of any size, as one row.
+
+    Every column goes into a row's hash with a mark for NULL, which the hash would skip, and
+    with the names and types of all columns before it.
+    """
+    schema = F.lit(df.schema.simpleString())
+    cells = [part for c in df.columns for part in (quoted(c).isNull(), quoted(c))]
+    h = F.xxhash64(schema, *cells).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("row_count"), F.sum(h).alias("row_digest"))

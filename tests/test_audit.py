@@ -114,13 +114,13 @@ def test_flatten_bounds(spark):
         "worst_segment": {"segment": "South", "breach_percentage": 12.5},
     }
     df = spark.createDataFrame([("k", json.dumps(doc))], "k string, j string")
-    numbers = {r["path"]: r["number"] for r in A.flatten_numbers(df, "k", "j").collect()}
+    numbers = {r["path"]: r["number"] for r in A.flatten_numbers(df, "k", "j", 5, 12, 8).collect()}
     assert numbers["facts.a"] == 1 and "facts.flag" not in numbers
     assert sum(p.startswith("facts.list") for p in numbers) == 8
     assert numbers["facts.deep.b.c.d.e"] == 5 and "facts.deep.b.c.d.f.g" not in numbers
-    labels = {r["path"]: r["label"] for r in A.flatten_labels(df, "k", "j").collect()}
+    labels = {r["path"]: r["label"] for r in A.flatten_labels(df, "k", "j", 5, 12, 8, 120).collect()}
     assert labels == {"facts.s": "North East", "facts.worst_segment.segment": "South"}
-    top = A.top_facts(A.flatten_numbers(df, "k", "j"), "k").orderBy("position").collect()
+    top = A.top_facts(A.flatten_numbers(df, "k", "j"), "k", 8).orderBy("position").collect()
     assert len(top) == 8 and top[0]["path"] == "facts.worst_segment.breach_percentage"
     assert top[0]["reference"] == "k::FACT-001"
 
@@ -139,3 +139,17 @@ def test_groups(spark):
         [("good", "a"), ("good", "b"), ("twice", "a"), ("twice", "a"), ("odd", "z")], "g string, reference string"
     )
     assert sorted(r["g"] for r in A.reference_problems(refs, facts, "g").collect()) == ["odd", "twice"]
+
+
+def test_every_fact_is_found(spark):
+    import json
+
+    deep = {"l1": {"l2": {"l3": {"l4": {"l5": {"l6": {"value": 7}}}}}}}
+    facts = {f"k{i:02d}": i for i in range(13)} | {"list": list(range(100, 109)), "text": "x" * 200, "odd": "[[[{", **deep}
+    df = spark.createDataFrame([(1, json.dumps(facts))], "id int, facts string")
+    found = {r["number"] for r in A.flatten_numbers(df, "id", "facts").collect()}
+    assert found == {*map(float, range(13)), *map(float, range(100, 109)), 7.0}
+    assert {r["label"] for r in A.flatten_labels(df, "id", "facts").collect()} == {"x" * 200, "[[[{"}
+    some = A.flatten_numbers(df, "id", "facts", 5, 12, 8)
+    left = A.omitted_leaves(A.flatten_numbers(df, "id", "facts"), some, "id").first()
+    assert left["omitted_count"] == 22 + 1 - some.count()

@@ -113,15 +113,17 @@ def test_insights_are_sequential_and_repeatable(full, sales):
     ranked = first.orderBy("rank").collect()
     assert [r["rank"] for r in ranked] == list(range(1, len(ranked) + 1))
     assert all(a["combined"] >= b["combined"] for a, b in zip(ranked, ranked[1:]))
-    picked = E.recommended(first).collect()
+    picked = E.recommended(first, 10, 2).collect()
     assert len(picked) == 10
     assert {r["metric"] for r in picked} == {"revenue", "margin", "cost", "a share"}
     assert sum(r["kind"] == "association" for r in picked) <= 2
+    everything = E.recommended(first)
+    assert everything.count() == sum(r["kind"] != "diagnostic" for r in ranked)
     support = support_rows(full)
     packed = E.package(first, support)
     assert packed.where("size(support_rows) > 12").isEmpty()
     assert packed.count() == len(ranked)
-    story = E.stories(E.recommended(first)).collect()
+    story = E.stories(E.recommended(first, 10, 2), 5).collect()
     assert all(1 <= len(r["evidence_ids"]) <= 3 for r in story) and len(story) <= 5
 
 

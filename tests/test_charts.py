@@ -13,6 +13,7 @@ from metricloom.operators.charts import (
     histogram,
     profile_facts,
     unknown_filter_values,
+    drawable,
 )
 from metricloom.operators.profile import profile
 
@@ -153,7 +154,7 @@ def test_facts(sales):
     assert change["A"]["absolute_change"] == 80 and change["A"]["percentage_change"] == pytest.approx(80)
     move = one(X.movements(rows))
     assert (move["gain"]["movement"], move["drop"]["movement"]) == (50, -10)
-    text = [r["finding"] for r in X.findings(rows, "time_line", "x", "sum").orderBy("position").collect()]
+    text = [r["finding"] for r in X.findings(rows, "time_line", "x", "sum", 5).orderBy("position").collect()]
     assert text[0] == "revenue was highest at 2024-03 / B (260) and lowest at 2024-01 / A (100)."
     assert len(text) == 5 == len(set(text))
     assert X.observations(rows, "time_line", "x").count() == 3
@@ -194,3 +195,12 @@ def test_conditional_measure(sales):
             ChartSpec("category_bar", (f"metric:{registry.primary_id}",), "segment", aggregation="sum"),
             registry,
         )
+
+
+def test_many_series_stay_distributed(spark, table):
+    rows = [("ab"[i % 2], f"s{i}", i) for i in range(2000)]
+    spec = ChartSpec(chart="heatmap", x="k", series="s", measures=("column:v",))
+    out = chart_data(table("k s v", rows), spec)
+    assert out.count() == 4000 and out.where("value IS NULL").count() == 2000
+    with pytest.raises(ChartError):
+        drawable(table("k s v", rows), spec)

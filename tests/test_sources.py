@@ -101,7 +101,11 @@ def test_catalog(spark, tmp_path):
     (tmp_path / "y").write_text("a,b\n1,2\n")
     workbook(tmp_path / "z", HEAD)
     out = {r["path"][-1]: r for r in tables.catalog(spark, str(tmp_path)).collect()}
-    assert [out[k]["format"] for k in "xyz"] == ["json", "csv", "xlsx"]
+    (tmp_path / "p").write_bytes(b"PAR1....PAR1")
+    (tmp_path / "q").write_bytes(b"PK\x03\x04 some other archive")
+    (tmp_path / "r").write_bytes(b"\xff\xfe\x00binary")
+    out = {r["path"][-1]: r for r in tables.catalog(spark, str(tmp_path)).collect()}
+    assert [out[k]["format"] for k in "xyzpqr"] == ["json", "csv", "xlsx", "parquet", "unsupported", "unsupported"]
     assert out["x"]["source_id"] == "SRC-" + out["x"]["sha256"][:12].upper()
 
 
@@ -111,6 +115,23 @@ def test_digest_ignores_order(spark):
     assert a == b and a != tables.row_digest(df.where("id > 0")).first()
 
 
+def test_digest_sees_nulls_and_names(spark):
+    a = spark.createDataFrame([(None, 1)], "a int, b int")
+    b = spark.createDataFrame([(1, None)], "a int, b int")
+    digest = lambda df: tables.row_digest(df).first()["row_digest"]
+    assert len({digest(a), digest(b), digest(a.toDF("a", "c")), digest(a.selectExpr("a", "cast(b as long) b"))}) == 4
+
+
+def test_json_columns_come_as_first_seen(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"zeta": 1, "alpha": 2}, {"mid": 3, "alpha": 4}]')
+    (tmp_path / "b.ndjson").write_text('{"zeta": 1, "alpha": 2}\n{"mid": 3}\n')
+    for name in ("a.json", "b.ndjson"):
+        assert tables.read_table(spark, str(tmp_path / name)).columns == ["zeta", "alpha", "mid"]
+    (tmp_path / "c.json").write_text("[1, 2]")
+    with pytest.raises(tables.SourceError):
+        tables.read_json(spark, str(tmp_path / "c.json"))
+
+
 def test_unsafe_cells(spark):
     df = spark.createDataFrame([(1, "ok\t\n", "a\x07"), (2, "\x1b", "b")], "k int, a string, b string")
     out = tables.unsafe_cells(Table(df, "k")).collect()
