@@ -201,10 +201,11 @@ def mixing(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     goals = written(targets(rows), "targets")
     times = slots(goals, block).groupBy("key", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (
-        segments(rows, block).join(times, ["key", "block"])
+        # the planner takes exploded rows for few: never broadcast them unasked
+        segments(rows, block).hint("merge").join(times.hint("merge"), ["key", "block"])
         .groupBy("key", "chunk", "place").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     )
-    sized = rows.join(taken, ["key", "chunk", "place"], "left")
+    sized = rows.hint("merge").join(taken.hint("merge"), ["key", "chunk", "place"], "left")
     # one row a source on the other side; a hot source's rows are split by adaptive execution
     return sized.join(goals, "key").select(
         real_id("id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
@@ -262,7 +263,7 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     packed = parts.groupBy("key", "block").agg(
         F.sum("words").alias("n_words"), F.sort_array(F.collect_list(F.struct("start", "part"))).alias("parts")
     )
-    return drawn.join(packed, ["key", "block"]).select(
+    return drawn.hint("merge").join(packed.hint("merge"), ["key", "block"]).select(
         "shard",
         F.xxhash64("key", "slot", F.lit(SEED)).alias("position"),
         F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias("source"),

@@ -195,7 +195,7 @@ def keyed(distinct: DataFrame) -> DataFrame:
         "print", "pair", F.col("print").bitwiseAND(F.col("mask")).alias("key")
     )
     sizes = rows.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = rows.join(sizes, ["pair", "key"])
+    sized = rows.hint("merge").join(sizes.hint("merge"), ["pair", "key"])
     small = sized.where(F.col("size") <= TILE).select("print", "pair", "key", F.lit(0).alias("tile"))
     chunks = F.ceil(F.col("size") / TILE)
     large = sized.where(F.col("size") > TILE).select(
