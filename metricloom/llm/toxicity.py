@@ -1,8 +1,9 @@
 """Toxic passages as maximal scoring segments of token log-odds.
 
-Tokens are runs of letters, lower-cased.  Their features are the word, its pieces of 4 to 6
-bytes with word ends marked, and its first 3 to 9 bytes as a stem that an ending follows; they
-are hashed into a table of fixed size.  The log-odds of a
+Tokens are runs of ASCII letters and non-ASCII characters, lower-cased.  Their features are the
+word, its pieces of 4 to 6 bytes with the word's ends marked, and its first 3 to 7 bytes as a
+stem that an ending follows; they are hashed into a table of fixed size.  They are computed
+over the bytes of many texts at once.  The log-odds of a
 feature between toxic and other documents carry an informative Dirichlet prior: the feature's
 share in the whole corpus.  Features whose log-odds are not well above their deviation count
 as 0.  A token scores its largest log-odds minus ``DRIFT``, so that ordinary text drifts down
@@ -29,7 +30,6 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -47,39 +47,104 @@ LEAST = 5
 DRIFT = 2.0
 SIGNIFICANT = 0.01
 PIECES = (4, 5, 6)
-STEMS = range(4, 11)
-#: Words whose features or scores a task remembers; beyond it the memory starts afresh.
-MEMORY = 150_000
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def tokens(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
-
-
-def features(word: str) -> np.ndarray:
-    """Buckets of the word, its pieces and its stems."""
-    marked = f"<{word}>".encode("utf-8", "surrogatepass")
-    size = len(marked)
-    found = {marked}
-    for n in PIECES:
-        found.update([marked[i : i + n] for i in range(size - n + 1)])
-    found.update([marked[:n] + b"~" for n in STEMS if n < size - 1])
-    return np.array([crc32(f) % BUCKETS for f in found], np.int32)
-
-
-class Memory(dict):
-    """Remembers a function of words, up to ``MEMORY`` of them."""
-
-    def __init__(self, function):
-        super().__init__()
-        self.function = function
-
-    def __missing__(self, word: str):
-        if len(self) >= MEMORY:
-            self.clear()
-        value = self[word] = self.function(word)
-        return value
+#: Bytes of a stem with the mark of the word's start.
+STEMS = (4, 5, 6, 7, 8)
+#: Bytes of text that are looked at together.
+TOGETHER = 400_000
+_WORD = re.compile("[a-zA-Z\x80-\U0010ffff]+")
+_TABLE = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+_BITS = np.uint64(64 - BUCKETS.bit_length() + 1)
+
+
+def _hashed(keys: np.ndarray, salt: int) -> np.ndarray:
+    """Buckets of packed bytes."""
+    keys = (keys + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    keys ^= keys >> np.uint64(29)
+    return ((keys * np.uint64(0xBF58476D1CE4E5B9)) >> _BITS).astype(np.int32)
+
+
+class Words:
+    """The words of some texts: the text each belongs to and the buckets of its features."""
+
+    def __init__(self, texts: list[bytes], numbers: list[int]):
+        counts = []
+        parts = []
+        for text in texts:
+            words = text.split()
+            counts.append(len(words))
+            if words:
+                parts.append(b" ".join(words))
+        self.text_of = np.repeat(np.array(numbers, np.int64), counts)
+        raw = np.frombuffer(b" " + b" ".join(parts) + b" " * 8, np.uint8)
+        size = len(raw) - 7 if parts else 1
+        self.raw, self.size = raw, size
+        space = raw[:size] == 32
+        self.starts = np.flatnonzero(space)[:-1]
+        self.lengths = np.diff(np.flatnonzero(space)) - 1
+        self.before = np.cumsum(space)
+
+    def __len__(self) -> int:
+        return len(self.text_of)
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of every word."""
+        if not len(self):
+            return np.empty(0, np.uint64)
+        inside = np.arange(self.size) - np.repeat(self.starts, np.diff(np.append(self.starts, self.size)))
+        powers = np.cumprod(np.full(int(self.lengths.max()) + 2, 0x100000001B3, np.uint64))
+        worth = (self.raw[: self.size].astype(np.uint64) + np.uint64(7)) * powers[np.minimum(inside, len(powers) - 1)]
+        worth[self.raw[: self.size] == 32] = 0
+        return np.add.reduceat(worth, self.starts)
+
+    def features(self, chosen: np.ndarray | None = None):
+        """(word numbers, buckets) for every kind of feature, of the ``chosen`` words."""
+        if not len(self):
+            return
+        everything = np.arange(len(self))
+        some = everything if chosen is None else everything[chosen]
+        yield some, _hashed(self.hashes()[some], 1)
+        packed = self.raw[: self.size].astype(np.uint64)
+        wide = self.raw.astype(np.uint64)
+        for n in range(2, max(*STEMS, *PIECES) + 1):
+            packed = packed | (wide[n - 1 : n - 1 + self.size] << np.uint64(8 * (n - 1)))
+            if n in PIECES and self.size >= n:
+                last = self.size - n + 1
+                # no space between the first and the last byte
+                word = self.before[1 : last + 1] - 1
+                whole = self.before[n - 2 : n - 2 + last] - 1 == word
+                whole &= self.raw[1 : last + 1] != 32
+                if chosen is not None:
+                    whole &= chosen[np.minimum(word, len(self) - 1)]
+                places = np.flatnonzero(whole)
+                yield word[places], _hashed(packed[places], 10 + n)
+            if n in STEMS:
+                long = some[self.lengths[some] >= n]
+                yield long, _hashed(packed[self.starts[long]], 100 + n)
+
+
+def prepared(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE)
+
+
+def grouped(texts):
+    """:class:`Words` of about ``TOGETHER`` bytes; a long text comes in several of them."""
+    some, numbers, size = [], [], 0
+    for number, text in enumerate(texts):
+        rest = prepared(text)
+        while rest:
+            part = rest
+            if len(rest) > TOGETHER:
+                cut = rest.find(b" ", TOGETHER)
+                part = rest if cut < 0 else rest[:cut]
+            rest = rest[len(part) :]
+            some.append(part)
+            numbers.append(number)
+            size += len(part)
+            if size > TOGETHER:
+                yield Words(some, numbers)
+                some, numbers, size = [], [], 0
+    if some:
+        yield Words(some, numbers)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
@@ -97,14 +162,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
 
 def _class_counts(batches):
     """Distinct words of documents of either class per bucket, for one task."""
-    known = Memory(features)
-    counts = np.zeros((2, BUCKETS), np.int32)
+    counts = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
-        for toxic, text in zip(batch["toxic"].to_pylist(), batch["text"], strict=True):
-            words = set(tokens(text.as_py()))
-            if words:
-                buckets, numbers = np.unique(np.concatenate([known[w] for w in words]), return_counts=True)
-                counts[1 if toxic else 0, buckets] += numbers.astype(np.int32)
+        toxic = np.array(batch["toxic"].to_pylist()) > 0
+        for words in grouped(batch["text"].to_pylist()):
+            pairs = words.hashes() + words.text_of.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            once = np.zeros(len(words), bool)
+            once[np.unique(pairs, return_index=True)[1]] = True
+            for number, bucket in words.features(once):
+                bad = toxic[words.text_of[number]]
+                counts[1] += np.bincount(bucket[bad], minlength=BUCKETS)
+                counts[0] += np.bincount(bucket[~bad], minlength=BUCKETS)
     used = np.flatnonzero(counts.any(axis=0))
     for start in range(0, len(used), 50_000):
         some = used[start : start + 50_000]
@@ -117,27 +185,18 @@ def _corpus_counts(wanted):
     """Occurrences of the wanted buckets, and of all features in bucket -1, for one task."""
 
     def run(batches):
-        mask = wanted.value
-        counts, total, words = np.zeros(BUCKETS, np.int64), 0, Counter()
-
-        def empty():
-            nonlocal total
-            for word, n in words.items():
-                own = features(word)
-                total += n * len(own)
-                counts[own[mask[own]]] += n
-            words.clear()
-
+        buckets = wanted.value
+        place = np.full(BUCKETS, len(buckets), np.int32)
+        place[buckets] = np.arange(len(buckets))
+        counts, total = np.zeros(len(buckets) + 1, np.int64), 0
         for batch in batches:
-            for text in batch["text"]:
-                words.update(tokens(text.as_py()))
-                if len(words) > MEMORY:
-                    empty()
-        empty()
-        used = np.flatnonzero(counts)
-        buckets = np.concatenate([[-1], used])
+            for words in grouped(batch["text"].to_pylist()):
+                for _, bucket in words.features():
+                    counts += np.bincount(place[bucket], minlength=len(counts))
+                    total += len(bucket)
+        used = np.flatnonzero(counts[:-1])
         yield pa.RecordBatch.from_pydict(
-            {"bucket": pa.array(buckets, pa.int64()), "n": pa.array(np.concatenate([[total], counts[used]]), pa.int64())}
+            {"bucket": pa.array([-1, *buckets[used].tolist()], pa.int64()), "n": pa.array([total, *counts[used].tolist()], pa.int64())}
         )
 
     return run
@@ -188,50 +247,58 @@ class Model:
     #: Score of every text, where the labels could not train.
     constant: float | None = None
 
-    def __post_init__(self):
-        self.known = Memory(self._token)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.__post_init__()
-
-    def _token(self, word: str) -> float:
-        best = float(self.odds[features(word)].max())
-        return best - DRIFT if best > 0 else -DRIFT
-
-    def scored(self, text: str | None) -> tuple[int, list[int], list[float]]:
-        """Number of tokens, and places and scores of those above 0."""
-        words, known = tokens(text), self.known
-        scores = [known[w] for w in words]
-        places = [i for i, s in enumerate(scores) if s > 0]
-        return len(words), places, [scores[i] for i in places]
-
-    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float, float]]]:
+    def scored(self, texts: list[str | None]) -> list[tuple[int, list[int], list[float]]]:
+        """Of every text the number of tokens, and places and scores of those above 0."""
+        out = [[0, [], []] for _ in texts]
+        for words in grouped(texts):
+            best = np.zeros(len(words), np.float32)
+            for number, bucket in words.features():
+                odds = self.odds[bucket]
+                hits = np.flatnonzero(odds > DRIFT)
+                np.maximum.at(best, number[hits], odds[hits])
+            first = np.flatnonzero(np.diff(words.text_of, prepend=-1))
+            ends = np.append(first[1:], len(words))
+            places = np.flatnonzero(best > 0)
+            cuts = np.searchsorted(places, np.append(first, len(words)))
+            for k, (a, b) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
+                mine = out[words.text_of[a]]
+                here = places[cuts[k] : cuts[k + 1]]
+                mine[1].extend((here - a + mine[0]).tolist())
+                mine[2].extend((best[here] - DRIFT).tolist())
+                mine[0] += b - a
+        return [tuple(x) for x in out]
+
+    def segments(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int, float, float]]]]:
         """Number of tokens, and start, end, score and log(1 / E) of every maximal segment."""
-        count, places, scores = self.scored(text)
-        size = math.log(self.scale * max(1, count))
-        return count, [(a, b, s, self.decay * s - size) for a, b, s in maximal_segments(places, scores)]
-
-    def evidence(self, text: str | None) -> tuple[float, ...]:
-        """What the logistic curve gets of a text."""
-        count, found = self.segments(text)
-        logs = [log for *_, log in found]
+        out = []
+        for count, places, scores in self.scored(texts):
+            size = math.log(self.scale * max(1, count))
+            found = [(a, b, s, self.decay * s - size) for a, b, s in maximal_segments(places, scores)]
+            out.append((count, found))
+        return out
+
+    def evidence(self, texts: list[str | None]) -> list[tuple[float, ...]]:
+        """What the logistic curve gets of every text."""
         limit = -math.log(SIGNIFICANT)
-        return (
-            _curbed(max([-20.0, *logs])),
-            _curbed(sum(log for log in logs if log > limit)),
-            _curbed(sum(self.decay * s for _, _, s, _ in found)),
-            math.log1p(count) / 10,
-        )
+        out = []
+        for count, found in self.segments(texts):
+            logs = [log for *_, log in found]
+            out.append(
+                (
+                    _curbed(max([-20.0, *logs])),
+                    _curbed(sum(log for log in logs if log > limit)),
+                    _curbed(sum(self.decay * s for _, _, s, _ in found)),
+                    math.log1p(count) / 10,
+                )
+            )
+        return out
 
-    def score(self, text: str | None) -> float:
+    def score(self, texts: list[str | None]) -> list[float]:
         if self.constant is not None:
-            return self.constant
-        z = self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], self.evidence(text), strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+            return [self.constant] * len(texts)
+        first, *weights = self.curve
+        sums = [first + sum(w * x for w, x in zip(weights, e, strict=True)) for e in self.evidence(texts)]
+        return [1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z in sums]
 
 
 def _curbed(x: float) -> float:
@@ -239,18 +306,19 @@ def _curbed(x: float) -> float:
     return max(-20.0, min(50.0, x)) / 10
 
 
-def extreme_values(histogram: dict[float, int]) -> tuple[float, float]:
+def extreme_values(histogram: dict[float, int], strongest: float) -> tuple[float, float]:
     """lambda and K from the token scores of ordinary text.
 
-    lambda solves E[exp(lambda s)] = 1.  K is estimated with the first-step approximation
-    (1 - E[exp(lambda s); s <= 0]) * P(s > 0) style bound: the share of positive steps times
-    lambda, at least one token in the whole sample.
+    lambda solves E[exp(lambda s)] = 1.  K is the share of tokens that score above 0 times
+    exp(lambda * their mean score): right for segments of one such token, an upper bound for
+    rarer chains of them.  Where ordinary text has no such token, one of the ``strongest``
+    score is taken as seen.
     """
     total = sum(histogram.values())
     positive = sum(n for s, n in histogram.items() if s > 0)
     table = dict(histogram)
-    if not positive:  # none seen: one more token with a strong score
-        table[5.0] = 1
+    if not positive:
+        table[max(0.25, strongest)] = 1
         total, positive = total + 1, 1
     if sum(s * n for s, n in table.items()) >= 0:
         return 1e-3, 1.0
@@ -263,7 +331,9 @@ def extreme_values(histogram: dict[float, int]) -> tuple[float, float]:
             high = middle
         else:
             low = middle
-    return low, max(positive / total, 1 / total) * math.exp(min(50.0, low * float(scores[scores > 0] @ shares[scores > 0] / (positive / total))))
+    above = scores > 0
+    mean = float(scores[above] @ shares[above] / shares[above].sum())
+    return low, positive / total * math.exp(min(50.0, low * mean))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -286,11 +356,10 @@ def _histogram(shared):
     def run(batches):
         model, counts = shared.value, Counter()
         for batch in batches:
-            for toxic, text in zip(batch["toxic"].to_pylist(), batch["text"], strict=True):
-                if not toxic:
-                    count, _, scores = model.scored(text.as_py())
-                    counts[-DRIFT] += count - len(scores)
-                    counts.update(max(0.25, round(s * 4) / 4) for s in scores)
+            texts = [t for bad, t in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist(), strict=True) if not bad]
+            for count, _, scores in model.scored(texts):
+                counts[-DRIFT] += count - len(scores)
+                counts.update(max(0.25, round(s * 4) / 4) for s in scores)
         if counts:
             yield pa.RecordBatch.from_pydict(
                 {"score": pa.array(list(counts), pa.float64()), "n": pa.array(list(counts.values()), pa.int64())}
@@ -300,7 +369,7 @@ def _histogram(shared):
 
 
 def _evidence(batch: pa.RecordBatch, shared) -> pa.RecordBatch:
-    found = pa.array([list(shared.value.evidence(t.as_py())) for t in batch["text"]], pa.list_(pa.float64()))
+    found = pa.array(map(list, shared.value.evidence(batch["text"].to_pylist())), pa.list_(pa.float64()))
     return pa.RecordBatch.from_arrays([batch["toxic"], found], ["toxic", "evidence"])
 
 
@@ -317,11 +386,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     n0, n1 = per_bucket.agg(F.sum("c0"), F.sum("c1")).first()
     counted = per_bucket.where(F.col("c1") >= LEAST).toPandas()
     buckets = counted["bucket"].to_numpy()
-    mask = np.zeros(BUCKETS, bool)
-    mask[buckets] = True
     corpus = (
         docs.select(text_of().alias("text"))
-        .mapInArrow(_corpus_counts(context.broadcast(mask)), "bucket long, n long")
+        .mapInArrow(_corpus_counts(context.broadcast(buckets)), "bucket long, n long")
         .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     )
     seen = dict(zip(corpus["bucket"].tolist(), corpus["n"].tolist(), strict=True))
@@ -331,7 +398,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     model = Model(odds)
     steps = sample.mapInArrow(_histogram(context.broadcast(model)), "score double, n long")
     model.decay, model.scale = extreme_values(
-        {r.score: r.n for r in steps.groupBy("score").agg(F.sum("n").alias("n")).collect()}
+        {r.score: r.n for r in steps.groupBy("score").agg(F.sum("n").alias("n")).collect()},
+        float(odds.max()) - DRIFT,
     )
     rows = sample.mapInArrow(in_batches(_evidence, context.broadcast(model)), "toxic int, evidence array<double>").toPandas()
     x = np.array(rows["evidence"].tolist())
@@ -340,7 +408,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
 
 
 def _scores(batch: pa.RecordBatch, shared) -> pa.RecordBatch:
-    scores = [shared.value.score(t.as_py()) for t in batch["text"]]
+    scores = shared.value.score(batch["text"].to_pylist())
     return pa.RecordBatch.from_arrays(
         [*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"]
     )
@@ -361,8 +429,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _passages(batch: pa.RecordBatch, shared) -> pa.RecordBatch:
     model, limit = shared.value, -math.log(SIGNIFICANT)
     ids, starts, ends, logs, parts = [], [], [], [], []
-    for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-        found = [s for s in model.segments(text)[1] if s[3] > limit]
+    texts = batch["text"].to_pylist()
+    for key, text, (_, segments) in zip(batch["doc_id"].to_pylist(), texts, model.segments(texts), strict=True):
+        found = [s for s in segments if s[3] > limit]
         if found:
             # lower-casing keeps the places for all but a few letters; the passage is cut from it
             low = (text or "").lower()
