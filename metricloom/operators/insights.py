@@ -438,8 +438,12 @@ def build_insights(battery: Battery, profile: DataFrame | None = None) -> DataFr
     return checkpointed(numbered)
 
 
-def support_rows(battery: Battery) -> DataFrame:
-    """The rows behind each finding, as JSON with their position inside it."""
+def support_rows(battery: Battery, profile: DataFrame | None = None) -> DataFrame:
+    """The rows behind each finding, as JSON with their position inside it.
+
+    Outlier rows stay distributed, whatever their number; their position follows their key.
+    ``profile`` adds the columns with missing cells.
+    """
     b = battery
 
     def rows(frame: DataFrame, kind: str, position: Column | None = None) -> DataFrame:
@@ -456,7 +460,7 @@ def support_rows(battery: Battery) -> DataFrame:
             (F.col("column_pos") if "column_pos" in names else F.lit(-1))
             .cast("int")
             .alias("column_pos"),
-            place.cast("int").alias("position"),
+            place.cast("long").alias("position"),
             F.to_json(F.struct(*payload)).alias("row"),
         )
 
@@ -521,8 +525,13 @@ def support_rows(battery: Battery) -> DataFrame:
                 rows(b.contribution_rows(), "segment_contribution"),
             ]
     if any(m.kpi.row_level for m in b.measures):
+        pair = ["metric", "associated_metric"]
+        sums = b.correlations().drop("impact", "confidence").join(b.correlation_sums(), pair)
+        outliers = b.outliers().withColumn("is_outlier", F.lit(True))
+        key = F.coalesce(F.col("row_key").try_cast("long"), F.xxhash64("row_key", "value"))
         parts += [
-            rows(b.correlations().drop("impact", "confidence"), "numeric_correlation", F.lit(1)),
+            rows(sums, "numeric_correlation", F.lit(1)),
+            rows(outliers.withColumn("position", key), "iqr_anomaly_detection"),
             rows(b.benchmark_breach().drop("impact", "confidence"), "benchmark_breach", F.lit(1)),
         ]
     by_issue = Window.partitionBy("metric_id").orderBy(
@@ -531,4 +540,16 @@ def support_rows(battery: Battery) -> DataFrame:
     found = issues(b).withColumn("position", F.row_number().over(by_issue))
     found = found.select("metric_id", "position", "analysis", "available", "required", "unit")
     parts.append(rows(found, "insufficient_data_warning"))
+    by_reason = Window.partitionBy("metric_id").orderBy("block", "analysis_pos", "category_pos")
+    left_out = skipped(b).withColumn("position", F.row_number().over(by_reason))
+    parts.append(rows(left_out.drop("block", "analysis_pos"), "analysis_skipped"))
+    if profile is not None:
+        lacking = profile.where(F.col("missing_count") > 0).select(
+            F.lit("DATASET").alias("metric_id"),
+            F.col("ordinal").alias("position"),
+            "column",
+            "missing_count",
+            "missing_percentage",
+        )
+        parts.append(rows(lacking, "missing_data_warning"))
     return union_all(parts)

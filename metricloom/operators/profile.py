@@ -134,6 +134,24 @@ def _text_tests(table: Table, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def missing_counts(table: Table, columns: Sequence[str] | None = None) -> DataFrame:
+    """ordinal, column, missing_count, missing_percentage and row_count, in one narrow pass."""
+    columns = list(columns) if columns is not None else _scalar_columns(table)
+    counts = [F.count_if(table.missing(c)).alias(f"m{i}") for i, c in enumerate(columns)]
+    rows = F.array(
+        *[
+            F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.col(f"m{i}").alias("missing_count"))
+            for i, c in enumerate(columns)
+        ]
+    )
+    share = F.try_divide(F.col("missing_count") * 100.0, F.col("row_count"))
+    return (
+        table.df.agg(F.count("*").alias("row_count"), *counts)
+        .select("row_count", F.inline(rows))
+        .withColumn("missing_percentage", F.coalesce(share, F.lit(0.0)))
+    )
+
+
 def profile(
     table: Table,
     *,

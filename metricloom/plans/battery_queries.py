@@ -18,8 +18,8 @@ from metricloom.operators.insights import (
     skipped,
     support_rows,
 )
-from metricloom.operators.profile import profile
-from metricloom.plans.registry import load, query, shown
+from metricloom.operators.profile import missing_counts, profile
+from metricloom.plans.registry import ORACLE, load, query, shown
 from metricloom.functions.values import Table
 
 
@@ -549,7 +549,7 @@ def insufficient_warnings_query(spark, folder):
 def insights(spark, folder):
     """The whole battery in emission order."""
     battery = lineitem_battery(spark, folder)
-    out = build_insights(battery)
+    out = build_insights(battery, missing_counts(battery.table))
     return out.select(
         "id", "metric", "type", "observation",
         F.array_join("source_columns", ",").alias("source_columns"),
@@ -558,9 +558,117 @@ def insights(spark, folder):
     )
 
 
+#: Number of each finding type that the oracle compares, and what tells findings of it apart.
+_NUMBERS = {
+    "metric_snapshot": ("metric_snapshot", "current_value", None),
+    "period_change": ("period_change", "absolute_change", None),
+    "period_baseline_comparison": ("period_baseline", "baseline_value", None),
+    "trend": ("trend", "slope_per_period", None),
+    "period_target_comparison": ("period_target", "missed_period_count", None),
+    "numeric_correlation": ("numeric_correlation", "coefficient", "associated_metric"),
+}
+
+
+@query(
+    "insight_numbers",
+    "B22 B23 M18 X6",
+    " UNION ALL ".join(
+        f"SELECT metric, '{kind}' AS type, {label or 'NULL'} AS label, round({number}, 1)::DOUBLE AS number FROM ({ORACLE[source]})"
+        for kind, (source, number, label) in _NUMBERS.items()
+    ),
+)
+def insight_numbers(spark, folder):
+    """One number of every finding of the battery, whichever frame it came through."""
+    battery = lineitem_battery(spark, folder)
+    out = build_insights(battery, missing_counts(battery.table)).where(F.col("type").isin(*_NUMBERS))
+    number, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for kind, (_, name, told) in _NUMBERS.items():
+        here = F.col("type") == kind
+        number = F.when(here, F.get_json_object("observation", f"$.{name}")).otherwise(number)
+        if told:
+            label = F.when(here, F.get_json_object("observation", f"$.{told}")).otherwise(label)
+    return shown(out.select("metric", "type", label.alias("label"), number.cast("double").alias("number")), 1)
+
+
+@query(
+    "insight_missing_data",
+    "B1 E1",
+    """WITH r AS (SELECT CASE WHEN l_tax > 0.05 THEN NULL ELSE l_tax END AS tax,
+      CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber END AS line FROM lineitem)
+    SELECT 'missing_data_warning' AS type, 'tax' AS "column", count(*) - count(tax) AS missing_count,
+      round((count(*) - count(tax)) * 100.0 / count(*), 4)::DOUBLE AS missing_percentage FROM r
+    UNION ALL SELECT 'missing_data_warning', 'line', count(*) - count(line), round((count(*) - count(line)) * 100.0 / count(*), 4)::DOUBLE FROM r""",
+)
+def insight_missing_data(spark, folder):
+    """The support rows of the completeness finding."""
+    table = load(spark, folder, "lineitem")
+    df = table.df.select(
+        "l_orderkey", "l_quantity",
+        F.when(F.col("l_tax") <= 0.05, F.col("l_tax")).alias("tax"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_linenumber")).alias("line"),
+    )
+    battery = Battery(Table(df), K.Registry((K.source_kpi("l_quantity", "sum"),), None, ()))
+    rows = _support(battery).where("type = 'missing_data_warning'")
+    field = lambda name: F.get_json_object("row", f"$.{name}")
+    out = rows.select(
+        "type", field("column").alias("column"), field("missing_count").cast("long").alias("missing_count"),
+        field("missing_percentage").cast("double").alias("missing_percentage"),
+    )
+    return shown(out, 4)
+
+
+@query(
+    "support_outliers",
+    "E1 E8 B15",
+    f"""WITH {_EVENT_BOUNDS} SELECT 'iqr_anomaly_detection' AS type, event_id AS row_key, round(value, 4) AS value, true AS is_outlier
+    FROM events, b WHERE value < lo OR value > hi""",
+)
+def support_outliers(spark, folder):
+    rows = _support(events_battery(spark, folder)).where("type = 'iqr_anomaly_detection'")
+    field = lambda name: F.get_json_object("row", f"$.{name}")
+    out = rows.select(
+        "type", field("row_key").cast("long").alias("row_key"), field("value").cast("double").alias("value"),
+        field("is_outlier").cast("boolean").alias("is_outlier"),
+    )
+    return shown(out, 4)
+
+
+_ROWS = {
+    "segment_ranking": ("segment_ranking", "value", "segment"),
+    "segment_share": ("segment_share", "share_percentage", "segment"),
+    "cohort_period_comparison": ("cohort_comparison", "current_record_count", "segment"),
+    "segment_contribution": ("segment_contribution", "absolute_change", "segment"),
+    "numeric_correlation": ("correlation_sums", "pair_count", "associated_metric"),
+}
+
+
+@query(
+    "support_numbers",
+    "E1 E8 E14 J1 X1",
+    " UNION ALL ".join(
+        f"SELECT metric, '{kind}' AS type, {label} AS label, round({number}, 0)::DOUBLE AS number FROM ({ORACLE[source]})"
+        for kind, (source, number, label) in _ROWS.items()
+    ),
+)
+def support_numbers(spark, folder):
+    """One number of every support row of the segment, cohort and correlation findings."""
+    out = _support(lineitem_battery(spark, folder)).where(F.col("type").isin(*_ROWS))
+    field = lambda name: F.get_json_object("row", f"$.{name}")
+    number, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for kind, (_, name, told) in _ROWS.items():
+        here = F.col("type") == kind
+        number = F.when(here, field(name)).otherwise(number)
+        label = F.when(here, field(told)).otherwise(label)
+    return shown(out.select(field("metric").alias("metric"), "type", label.alias("label"), number.cast("double").alias("number")), 0)
+
+
+def _support(battery):
+    return support_rows(battery, missing_counts(battery.table))
+
+
 def _evidence(spark, folder):
     battery = lineitem_battery(spark, folder)
-    return battery, E.build_evidence(build_insights(battery), "lineitem")
+    return battery, E.build_evidence(build_insights(battery, missing_counts(battery.table)), "lineitem")
 
 
 @query("evidence_ranking", "E1 E2 E3 E4 E5 E6 E7 E16 W4")
@@ -614,13 +722,13 @@ def recommended_evidence(spark, folder):
 
 @query("support_rows", "E1 E14")
 def support_rows_query(spark, folder):
-    return support_rows(lineitem_battery(spark, folder))
+    return _support(lineitem_battery(spark, folder))
 
 
 @query("report_package", "T11 J4 M19 E14")
 def report_package(spark, folder):
     battery, evidence = _evidence(spark, folder)
-    out = E.package(evidence, support_rows(battery))
+    out = E.package(evidence, _support(battery))
     return out.withColumn("support_rows", F.to_json("support_rows"))
 
 
@@ -633,7 +741,7 @@ def story_groups(spark, folder):
 
 @query("finding_chart_rows", "E8")
 def finding_chart_rows(spark, folder):
-    return E.finding_charts(support_rows(lineitem_battery(spark, folder)), 20)
+    return E.finding_charts(_support(lineitem_battery(spark, folder)), 20)
 
 
 @query(
