@@ -51,9 +51,6 @@ MIN_ANOMALY_RECORDS = 4
 MIN_CORRELATION_PAIRS = 3
 MIN_BENCHMARK_RECORDS = 3
 MAX_SEGMENTS = 50
-# Above this many categories the full combination grid is replaced by one grouping
-# set per category.
-GRID_CATEGORIES = 3
 
 _KEY = ["metric_pos", "category_pos"]
 _SETTINGS = [
@@ -175,10 +172,11 @@ class Battery:
             *[s.first() for s in self._states()],
         ]
         names = self._segment_names
-        if len(names) <= GRID_CATEGORIES:
-            cells = keyed.groupBy("_day", *names).agg(*extra)
-            cells = cells.withColumn("_set", F.lit(0))
+        if not names:
+            cells = keyed.groupBy("_day").agg(*extra).withColumn("_set", F.lit(0))
         else:
+            # One grouping set per category: the cells grow with the sum of the categories'
+            # values, never with their product.
             sets = [[F.col("_day"), F.col(n)] for n in names]
             grouped = keyed.groupingSets(sets, "_day", *names)
             cells = grouped.agg(*extra, F.grouping_id().alias("_gid"))
@@ -277,24 +275,30 @@ class Battery:
     @cached_property
     def groups(self) -> DataFrame:
         """Merged KPI values per metric and grouping; small, checkpointed."""
-        metrics = F.array(*[F.lit(i) for i in range(len(self.measures))])
         keys = ["metric_pos", "level", "category_pos", "segment", "period"]
         settings = ["status", "granularity"]
+        # KPIs that share a time line share one merge of all states; they part afterwards.
+        shared = self.temporal_fixed.groupBy(*settings).agg(
+            F.sort_array(F.collect_list("metric_pos")).alias("metrics")
+        )
+        every = shared.agg(F.collect_list(F.struct(*settings, "metrics"))).scalar()
         spread = (
-            self.cells.withColumn("metric_pos", F.explode(metrics))
-            .join(self.temporal_fixed.select("metric_pos", *settings), "metric_pos")
+            self.cells.withColumn("_all", every)
+            .select("*", F.inline("_all"))
             .withColumn("_l", F.explode(self._levels()))
             .select("*", "_l.*")
         )
-        if len(self.categories) > GRID_CATEGORIES:
+        if self.categories:
             # Cells of one grouping set serve one category; set 0 also the totals.
             own = F.greatest(F.col("category_pos"), F.lit(0))
             spread = spread.where(F.col("_set") == own)
         merged = (
             spread.withColumn("period", self._period())
             .where(~F.col("dated") | F.col("period").isNotNull())
-            .groupBy(*keys, *settings)
+            .groupBy(*keys[1:], *settings, "metrics")
             .agg(F.sum("n_rows").alias("n_rows"), *[s.merge() for s in self._states()])
+            .withColumn("metric_pos", F.explode("metrics"))
+            .drop("metrics")
         )
         for i, measure in enumerate(self.measures):
             for slot, expression in measure.medians:
