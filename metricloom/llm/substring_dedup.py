@@ -4,7 +4,8 @@ A window is ``WINDOW`` consecutive words; its minimiser is the smallest hash amo
 ``RUN`` words in it.  Consecutive windows of a document that share a minimiser travel as one
 packed string (a super-k-mer) to the bucket of that minimiser, so equal windows always meet.
 In a bucket the strings are sorted by document and place; a window seen before is a repeat.
-Windows are compared by their words, not by hashes.
+Windows are compared by their words, not by hashes; in a packed string the ``CODES`` most
+frequent words of the sample stand as codes of two or three bytes that no UTF-8 text holds.
 
 Skew: copies of a string within a batch are settled before the shuffle (all but the earliest
 are repeats as a whole).  Minimisers that hold more than one of ``HOT_SHARE`` strings of a
@@ -22,6 +23,8 @@ whose windows repeat only what stands elsewhere or earlier in it, and share one
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,10 @@ LONGEST = 256
 HOT_SHARE = 2000
 #: Strings of a minimiser in the sample from which it is looked at.
 HOT_LEAST = 200
+#: Words with a code.
+CODES = 20_000
+#: Text bytes packed at once.
+PIECE = 4_000_000
 #: One document of so many is in the sample.
 SAMPLE = 16
 #: Different windows a task keeps of one bucket.
@@ -85,11 +92,19 @@ def super_kmers(words: list[bytes], hashes: dict) -> tuple[np.ndarray, ...]:
     return least[starts], starts, counts, inner
 
 
-def _packed(batch: pa.RecordBatch, hashes: dict, hot: frozenset):
+def word_codes(words: list[bytes]) -> dict[bytes, bytes]:
+    """Codes of the words, most frequent first: a byte that UTF-8 never uses, then bytes above
+    the space."""
+    tail = [bytes([b]) for b in range(0x21, 0x100)]
+    short = (bytes([lead]) + t for lead in range(0xF5, 0x100) for t in tail)
+    long = (b"\xc0" + t + u for t in tail for u in tail)
+    return dict(zip(words, chain(short, long), strict=False))
+
+
+def _packed(ids: list, marks: list, texts: list, hashes: dict, hot: frozenset, codes: dict):
     """Rows to ship: packed strings, each once, and settled repeats without a string."""
     earliest: dict[bytes, list] = {}
     settled: list[tuple] = []
-    ids, marks = batch["id"].to_pylist(), batch["mark"].to_pylist()
 
     def meet(packed, bucket, place, count, inner):
         old = earliest.get(packed)
@@ -101,11 +116,12 @@ def _packed(batch: pa.RecordBatch, hashes: dict, hot: frozenset):
         elif place > old[1]:
             settled.append((*place, count))
 
-    for key, mark, text in zip(ids, marks, batch["text"], strict=True):
-        words = text.as_py().encode("utf-8", "surrogatepass").split()
+    for key, mark, text in zip(ids, marks, texts, strict=True):
+        words = text.encode("utf-8", "surrogatepass").split()
         least, starts, counts, inner = super_kmers(words, hashes)
         if not len(starts):
             continue
+        words = [codes.get(w, w) for w in words]
         joined = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         begins = np.concatenate([[0], ends[:-1] + 1])
@@ -126,11 +142,28 @@ def _signed(values) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def _shipped(hot):
+def _pieces(batches):
+    """Slices of the batches of about ``PIECE`` bytes of text, as columns."""
+    for batch in batches:
+        ids, marks, texts, size = [], [], [], 0
+        for key, mark, text in zip(batch["id"].to_pylist(), batch["mark"].to_pylist(), batch["text"], strict=True):
+            ids.append(key)
+            marks.append(mark)
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size > PIECE:
+                yield ids, marks, texts
+                ids, marks, texts, size = [], [], [], 0
+        if ids:
+            yield ids, marks, texts
+
+
+def _shipped(known):
     def run(batches):
-        hashes, wanted = _Hashes(), hot.value
-        for batch in batches:
-            earliest, settled = _packed(batch, hashes, wanted)
+        hashes, (hot, words) = _Hashes(), known.value
+        codes = word_codes(words)
+        for ids, marks, texts in _pieces(batches):
+            earliest, settled = _packed(ids, marks, texts, hashes, hot, codes)
             kept = list(earliest.values())
             # settled repeats have no string; any bucket will do
             buckets = [k[0] for k in kept] + [xxhash.xxh64_intdigest(repr(s).encode()) for s in settled]
@@ -150,24 +183,33 @@ def _shipped(hot):
     return run
 
 
-def _buckets(batches):
-    """Minimisers of the sample."""
+def _sampled(batches):
+    """Minimisers and words of the sample, counted by task."""
     hashes = _Hashes()
     for batch in batches:
+        minimisers, seen = Counter(), Counter()
         for text in batch["text"]:
-            least, *_ = super_kmers(text.as_py().encode("utf-8", "surrogatepass").split(), hashes)
-            if len(least):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(least.view(np.int64))})
+            words = text.as_py().encode("utf-8", "surrogatepass").split()
+            minimisers.update(super_kmers(words, hashes)[0].view(np.int64).tolist())
+            seen.update(words)
+        found = pa.array([*minimisers, *[None] * len(seen)], pa.int64())
+        yield pa.RecordBatch.from_pydict(
+            {"bucket": found, "word": pa.array([*[None] * len(minimisers), *seen], pa.binary()),
+             "n": pa.array([*minimisers.values(), *seen.values()], pa.int64())}
+        )
 
 
-def hot_minimisers(rows: DataFrame, sample: int = SAMPLE, least: int = HOT_LEAST) -> frozenset:
-    """Minimisers of more than one of ``HOT_SHARE`` strings in the sample."""
+def sampled(rows: DataFrame, sample: int = SAMPLE, least: int = HOT_LEAST) -> tuple[frozenset, list[bytes]]:
+    """Minimisers of more than one of ``HOT_SHARE`` strings, and the most frequent words."""
     some = rows.where(F.pmod(F.xxhash64("id", "mark"), F.lit(sample)) == 0).select("text")
-    counts = some.mapInArrow(_buckets, "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    counts = written(counts.where(F.col("n") > 1), "minimisers")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = counts.where((F.col("n") >= least) & (F.col("n") * HOT_SHARE > total)).select("bucket").collect()
-    return frozenset(r.bucket % (1 << 64) for r in found)
+    counts = some.mapInArrow(_sampled, "bucket long, word binary, n long").groupBy("bucket", "word").agg(F.sum("n").alias("n"))
+    counts = written(counts.where("n > 1"), "minimisers")
+    strings = counts.where("bucket IS NOT NULL")
+    total = strings.agg(F.sum("n")).first()[0] or 0
+    hot = strings.where((F.col("n") >= least) & (F.col("n") * HOT_SHARE > total)).select("bucket").collect()
+    # a code saves about the length of its word
+    words = counts.where("word IS NOT NULL").orderBy(F.desc(F.col("n") * F.length("word")), "word").limit(CODES).select("word").collect()
+    return frozenset(r.bucket % (1 << 64) for r in hot), [bytes(r.word) for r in words]
 
 
 class _Bucket:
@@ -245,8 +287,8 @@ def repeated(rows: DataFrame, seen: int = SEEN, sample: int = SAMPLE, least: int
 
     ``rows`` has id, mark and text.
     """
-    hot = rows.sparkSession.sparkContext.broadcast(hot_minimisers(rows, sample, least))
-    shipped = rows.mapInArrow(_shipped(hot), _SHIPPED)
+    known = rows.sparkSession.sparkContext.broadcast(sampled(rows, sample, least))
+    shipped = rows.mapInArrow(_shipped(known), _SHIPPED)
     dealt = shipped.repartition("bucket").sortWithinPartitions("bucket", "id", "mark", "first")
     found = written(dealt.mapInArrow(_repeats(seen), _FOUND), "repeats")
     place = F.struct("id", "mark", "first")
