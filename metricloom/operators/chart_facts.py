@@ -189,6 +189,41 @@ def top_contribution(rows: DataFrame, x_order: str) -> DataFrame:
     )
 
 
+def association_sentences(facts: DataFrame) -> DataFrame:
+    """A sentence about the frame of :func:`association`."""
+    text = (
+        F.when(F.col("type") == "association_skipped", "Too few pairs are displayed for a correlation.")
+        .when(F.col("constant_input"), "One side of the displayed pairs never varies, so they have no correlation.")
+        .otherwise(
+            F.format_string("The %d displayed pairs correlate at %s.", "record_count", human_number(F.col("coefficient")))
+        )
+    )
+    return facts.select(text.alias("finding"))
+
+
+def distribution_sentences(facts: DataFrame) -> DataFrame:
+    """Sentences about the frame of :func:`distribution`: the middle half, and the outliers."""
+    n = human_number
+    middle = F.format_string(
+        "The middle half of %d values runs from %s to %s around a median of %s.",
+        "record_count", n(F.col("q1")), n(F.col("q3")), n(F.col("median")),
+    )
+    beyond = F.when(
+        F.col("outlier_count") > 0, F.format_string("%d values lie beyond the whiskers.", "outlier_count")
+    )
+    return facts.select(F.explode(F.array_compact(F.array(middle, beyond))).alias("finding"))
+
+
+def target_sentences(facts: DataFrame) -> DataFrame:
+    """A sentence about the frame of :func:`target_comparison`."""
+    text = F.format_string(
+        "%s stands at %s, %s against a target of %s.",
+        "measure", human_number(F.col("current_value")), signed_number(F.col("gap_to_target")),
+        human_number(F.col("target")),
+    )
+    return facts.select(text.alias("finding"))
+
+
 def summary_numbers(rows: DataFrame, x_order: str) -> DataFrame:
     """Totals, gap, top shares, range, funnel retention and waterfall nets per measure."""
     ordered = _ordered(rows, x_order)
@@ -276,7 +311,7 @@ def findings(
             F.lit(1).alias("_p"),
             "measure",
             F.format_string(
-                "%s was highest at %s (%s) and lowest at %s (%s).",
+                "%s peaks at %s with %s; its smallest displayed value is at %s with %s.",
                 "measure", label("highest"), n(F.col("highest.value")),
                 label("lowest"), n(F.col("lowest.value")),
             ).alias("finding"),
@@ -285,7 +320,7 @@ def findings(
             F.lit(3).alias("_p"),
             "measure",
             F.format_string(
-                "The displayed gap between %s and %s is %s for %s.",
+                "From %s down to %s the displayed values span %s for %s.",
                 label("highest"), label("lowest"), n(gap), "measure",
             ).alias("finding"),
         ),
@@ -304,7 +339,7 @@ def findings(
                 F.lit(2).alias("_p"),
                 "measure",
                 F.format_string(
-                    "%s%s changed from %s in %s to %s in %s, a %s change%s.",
+                    "%s%s went from %s (%s) to %s (%s): %s%s.",
                     "measure", named, n(F.col("first_value")), "first_period",
                     n(F.col("last_value")), "last_period",
                     signed_number(F.col("absolute_change")), percent,
@@ -321,8 +356,7 @@ def findings(
                     F.lit(place).alias("_p"),
                     "measure",
                     F.format_string(
-                        "The largest displayed period-to-period " + word + " in %s was %s, "
-                        "from %s to %s.",
+                        "The steepest displayed " + word + " of %s is %s, between %s and %s.",
                         "measure", signed_number(F.col(f"{side}.movement")),
                         point_label(F.col(f"{side}.from_x"), series),
                         point_label(F.col(f"{side}.to_x"), series),
@@ -333,26 +367,26 @@ def findings(
         top = ends.join(numbers, "measure").where(F.col("total") != 0)
         for place, text in (
             (4, F.format_string(
-                "The displayed %s total is %s across %d plotted points.",
+                "Together the displayed values of %s make %s over %d points.",
                 "measure", n(F.col("total")), "point_count")),
             (5, F.format_string(
-                "%s contributes %s%% of the displayed %s total.",
+                "%s alone holds %s%% of what is displayed of %s.",
                 label("highest"), n(F.col("top_share")), "measure")),
             (6, F.format_string(
-                "The three largest displayed points contribute %s%% of the displayed %s total.",
+                "The top three points hold %s%% of what is displayed of %s.",
                 n(F.col("top_three_share")), "measure")),
         ):
             sentences.append(top.select(F.lit(place).alias("_p"), "measure", text.alias("finding")))
     if chart == "waterfall":
         for place, test, text in (
             (7, F.lit(True), F.format_string(
-                "The displayed waterfall has a net change of %s for %s.",
+                "All displayed steps add up to %s for %s.",
                 signed_number(F.col("total")), "measure")),
             (8, F.col("largest_positive").isNotNull(), F.format_string(
-                "The largest positive contribution is %s at %s.",
+                "%s raises it most, by %s.",
                 label("highest"), signed_number(F.col("largest_positive")))),
             (9, F.col("largest_negative").isNotNull(), F.format_string(
-                "The largest negative contribution is %s at %s.",
+                "%s lowers it most, by %s.",
                 label("lowest"), signed_number(F.col("largest_negative")))),
         ):
             both = ends.join(numbers, "measure").where(test)
@@ -363,7 +397,7 @@ def findings(
                 F.lit(7).alias("_p"),
                 "measure",
                 F.format_string(
-                    "The displayed funnel retains %s%%.", n(F.col("retention"))
+                    "The last displayed stage keeps %s%% of the first.", n(F.col("retention"))
                 ).alias("finding"),
             )
         )

@@ -10,7 +10,6 @@ from metricloom.operators import chart_facts as X
 from metricloom.operators import kpi as K
 from metricloom.operators.charts import (
     ChartSpec,
-    box_summary,
     chart_data,
     classification,
     guards,
@@ -716,20 +715,57 @@ def chart_findings(spark, folder):
     return X.findings(_yearly(spark, folder), "time_line", "x", "sum", X.MAX_FINDINGS)
 
 
+def _numbers_as_text(sql: str) -> str:
+    """Expand n(...) in oracle SQL to the short number text."""
+    out, rest = "", sql
+    while (at := rest.find(" n(")) >= 0:
+        depth, end = 0, at + 2
+        while True:
+            depth += {"(": 1, ")": -1}.get(rest[end], 0)
+            end += 1
+            if not depth:
+                break
+        c = f"({rest[at + 3 : end - 1]})"
+        out += rest[:at] + (
+            f" (CASE WHEN abs({c}) >= 1e9 THEN printf('%.2fB', {c} / 1e9) WHEN abs({c}) >= 1e6 THEN printf('%.2fM', {c} / 1e6) "
+            f"WHEN {c} = floor({c}) THEN format('{{:,}}', {c}::BIGINT) WHEN abs({c}) >= 1000 THEN format('{{:,.2f}}', {c}) ELSE printf('%.2f', {c}) END)"
+        )
+        rest = rest[end:]
+    return out + rest
+
+
 @query(
     "finding_sentences",
     "E11 M6",
-    """WITH g AS (SELECT o_orderpriority AS x, sum(o_totalprice) AS v FROM orders GROUP BY 1),
-    f AS (SELECT max(v) - min(v) AS gap, arg_max(x, v) AS hi, arg_min(x, v) AS lo FROM g)
-    SELECT 'The displayed gap between ' || hi || ' and ' || lo || ' is ' ||
-      CASE WHEN gap >= 1e9 THEN printf('%.2fB', gap / 1e9) WHEN gap >= 1e6 THEN printf('%.2fM', gap / 1e6)
-           ELSE format('{:,.2f}', gap) END || ' for o_totalprice.' AS finding FROM f""",
+    _numbers_as_text(
+        """WITH g AS (SELECT o_orderpriority AS x, sum(o_totalprice) AS v FROM orders GROUP BY 1),
+    f AS (SELECT max(v) - min(v) AS gap, arg_max(x, v) AS hi, arg_min(x, v) AS lo, max(v) AS top, min(v) AS low, sum(v) AS total,
+      count(*) AS points, (SELECT sum(v) FROM (SELECT v FROM g ORDER BY v DESC LIMIT 3)) AS three FROM g)
+    SELECT 'From ' || hi || ' down to ' || lo || ' the displayed values span ' || n(gap) || ' for o_totalprice.' AS finding FROM f
+    UNION ALL SELECT 'o_totalprice peaks at ' || hi || ' with ' || n(top) || '; its smallest displayed value is at ' || lo || ' with ' || n(low) || '.' FROM f
+    UNION ALL SELECT 'Together the displayed values of o_totalprice make ' || n(total) || ' over ' || points || ' points.' FROM f
+    UNION ALL SELECT hi || ' alone holds ' || n(top / total * 100) || '% of what is displayed of o_totalprice.' FROM f
+    UNION ALL SELECT 'The top three points hold ' || n(three / total * 100) || '% of what is displayed of o_totalprice.' FROM f"""
+    ),
 )
 def finding_sentences(spark, folder):
     spec = ChartSpec("category_bar", ("column:o_totalprice",), "o_orderpriority", aggregation="sum")
     rows = chart_data(load(spark, folder, "orders"), spec)
-    out = X.findings(rows, "category_bar", "x_position", "sum", X.MAX_FINDINGS)
-    return out.where(F.col("finding").startswith("The displayed gap")).select("finding")
+    return X.findings(rows, "category_bar", "x_position", "sum").select("finding")
 
 
-assert box_summary
+@query(
+    "kind_sentences",
+    "E11 M6",
+    _numbers_as_text(
+        """WITH q AS (SELECT sum(value) AS v, count(*) AS c FROM events)
+    SELECT 'value stands at ' || n(v) || ', ' || CASE WHEN v > 50000 THEN '+' ELSE '-' END || n(abs(v - 50000)) || ' against a target of ' || n(50000) || '.' AS finding FROM q
+    UNION ALL SELECT 'The ' || count(*) || ' displayed pairs correlate at ' || n(corr(p_size, p_retailprice)) || '.' FROM part"""
+    ),
+)
+def kind_sentences(spark, folder):
+    """Sentences about a target and about a scatter."""
+    target = X.target_comparison(B.card(load(spark, folder, "events"), "value", 50000.0))
+    spec = ChartSpec("scatter", ("column:p_retailprice",), "p_size")
+    pairs = X.association(chart_data(load(spark, folder, "part"), spec))
+    return X.target_sentences(target).unionByName(X.association_sentences(pairs))

@@ -22,11 +22,8 @@ from metricloom.plans.registry import load, query, shown
 )
 def source_kpi_aggregations(spark, folder):
     table = load(spark, folder, "lineitem")
-    values = None
-    for name in K.AGGREGATIONS:
-        part = K.evaluate(table, [K.source_kpi("l_quantity", name)], ["l_returnflag"])
-        part = part.withColumnRenamed("l_quantity", f"qty_{name}")
-        values = part if values is None else values.join(part.drop("record_count"), "l_returnflag")
+    kpis = [K.Kpi(f"qty_{name}", "source", name, column="l_quantity") for name in K.AGGREGATIONS]
+    values = K.evaluate(table, kpis, ["l_returnflag"])
     return shown(values, 4, qty_sum=2)
 
 

@@ -155,7 +155,7 @@ def test_facts(sales):
     move = one(X.movements(rows))
     assert (move["gain"]["movement"], move["drop"]["movement"]) == (50, -10)
     text = [r["finding"] for r in X.findings(rows, "time_line", "x", "sum", 5).orderBy("position").collect()]
-    assert text[0] == "revenue was highest at 2024-03 / B (260) and lowest at 2024-01 / A (100)."
+    assert text[0] == "revenue peaks at 2024-03 / B with 260; its smallest displayed value is at 2024-01 / A with 100."
     assert len(text) == 5 == len(set(text))
     assert X.observations(rows, "time_line", "x").count() == 3
 
