@@ -83,7 +83,7 @@ def test_secrets(spark, text, expected):
     [
         ("Up 1,250.5% in a2b and Seven or 3",
          "Up the configured threshold in a2b and the configured threshold or the configured threshold"),
-        ("$5 first", "the configured threshold first"),
+        ("$5 apples, first", "the configured threshold apples, the configured threshold"),
         ("no numbers", "no numbers"),
         ("x7 7x 9", "x7 7x the configured threshold"),
     ],
