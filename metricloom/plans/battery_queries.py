@@ -558,14 +558,15 @@ def insights(spark, folder):
     )
 
 
-#: Number of each finding type that the oracle compares, and what tells findings of it apart.
+#: Number of each finding type that the oracle compares, what tells findings of it apart, and the
+#: digits of the oracle it is taken from.
 _NUMBERS = {
-    "metric_snapshot": ("metric_snapshot", "current_value", None),
-    "period_change": ("period_change", "absolute_change", None),
-    "period_baseline_comparison": ("period_baseline", "baseline_value", None),
-    "trend": ("trend", "slope_per_period", None),
-    "period_target_comparison": ("period_target", "missed_period_count", None),
-    "numeric_correlation": ("numeric_correlation", "coefficient", "associated_metric"),
+    "metric_snapshot": ("metric_snapshot", "current_value", None, 2),
+    "period_change": ("period_change", "absolute_change", None, 4),
+    "period_baseline_comparison": ("period_baseline", "baseline_value", None, 1),
+    "trend": ("trend", "slope_per_period", None, 2),
+    "period_target_comparison": ("period_target", "missed_period_count", None, 0),
+    "numeric_correlation": ("numeric_correlation", "coefficient", "associated_metric", 6),
 }
 
 
@@ -573,21 +574,21 @@ _NUMBERS = {
     "insight_numbers",
     "B22 B23 M18 X6",
     " UNION ALL ".join(
-        f"SELECT metric, '{kind}' AS type, {label or 'NULL'} AS label, round({number}, 1)::DOUBLE AS number FROM ({ORACLE[source]})"
-        for kind, (source, number, label) in _NUMBERS.items()
+        f"SELECT metric, '{kind}' AS type, {label or 'NULL'} AS label, {number}::DOUBLE AS number FROM ({ORACLE[source]})"
+        for kind, (source, number, label, _) in _NUMBERS.items()
     ),
 )
 def insight_numbers(spark, folder):
     """One number of every finding of the battery, whichever frame it came through."""
     battery = lineitem_battery(spark, folder)
     out = build_insights(battery, missing_counts(battery.table)).where(F.col("type").isin(*_NUMBERS))
-    number, label = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, (_, name, told) in _NUMBERS.items():
+    number, label = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for kind, (_, name, told, digits) in _NUMBERS.items():
         here = F.col("type") == kind
-        number = F.when(here, F.get_json_object("observation", f"$.{name}")).otherwise(number)
+        number = F.when(here, F.round(F.get_json_object("observation", f"$.{name}").cast("double"), digits)).otherwise(number)
         if told:
             label = F.when(here, F.get_json_object("observation", f"$.{told}")).otherwise(label)
-    return shown(out.select("metric", "type", label.alias("label"), number.cast("double").alias("number")), 1)
+    return shown(out.select("metric", "type", label.alias("label"), number.alias("number")), 6)
 
 
 @query(
@@ -634,11 +635,11 @@ def support_outliers(spark, folder):
 
 
 _ROWS = {
-    "segment_ranking": ("segment_ranking", "value", "segment"),
-    "segment_share": ("segment_share", "share_percentage", "segment"),
-    "cohort_period_comparison": ("cohort_comparison", "current_record_count", "segment"),
-    "segment_contribution": ("segment_contribution", "absolute_change", "segment"),
-    "numeric_correlation": ("correlation_sums", "pair_count", "associated_metric"),
+    "segment_ranking": ("segment_ranking", "value", "segment", 4),
+    "segment_share": ("segment_share", "share_percentage", "segment", 6),
+    "cohort_period_comparison": ("cohort_comparison", "current_record_count", "segment", 0),
+    "segment_contribution": ("segment_contribution", "absolute_change", "segment", 4),
+    "numeric_correlation": ("correlation_sums", "pair_count", "associated_metric", 0),
 }
 
 
@@ -646,20 +647,20 @@ _ROWS = {
     "support_numbers",
     "E1 E8 E14 J1 X1",
     " UNION ALL ".join(
-        f"SELECT metric, '{kind}' AS type, {label} AS label, round({number}, 0)::DOUBLE AS number FROM ({ORACLE[source]})"
-        for kind, (source, number, label) in _ROWS.items()
+        f"SELECT metric, '{kind}' AS type, {label} AS label, {number}::DOUBLE AS number FROM ({ORACLE[source]})"
+        for kind, (source, number, label, _) in _ROWS.items()
     ),
 )
 def support_numbers(spark, folder):
     """One number of every support row of the segment, cohort and correlation findings."""
     out = _support(lineitem_battery(spark, folder)).where(F.col("type").isin(*_ROWS))
     field = lambda name: F.get_json_object("row", f"$.{name}")
-    number, label = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, (_, name, told) in _ROWS.items():
+    number, label = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for kind, (_, name, told, digits) in _ROWS.items():
         here = F.col("type") == kind
-        number = F.when(here, field(name)).otherwise(number)
+        number = F.when(here, F.round(field(name).cast("double"), digits)).otherwise(number)
         label = F.when(here, field(told)).otherwise(label)
-    return shown(out.select(field("metric").alias("metric"), "type", label.alias("label"), number.cast("double").alias("number")), 0)
+    return shown(out.select(field("metric").alias("metric"), "type", label.alias("label"), number.alias("number")), 6)
 
 
 def _support(battery):
