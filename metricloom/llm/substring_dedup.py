@@ -13,7 +13,7 @@ sample of documents (fewer than ``HOT_SHARE`` of them) are split: their windows
 one, to the bucket of the window.  A bucket that still holds more than ``SEEN`` different
 windows passes the rest on to an aggregation by window.  Both ways give the same result.
 
-Order of places: id, then a hash of the text (for rows that share an id), then the word.
+Order of places: id, then 32 bits of a hash of the text (for rows that share an id), then the word.
 
 Results for unusual input: NULL and empty texts have no words; texts shorter than a window
 keep all words; NULL ids count as the smallest; rows that repeat id and text are one document,
@@ -138,10 +138,6 @@ def _packed(ids: list, marks: list, texts: list, hashes: dict, hot: frozenset, c
     return earliest, settled
 
 
-def _signed(values) -> np.ndarray:
-    return np.array(values, np.uint64).view(np.int64)
-
-
 def _pieces(batches):
     """Slices of the batches of about ``PIECE`` bytes of text, as columns."""
     for batch in batches:
@@ -169,7 +165,8 @@ def _shipped(known):
             buckets = [k[0] for k in kept] + [xxhash.xxh64_intdigest(repr(s).encode()) for s in settled]
             places = [k[1] for k in kept] + [s[:3] for s in settled]
             rows = {
-                "bucket": pa.array(_signed(buckets)),
+                # fewer random bytes to ship; minimisers that share the rest share a bucket
+                "bucket": pa.array(np.array(buckets, np.uint64) >> np.uint64(24), pa.int64()),
                 "packed": pa.array([*earliest, *[None] * len(settled)], pa.binary()),
                 "id": pa.array([p[0] for p in places], pa.int64()),
                 "mark": pa.array([p[1] for p in places], pa.int64()),
@@ -325,7 +322,8 @@ def _kept(batch: pa.RecordBatch, texts: bool) -> pa.RecordBatch:
 
 
 def _answers(docs: DataFrame, texts: bool, **limits: int) -> DataFrame:
-    rows = docs.select(id_of().alias("id"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
+    mark = F.xxhash64(text_of()).bitwiseAND(F.lit(0xFFFFFFFF))
+    rows = docs.select(id_of().alias("id"), mark.alias("mark"), text_of().alias("text"))
     stretches = repeated(rows, **limits).groupBy("id", "mark").agg(
         F.collect_list(F.struct("first", "windows")).alias("stretches")
     )
