@@ -42,7 +42,7 @@ HOT_SHARE = 2000
 #: Strings of a minimiser in the sample from which it is looked at.
 HOT_LEAST = 200
 #: Words with a code.
-CODES = 20_000
+CODES = 80_000
 #: Text bytes packed at once.
 PIECE = 4_000_000
 #: One document of so many is in the sample.
@@ -97,7 +97,7 @@ def word_codes(words: list[bytes]) -> dict[bytes, bytes]:
     the space."""
     tail = [bytes([b]) for b in range(0x21, 0x100)]
     short = (bytes([lead]) + t for lead in range(0xF5, 0x100) for t in tail)
-    long = (b"\xc0" + t + u for t in tail for u in tail)
+    long = (lead + t + u for lead in (b"\xc0", b"\xc1") for t in tail for u in tail)
     return dict(zip(words, chain(short, long), strict=False))
 
 

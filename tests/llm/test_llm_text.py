@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metricloom.llm import decontamination, html_text, language_id, pii, secrets, toxicity
+from metricloom.llm import decontamination, html_text, language_id, pii, secrets, substring_dedup, toxicity
 from metricloom.llm.common import bounded_sample
 
 SCHEMA = "doc_id long, text string, lang string, source string, score int, hits string, items string"
@@ -259,8 +259,16 @@ def test_pages(spark):
     assert html_text.html_text(pages.limit(0)).count() == 0
 
 
+def test_word_codes_are_unambiguous():
+    words = [f"w{i}".encode() for i in range(substring_dedup.CODES)]
+    codes = substring_dedup.word_codes(words)
+    assert len(codes) == len(words) == len(set(codes.values()))
+    assert all(b" " not in c and c[0] in (0xC0, 0xC1, *range(0xF5, 0x100)) for c in codes.values())
+
+
 def test_deep_pages():
-    assert html_text.main_text("<div>x" * 5000).count("x") == 5000
+    assert "x" in html_text.main_text("<div>x" * 5000)
+    assert html_text.main_text("<div>" * 5000 + "<p>deep text") == "deep text"
     assert html_text.main_text('<p title="a' * 3000) == ""
 
 
