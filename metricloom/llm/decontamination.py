@@ -17,7 +17,6 @@ id, once for each distinct id; a NULL item id is left out of ``items_sha256`` bu
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -293,7 +292,7 @@ def _cut(text: str | None, spans: list) -> str | None:
 
 def _without_spans(batch: pa.RecordBatch) -> pa.RecordBatch:
     texts = [_cut(t, h) for t, h in zip(batch["text"].to_pylist(), batch["hits"].to_pylist(), strict=True)]
-    return pa.RecordBatch.from_arrays([batch[ "doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
+    return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
 def without_benchmark_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
