@@ -13,7 +13,7 @@ sample of documents (fewer than ``HOT_SHARE`` of them) are split: their windows
 one, to the bucket of the window.  A bucket that still holds more than ``SEEN`` different
 windows passes the rest on to an aggregation by window.  Both ways give the same result.
 
-Order of places: id, then 32 bits of a hash of the text (for rows that share an id), then the word.
+Order of places: id, then a 64-bit hash of the text (for rows that share an id), then the word.
 
 Results for unusual input: NULL and empty texts have no words; texts shorter than a window
 keep all words; NULL ids count as the smallest; rows that repeat id and text are one document,
@@ -322,8 +322,7 @@ def _kept(batch: pa.RecordBatch, texts: bool) -> pa.RecordBatch:
 
 
 def _answers(docs: DataFrame, texts: bool, **limits: int) -> DataFrame:
-    mark = F.xxhash64(text_of()).bitwiseAND(F.lit(0xFFFFFFFF))
-    rows = docs.select(id_of().alias("id"), mark.alias("mark"), text_of().alias("text"))
+    rows = docs.select(id_of().alias("id"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
     stretches = repeated(rows, **limits).groupBy("id", "mark").agg(
         F.collect_list(F.struct("first", "windows")).alias("stretches")
     )

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from metricloom.llm import exact_dedup, simhash, substring_dedup
 from metricloom.llm.components import components
@@ -198,3 +199,14 @@ def test_substring_odd_rows(spark):
     assert substring_dedup.substring_dedup(frame(spark, rows).limit(0)).count() == 0
     text = {r.doc_id: r.text for r in substring_dedup.without_repeats(frame(spark, rows)).collect()}
     assert text[4] == "" and text[9] == "short"
+
+
+def test_substring_tells_ids_apart_by_whole_hashes(spark):
+    """Two texts of one id whose 64-bit hashes agree in the low 32 bits."""
+    passage, clean = " ".join(f"p{i}" for i in range(30)), " ".join(f"c{i}" for i in range(25))
+    rows = [(None, f"{passage} {passage} a38021"), (None, f"{clean} b38675")]
+    docs = frame(spark, rows)
+    marks = [r.mark for r in docs.select(F.xxhash64("text").alias("mark")).collect()]
+    assert marks[0] != marks[1] and marks[0] & 0xFFFFFFFF == marks[1] & 0xFFFFFFFF
+    got = substring_dedup.substring_dedup(docs).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got) == [(26, 0), (61, 30)]
