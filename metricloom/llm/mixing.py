@@ -164,11 +164,17 @@ def _mapped(seed: int):
 
 
 def slots(source_targets: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """The output slots: key, shard, slot, epoch and the block index each slot takes."""
+    """The output slots: key, shard, slot, epoch and the block index each slot takes.
+
+    The last block of a source is only partly filled: slots are counted by the mean filling of
+    its blocks, at least one for a positive target.
+    """
+    blocks = F.ceil(F.col("source_size") / block).cast("long")
+    counted = F.greatest(F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), F.lit(1))
     wanted = source_targets.select(
         "key",
-        F.round(F.col("target") / block).cast("long").alias("slots"),
-        F.ceil(F.col("source_size") / block).cast("long").alias("blocks"),
+        F.when((F.col("target") > 0) & (F.col("source_size") > 0), counted).otherwise(0).alias("slots"),
+        blocks.alias("blocks"),
     ).where("slots > 0")
     wanted = written(wanted, "wanted")
     total = wanted.agg(F.sum("slots")).first()[0] or 0

@@ -79,6 +79,24 @@ def test_targets_reach_caps(spark):
     assert abs(sum(got.values()) - 1415) < 1e-6
 
 
+def test_small_sources_take_their_targets(spark):
+    sizes = {"hot": 60_000, **{f"s{n:03}": n for n in (3, 10, 20, 31, 33, 64, 65, 96, 128, 130, 200, 300)}, "without": 0, None: 7}
+    docs = frame(spark, [(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())])
+    got = dict(zip(sizes, sorted(mixing.mixing(docs).collect(), key=lambda r: r.doc_id), strict=True))
+    for s, r in got.items():
+        assert r.taken <= 3 * r.size
+        if s == "hot":
+            assert abs(r.taken - r.target) <= mixing.BLOCK
+        else:
+            assert r.taken == r.target == 3 * r.size, s
+
+
+def test_uncapped_sources_come_near_their_targets(spark):
+    sizes = {"a": 300, "b": 290, "c": 65, "d": 130, "e": 70}
+    for r in mixing.mixing(frame(spark, [(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())])).collect():
+        assert 0 < r.taken and abs(r.taken - r.target) <= mixing.BLOCK
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     before = docs
