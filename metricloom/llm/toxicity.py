@@ -16,7 +16,8 @@ sum over all segments with E below ``SIGNIFICANT``, the sum of lambda S over all
 log n into a score from 0 to 1.
 
 Labels train on a bounded sample: at most ``SAMPLE`` distinct texts of each class, in the order
-of a hash.  Prior counts cover all documents.  The driver gets tables of at most ``BUCKETS`` rows.
+of a hash; in the logistic curve they weigh as much as all labelled texts of their class, so
+that scores do not shift with the size of the input.  Prior counts cover all documents.  The driver gets tables of at most ``BUCKETS`` rows.
 
 Results for unusual input: NULL, empty and letterless texts have no segment and get the score
 of such texts; without labels of both classes every score is the share of toxic labels (0
@@ -148,16 +149,26 @@ def grouped(texts):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """``toxic`` and ``text`` of at most ``size`` distinct texts of each class."""
+    """``toxic``, ``text`` and ``weight`` of at most ``size`` distinct texts of each class.
+
+    A row's weight is the number of distinct texts of its class over those in the sample.
+    """
     marked = docs.where(crc_remainder(5) != 0).select("doc_id", F.xxhash64(text_of()).alias("mark"))
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     distinct = marked.join(known, "doc_id").groupBy("mark").agg(
         F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")
     )
+    distinct = written(distinct, "labelled")
+    counts = distinct.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
     chosen = bounded_sample(distinct, "toxic", F.col("mark"), size)
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("mark", F.xxhash64("text"))
     picked = rows.join(F.broadcast(chosen.select("doc_id", "mark", "toxic")), ["doc_id", "mark"])
-    return written(picked.select("mark", "toxic", "text").dropDuplicates(["mark"]).select("toxic", "text"), "toxic-sample")
+    sample = written(picked.select("mark", "toxic", "text").dropDuplicates(["mark"]).select("toxic", "text"), "toxic-sample")
+    # one row a class on either side
+    weights = counts.join(sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("sampled")), "toxic").select(
+        "toxic", (F.col("n") / F.col("sampled")).alias("weight")
+    )
+    return sample.join(F.broadcast(weights), "toxic").select("toxic", "text", "weight")
 
 
 def _class_counts(batches):
@@ -336,14 +347,15 @@ def extreme_values(histogram: dict[float, int], strongest: float) -> tuple[float
     return low, positive / total * math.exp(min(50.0, low * mean))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Coefficients, intercept first, by Newton steps with a small ridge."""
+def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, ridge: float = 0.05) -> np.ndarray:
+    """Coefficients, intercept first, by Newton steps with a small ridge; a row counts ``weights`` times."""
+    c = np.ones(len(x)) if weights is None else weights
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
     penalty = ridge * np.eye(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((a * (c * p * (1 - p))[:, None]).T @ a + penalty, a.T @ (c * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -370,7 +382,7 @@ def _histogram(shared):
 
 def _evidence(batch: pa.RecordBatch, shared) -> pa.RecordBatch:
     found = pa.array(map(list, shared.value.evidence(batch["text"].to_pylist())), pa.list_(pa.float64()))
-    return pa.RecordBatch.from_arrays([batch["toxic"], found], ["toxic", "evidence"])
+    return pa.RecordBatch.from_arrays([batch["toxic"], batch["weight"], found], ["toxic", "weight", "evidence"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
@@ -401,9 +413,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
         {r.score: r.n for r in steps.groupBy("score").agg(F.sum("n").alias("n")).collect()},
         float(odds.max()) - DRIFT,
     )
-    rows = sample.mapInArrow(in_batches(_evidence, context.broadcast(model)), "toxic int, evidence array<double>").toPandas()
+    rows = sample.mapInArrow(in_batches(_evidence, context.broadcast(model)), "toxic int, weight double, evidence array<double>").toPandas()
     x = np.array(rows["evidence"].tolist())
-    model.curve = tuple(logistic(x, (rows["toxic"].to_numpy() > 0).astype(float)).tolist())
+    model.curve = tuple(logistic(x, (rows["toxic"].to_numpy() > 0).astype(float), rows["weight"].to_numpy(float)).tolist())
     return model
 
 

@@ -136,6 +136,22 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), marks).count() == 0
 
 
+def test_toxicity_does_not_shift_with_the_sample(spark):
+    """Labels that the text does not tell: the score is the share of toxic ones at any sample size."""
+    rng = random.Random(12)
+    plain = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(120)]
+    rows = [(i, " ".join(rng.choices(plain, k=rng.randint(10, 60))), "en") for i in range(1000)]
+    docs = frame(spark, rows)
+    marks = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1000)], "doc_id long, toxic int")
+    sums = toxicity.labelled_sample(docs, marks, 40).groupBy("toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    known = {r.toxic: r.n for r in toxicity.labelled_sample(docs, marks).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    assert all(r.n == 40 and math.isclose(r.w, known[r.toxic]) for r in sums.collect())
+    texts = [t for _, t, _ in rows]
+    for size in (40, toxicity.SAMPLE):
+        scores = toxicity.fit(docs, marks, size).score(texts)
+        assert abs(sum(scores) / len(scores) - 0.1) < 0.06, size
+
+
 ODD = (
     "a@b.c_d@e.f é x@y 1.2.3.4.5.6.7.8 300.1.1.1 001.002.0003.4 4111 1111 1111 1111 4012888888881881-0 "
     "+1 (555) 123-4567) +12 a@b..c@d.e %%%@a-b.co.uk."
