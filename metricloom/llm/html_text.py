@@ -3,7 +3,9 @@
 A tolerant parser builds the element tree of a page (implied end tags, void and raw-text
 elements, unclosed and stray tags).  Elements that are never part of an article go: scripts,
 styles, forms, menus, footers, sidebars and what their class, id or role names as adverts,
-notices or reader comments.  Every paragraph then passes points to its ancestors, one and one
+notices or reader comments.  Names of a state (has-sidebar, comments-open) are no such mark; a
+marked element stays, with a lower score, if it is an outer article, holds most of the page's
+points or has a name of content beside the mark.  Every paragraph then passes points to its ancestors, one and one
 more for every comma and every hundred characters (three at most), whole to the parent, half
 to the grandparent, less above; a container's points are discounted by its share of linked
 text.  The best container, widened to the article element around it, and those of its
@@ -79,10 +81,24 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: A marked word after or before one of these in a name tells a state of the element: no mark.
+NEGATING = frozenset("has have with without no not non show shows hide hides is".split())
+STATES = frozenset("open opened closed enabled disabled on off active inactive allowed".split())
+#: Part of its score that a marked element keeps if it stays.
+LOWERED = 0.5
+
+
+def _read_name(name: str) -> tuple[list[str], bool]:
+    """Words of one name, and whether one of them is a mark and tells no state."""
+    words = [w.lower() for w in _TOKEN.findall(name)]
+    return words, any(
+        w in MARKED and not NEGATING.intersection(words[:i]) and not STATES.intersection(words[i + 1 :])
+        for i, w in enumerate(words)
+    )
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attributes", "text", "links", "commas", "score")
+    __slots__ = ("tag", "parent", "children", "attributes", "text", "links", "commas", "score", "marked")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag = tag
@@ -91,6 +107,8 @@ class Node:
         self.attributes = attributes
         self.text = self.links = self.commas = 0
         self.score = 0.0
+        #: None, or whether a name beside the mark protects the element.
+        self.marked: bool | None = None
 
 
 def parse(page: str) -> Node:
@@ -168,6 +186,7 @@ def _close(stack: list[Node], tag: str) -> None:
 
 
 def _unwanted(node: Node) -> bool:
+    """Whether the element goes in any case; notes on it whether its names mark it."""
     tag = node.tag
     if tag in NEVER:
         return True
@@ -176,16 +195,21 @@ def _unwanted(node: Node) -> bool:
     if not node.attributes or tag in SAFE:
         return False
     words: set[str] = set()
+    marked = content = False
     for name, *values in _ATTRIBUTE.findall(node.attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id", "role"):
-            words.update(w.lower() for w in _TOKEN.findall(value))
+            for some, mark in map(_read_name, value.split()):
+                words.update(some)
+                marked |= mark
+                content |= not mark and not CONTENT.isdisjoint(some)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    if words & MARKED:
-        return True
+    if marked:
+        node.marked = content
+        return False
     return bool(words & WEAK) and not words & CONTENT and tag not in HEADINGS and tag != "article"
 
 
@@ -220,7 +244,35 @@ def _prune(root: Node) -> list[Node]:
                 kept.append(child)
                 todo.append(child)
         node.children = kept
-    return order
+    if not any(n.marked is False for n in order):
+        return order
+    _measure(order)
+    points = {id(n): _points(n)[0] for n in order}
+    for node in reversed(order):
+        if node.parent is not None:
+            points[id(node.parent)] += points[id(node)]
+    left: list[Node] = []
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        left.append(node)
+        node.text = node.links = node.commas = 0
+        node.children = [
+            c for c in node.children
+            if isinstance(c, str) or c.marked is not False or _outer_article(c) or 2 * points[id(c)] > points[id(root)]
+        ]
+        todo.extend(c for c in node.children if isinstance(c, Node))
+    return left
+
+
+def _outer_article(node: Node) -> bool:
+    """An article that stands in no other (one inside is a reader's comment or the like)."""
+    if node.tag != "article":
+        return False
+    up = node.parent
+    while up is not None and up.tag != "article":
+        up = up.parent
+    return up is None
 
 
 def _measure(order: list[Node]) -> None:
@@ -251,21 +303,29 @@ def _is_paragraph(node: Node) -> bool:
     )
 
 
+def _points(node: Node) -> tuple[float, Node | None]:
+    """Points of a paragraph, or of the text that stands in a container itself, and who gets them whole."""
+    if not node.text or not _is_paragraph(node):
+        return 0.0, None
+    if node.tag in ("p", "pre", "blockquote", "td", "li", "dd"):
+        size, commas, up = node.text, node.commas, node.parent
+    else:
+        size = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        commas, up = sum(c.count(",") for c in node.children if isinstance(c, str)), node
+    return (1 + commas + min(size / 100, 3)) * (1 - _density(node)), up
+
+
 def _score(order: list[Node]) -> Node | None:
     """Pass points up; the container with the most, None without any text."""
     for node in order:
-        if not node.text or not _is_paragraph(node):
-            continue
-        if node.tag in ("p", "pre", "blockquote", "td", "li", "dd"):
-            size, commas, up = node.text, node.commas, node.parent
-        else:  # text that stands in a container itself
-            size = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-            commas, up = sum(c.count(",") for c in node.children if isinstance(c, str)), node
-        points = (1 + commas + min(size / 100, 3)) * (1 - _density(node))
+        points, up = _points(node)
         level = 0
         while up is not None:
             up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = up.parent, level + 1
+    for node in order:
+        if node.marked is not None:
+            node.score *= LOWERED
     best, most = None, 0.0
     for node in order:
         if node.tag in ("article", "main", "div", "section", "td", "body", "#root", "blockquote", "center") and node.text:

@@ -275,6 +275,18 @@ def test_pages(spark):
     assert html_text.html_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "opening",
+    ["div class='site-content has-sidebar'", "div class=layout-with-sidebar", "article class='post comments-open'", "div id=no-banner",
+     "article class=sponsored", "div class='story promoted'", "div class=overflow-hidden", "div class=hasSidebar"],
+)
+def test_marks_do_not_remove_articles(opening):
+    tag = opening.split()[0]
+    noise = "<div class=sidebar><p>Side, side.</p></div><div class='ad-box'>Buy!</div><div class=comment-body><p>Nice.</p></div>"
+    page = f"<body><{opening}><h1>Head</h1><p>Some text, here, and more of it.</p><p>Second, longer, paragraph.</p>{noise}</{tag}></body>"
+    assert html_text.main_text(page) == "Head\nSome text, here, and more of it.\nSecond, longer, paragraph."
+
+
 def test_word_codes_are_unambiguous():
     words = [f"w{i}".encode() for i in range(substring_dedup.CODES)]
     codes = substring_dedup.word_codes(words)
