@@ -155,7 +155,8 @@ def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclos
     n = F.lit(float(max(total, 1)))
     pmi = F.log(n * F.col("both") / (F.col("df_entity") * F.col("df_term")))
     information = F.log(n / F.col("df_entity"))
-    return joined_up.select("entity", "term", (pmi / information).alias("share")).where(F.col("share") >= disclosure)
+    # an entity of every document has no information left to disclose: no share, no term
+    return joined_up.select("entity", "term", F.try_divide(pmi, information).alias("share")).where(F.col("share") >= disclosure)
 
 
 def _with_terms(docs: DataFrame) -> DataFrame:

@@ -197,6 +197,12 @@ def test_pii(spark):
     assert pii.pii(docs.limit(0)).count() == 0
 
 
+def test_pii_entity_of_every_document(spark):
+    docs = frame(spark, [(i, f"Contact us at info@mail.example please {i}", "en") for i in range(4)])
+    got = pii.pii(docs).collect()
+    assert [r.spans for r in got] == ["email:14:31"] * 4
+
+
 def brute_decontamination(text, items):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = {c: c + 32 for c in range(65, 91)}
