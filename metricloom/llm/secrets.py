@@ -37,6 +37,8 @@ PATTERNS = {
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
 }
 _ASSIGNED = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
+#: Parts of a run that holds an allowed word; the rule of the allow list is for each of them.
+PART = r"(?<![^/=])[^/=]{20,}+"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 
 
@@ -109,6 +111,16 @@ def least_entropy(candidate: Column) -> Column:
     )
 
 
+def _judged(run: Column) -> Column:
+    """The run, or where the allow list speaks against it, the parts of it that the list does not name."""
+    parts = F.transform(
+        located(run["m"], matches(run["m"], PART), PART),
+        lambda p: F.struct((run["s"] + p["s"]).alias("s"), (run["s"] + p["e"]).alias("e"), p["m"].alias("m")),
+    )
+    unnamed = F.filter(parts, lambda p: p["m"].rlike("[0-9]") & ~p["m"].rlike(ALLOWED))
+    return F.when(run["m"].rlike(ALLOWED), unnamed).otherwise(F.array(run))
+
+
 def found_secrets(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns, ``text`` and the spans: assign, access, hex and entropy."""
     rows = docs.select(*keep, text_of().alias("text"))
@@ -118,7 +130,7 @@ def found_secrets(docs: DataFrame, *keep: str) -> DataFrame:
     for kind, pattern in PATTERNS.items():
         rows = rows.withColumn(kind, _passing(kind, located(F.col("text"), F.col(f"found_{kind}"), pattern)))
     rows = rows.withColumn(
-        "long", F.filter(located(F.col("text"), F.col("found_long"), CANDIDATE), lambda x: ~x["m"].rlike(ALLOWED))
+        "long", F.flatten(F.transform(located(F.col("text"), F.col("found_long"), CANDIDATE), _judged))
     )
     known = F.concat(*PATTERNS)
     inner = F.flatten(

@@ -357,3 +357,9 @@ def test_secrets(spark):
     clean = {r.doc_id: r.text for r in secrets.without_secrets(docs).collect()}
     assert clean[None] == "[entropy]" and clean[2] == "" and "[access] [entropy] 123e4567" in clean[1]
     assert secrets.secrets(docs.limit(0)).count() == 0
+
+
+def test_allowed_words_spare_only_their_part(spark):
+    rows = [(1, "/sample/T03kLm9Qx7Zr2vBn8Wp4", "en"), (2, "EXAMPLE_KEY=9fK2pLm7Qx4Zr8vBn3Wt", "en"), (3, "x/example9fK2pLm7Qx4Zr8vBn3Wt", "en")]
+    got = {r.doc_id: r.spans for r in secrets.secrets(frame(spark, rows)).collect()}
+    assert got == {1: "entropy:8:28", 2: "entropy:12:32", 3: ""}
