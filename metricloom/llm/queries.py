@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from metricloom.llm import (
     decontamination,
     exact_dedup,
+    hard_negatives,
     html_text,
     language_id,
     mixing,
@@ -60,6 +62,12 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixing(read(spark, folder, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(read(spark, folder, "embeddings"), moved)
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +81,7 @@ QUERIES = {
         op8_html_text,
         op9_secrets,
         op10_mixing,
+        op12_hard_negatives,
     )
 }
 ORACLE = {name: sql for name, sql in SQL.items() if name in QUERIES}
