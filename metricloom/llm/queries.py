@@ -13,6 +13,7 @@ from metricloom.llm import (
     language_id,
     mixing,
     pii,
+    prefix_trie,
     secrets,
     simhash,
     substring_dedup,
@@ -68,6 +69,11 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    taken_over = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    return prefix_trie.prefix_trie(read(spark, folder, "conversations"), taken_over)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +88,7 @@ QUERIES = {
         op9_secrets,
         op10_mixing,
         op12_hard_negatives,
+        op13_prefix_trie,
     )
 }
 ORACLE = {name: sql for name, sql in SQL.items() if name in QUERIES}
