@@ -14,6 +14,7 @@ from metricloom.llm import (
     mixing,
     pii,
     prefix_trie,
+    quality_rules,
     secrets,
     simhash,
     substring_dedup,
@@ -63,6 +64,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixing(read(spark, folder, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = hard_negatives.quantised(read(spark, folder, "embeddings"), moved)
@@ -87,6 +92,7 @@ QUERIES = {
         op8_html_text,
         op9_secrets,
         op10_mixing,
+        op11_quality_rules,
         op12_hard_negatives,
         op13_prefix_trie,
     )
