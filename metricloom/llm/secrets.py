@@ -19,11 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.common import text_of
-from metricloom.llm.spans import joined, located, matches, no_spans, ordered, replaced
+from metricloom.llm.spans import bound, joined, located, matches, no_spans, ordered, replaced, running
 
 WINDOW = 20
 #: Least entropy in bits of a window, by character class.
 LEAST = {"hex": 3.0, "alnum": 3.6, "symbols": 3.8}
+#: Windows of a candidate that one fold looks at.
+PIECE = 512
+#: Counts in a long, and the bits of each; no count is above ``WINDOW``.
+PACKED, BITS = 12, 5
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -53,54 +57,81 @@ def _passing(kind: str, spans: Column) -> Column:
 
 
 def _term(count: Column) -> Column:
-    """c log2 c."""
-    return F.when(count > 0, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
+    """c log2 c of a count in a window."""
+    table = F.array(*[F.lit(0.0), *[F.lit(c * math.log2(c)) for c in range(1, WINDOW + 1)]])
+    return F.element_at(table, count + 1)
 
 
-def entropy_spans(candidate: Column, least: Column, window: int = WINDOW) -> Column:
-    """Places (s, e) within a candidate whose windows reach the least entropy, joined.
+def high_windows(codes: Column, least: Column, window: int = WINDOW) -> Column:
+    """Windows (first places from 0) of an array of codes that reach the least entropy.
 
-    The state holds the counts of the alphabet in the window, the sum of c log2 c and the
-    span under way.
+    The state holds the sum of c log2 c and the counts of the alphabet in the window, ``PACKED`` of
+    them in a long; a step changes two counts.
     """
-    codes = F.transform(F.split(candidate, "(?!$)"), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    steps = F.transform(
-        codes,
-        lambda c, i: F.struct(
-            c.alias("new"), F.when(i >= window, F.element_at(codes, i - window + 1)).otherwise(F.lit(-1)).alias("old"), i.alias("i")
-        ),
-    )
-    none = F.array().cast("array<struct<s:int,e:int>>")
+    old = F.concat(F.array_repeat(F.lit(-1), window), codes)
+    steps = F.transform(F.zip_with(
+        codes, F.slice(old, F.lit(1), F.size(codes)), lambda new, gone: F.struct(new.alias("new"), gone.alias("old"))
+    ), lambda x, i: F.struct(*[
+        part for name in ("new", "old") for part in (
+            F.floor(x[name] / PACKED).cast("int").alias(name),
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x[name], F.lit(PACKED)) * BITS).alias(f"{name}_unit"),
+        )
+    ], i.alias("i")))
     start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"),
-        F.lit(-1).alias("s"), F.lit(-1).alias("e"), none.alias("out"),
+        F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // PACKED)).alias("counts"), F.lit(0.0).alias("sum"),
+        F.array().cast("array<int>").alias("out"),
     )
 
+    def count(counts: Column, word: Column, unit: Column) -> Column:
+        packed = F.element_at(counts, word + 1)
+        return F.call_function("div", packed, unit).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
     def step(state: Column, x: Column) -> Column:
-        left = F.when(x["old"] >= 0, F.element_at(state["counts"], F.greatest(x["old"], F.lit(0)) + 1)).otherwise(F.lit(0))
-        here = F.element_at(state["counts"], x["new"] + 1) - (x["old"] == x["new"]).cast("int")
-        total = (
-            state["sum"]
-            + F.when(x["old"] >= 0, _term(left - 1) - _term(left)).otherwise(F.lit(0.0))
-            + _term(here + 1) - _term(here)
-        )
+        full = x["old"] >= 0
+        left = F.when(full, count(state["counts"], x["old"], x["old_unit"])).otherwise(F.lit(1))
+        same = full & (x["old"] == x["new"]) & (x["old_unit"] == x["new_unit"])
+        here = count(state["counts"], x["new"], x["new_unit"]) - same.cast("int")
+        total = state["sum"] + _term(left - 1) - _term(left) + _term(here + 1) - _term(here)
         high = (x["i"] >= window - 1) & (F.lit(math.log2(window)) - total / window >= least)
-        apart = high & (x["i"] - window + 1 > state["e"]) & (state["e"] >= 0)
         return F.struct(
             F.transform(
-                state["counts"], lambda c, k: c + (k == x["new"]).cast("int") - (k == x["old"]).cast("int")
+                state["counts"],
+                lambda c, k: c + F.when(k == x["new"], x["new_unit"]).otherwise(F.lit(0))
+                - F.when(full & (k == x["old"]), x["old_unit"]).otherwise(F.lit(0)),
             ).alias("counts"),
             total.alias("sum"),
-            F.when(high & (apart | (state["e"] < 0)), x["i"] - window + 1).otherwise(state["s"]).alias("s"),
-            F.when(high, x["i"] + 1).otherwise(state["e"]).alias("e"),
-            F.when(apart, F.concat(state["out"], F.array(F.struct(state["s"].alias("s"), state["e"].alias("e"))))).otherwise(state["out"]).alias("out"),
+            F.when(high, F.concat(state["out"], F.array(x["i"] - window + 1))).otherwise(state["out"]).alias("out"),
         )
 
-    def end(state: Column) -> Column:
-        last = F.array(F.struct(state["s"].alias("s"), state["e"].alias("e")))
-        return F.when(state["e"] >= 0, F.concat(state["out"], last)).otherwise(state["out"])
+    return F.aggregate(steps, start, step, lambda state: state["out"])
 
-    return F.aggregate(steps, start, step, end)
+
+def entropy_spans(candidate: Column, least: Column, window: int = WINDOW) -> Column:
+    """Places (s, e) within a candidate whose windows reach the least entropy, joined.
+
+    The candidate is cut into pieces of ``PIECE`` windows, so that no fold grows with its length.
+    """
+    codes = F.transform(F.split(candidate, "(?!$)"), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+
+    def windows(all_codes: Column) -> Column:
+        pieces = F.sequence(F.lit(0), F.floor((F.size(all_codes) - 1) / PIECE).cast("int"))
+        return F.flatten(F.transform(pieces, lambda b: F.transform(
+            high_windows(F.slice(all_codes, b * PIECE + 1, F.lit(PIECE + window - 1)), least, window), lambda i: i + b * PIECE
+        )))
+
+    def spans(starts: Column) -> Column:
+        """Windows that overlap or touch are one span."""
+        far = F.lit(-window - 1)
+        before = F.concat(F.array(far), F.slice(starts, F.lit(1), F.size(starts) - 1))
+        opens = F.filter(F.zip_with(starts, before, lambda i, j: F.when(i - j > window, i)), lambda i: i.isNotNull())
+        after = F.concat(F.slice(starts, F.lit(2), F.size(starts) - 1), F.array(F.lit(None).cast("int")))
+        closes = F.filter(
+            F.zip_with(starts, after, lambda i, j: F.when(j.isNull() | (j - i > window), i + window)), lambda i: i.isNotNull()
+        )
+        return F.zip_with(opens, closes, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    return bound(bound(codes, windows), lambda starts: F.when(F.size(starts) == 0, none).otherwise(spans(starts)))
 
 
 def least_entropy(candidate: Column) -> Column:
@@ -132,20 +163,28 @@ def found_secrets(docs: DataFrame, *keep: str) -> DataFrame:
     rows = rows.withColumn(
         "long", F.flatten(F.transform(located(F.col("text"), F.col("found_long"), CANDIDATE), _judged))
     )
-    known = F.concat(*PATTERNS)
     inner = F.flatten(
         F.transform(
             "long",
             lambda x: F.transform(
-                entropy_spans(x["m"], least_entropy(x["m"])),
+                bound(least_entropy(x["m"]), lambda least: entropy_spans(x["m"], least)),
                 lambda p: F.struct((x["s"] + p["s"]).alias("s"), (x["s"] + p["e"]).alias("e"), F.lit("").alias("m")),
             ),
         )
     )
     rows = rows.withColumn("windows", F.when(F.size("long") > 0, inner).otherwise(no_spans()))
-    fresh = F.filter(
-        "windows", lambda x: ~F.exists(known, lambda k: (k["s"] <= x["s"]) & (x["e"] <= k["e"]))
-    )
+    # a window lies in a pattern's span if the largest end among the spans that start by then covers it
+    known = F.transform(F.concat(*PATTERNS), lambda x: F.struct(x["s"].alias("s"), F.lit(0).alias("rank"), x["e"].alias("e")))
+    asked = F.transform("windows", lambda x: F.struct(x["s"].alias("s"), F.lit(1).alias("rank"), x["e"].alias("e")))
+    judged = bound(F.array_sort(F.concat(known, asked)), lambda events: running(
+        events, "struct<s:int,rank:int,e:int>", F.lit(-1), "int",
+        lambda most, x: F.when(x["rank"] == 0, F.greatest(most, x["e"])).otherwise(most),
+        lambda most, x: F.struct(x["s"].alias("s"), x["e"].alias("e"), ((x["rank"] == 1) & (x["e"] > most)).alias("fresh")),
+        "struct<s:int,e:int,fresh:boolean>",
+    ))
+    fresh = F.when(F.size("windows") == 0, no_spans()).otherwise(F.transform(
+        F.filter(judged, lambda x: x["fresh"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("m"))
+    ))
     return rows.select(*keep, "text", *PATTERNS, fresh.alias("entropy"))
 
 

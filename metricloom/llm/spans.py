@@ -5,10 +5,12 @@ A span is a struct of ``s`` and ``e`` (code points, end exclusive) and the match
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Lengths summed up in one fold; see :func:`_added_up`.
+#: Items of one fold; see :func:`running`.
 FOLD = 256
 _KIND = "array<struct<s:int,e:int,m:string>>"
 
@@ -22,6 +24,45 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a value that is computed once, however often the function's lambdas name it."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
+def running(
+    items: Column, kind: str, zero: Column, state: str, move: Callable[[Column, Column], Column],
+    emit: Callable[[Column, Column], Column], out: str,
+) -> Column:
+    """``emit(state, item)`` of every item, with the state that ``move`` made of those before.
+
+    ``items`` is bound or a column; ``kind``, ``state`` and ``out`` are the types of an item, a state and a
+    result.  Folds of bounded length keep the work linear.
+    """
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLD).cast("int")),
+        lambda b: F.slice(items, b * FOLD + 1, F.lit(FOLD)),
+    )
+
+    def spread(at: Column, block: Column) -> Column:
+        return F.struct(
+            F.aggregate(block, at["at"], move).alias("at"),
+            F.concat(at["out"], F.array(F.struct(at["at"].alias("at"), block.alias("block")))).alias("out"),
+        )
+
+    def step(at: Column, item: Column) -> Column:
+        return F.struct(
+            move(at["at"], item).alias("at"), F.concat(at["out"], F.array(emit(at["at"], item))).alias("out")
+        )
+
+    none = F.array().cast(f"array<struct<at:{state},block:array<{kind}>>>")
+    started = F.aggregate(blocks, F.struct(zero.alias("at"), none.alias("out")), spread)["out"]
+    nothing = F.array().cast(f"array<{out}>")
+    folded = F.transform(
+        started, lambda x: F.aggregate(x["block"], F.struct(x["at"].alias("at"), nothing.alias("out")), step)["out"]
+    )
+    return F.when(F.size(items) == 0, nothing).otherwise(F.flatten(folded))
+
+
 def located(text: Column, found: Column, pattern: str) -> Column:
     """Spans of ``found``, the matches of ``pattern`` in ``text``.
 
@@ -32,39 +73,18 @@ def located(text: Column, found: Column, pattern: str) -> Column:
         F.slice(gaps, F.lit(1), F.size(found)), found,
         lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("own"), m.alias("m")),
     )
-    return F.when(F.size(found) == 0, no_spans()).otherwise(_added_up(pieces))
 
+    def placed(at: Column, p: Column) -> Column:
+        start = at + p["gap"]
+        return F.struct(start.alias("s"), (start + p["own"]).alias("e"), p["m"].alias("m"))
 
-def _added_up(pieces: Column) -> Column:
-    """Spans from gap and match lengths; folds of bounded length keep the work linear."""
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / FOLD).cast("int")),
-        lambda b: F.slice(pieces, b * FOLD + 1, F.lit(FOLD)),
-    )
-
-    def total(block: Column) -> Column:
-        return F.aggregate(block, F.lit(0), lambda n, p: n + p["gap"] + p["own"])
-
-    def spread(state: Column, block: Column) -> Column:
-        return F.struct(
-            (state["at"] + total(block)).alias("at"),
-            F.concat(state["out"], F.array(F.struct(state["at"].alias("at"), block.alias("block")))).alias("out"),
+    def added_up(bound_pieces: Column) -> Column:
+        return running(
+            bound_pieces, "struct<gap:int,own:int,m:string>", F.lit(0), "int",
+            lambda at, p: at + p["gap"] + p["own"], placed, "struct<s:int,e:int,m:string>",
         )
 
-    empty = F.array().cast("array<struct<at:int,block:array<struct<gap:int,own:int,m:string>>>>")
-    started = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty.alias("out")), spread)["out"]
-
-    def placed(state: Column, p: Column) -> Column:
-        start = state["at"] + p["gap"]
-        span = F.struct(start.alias("s"), (start + p["own"]).alias("e"), p["m"].alias("m"))
-        return F.struct((start + p["own"]).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    return F.flatten(
-        F.transform(
-            started,
-            lambda x: F.aggregate(x["block"], F.struct(x["at"].alias("at"), no_spans().alias("out")), placed)["out"],
-        )
-    )
+    return F.when(F.size(found) == 0, no_spans()).otherwise(bound(pieces, added_up))
 
 
 def ordered(spans: Column, rank: int, kind: str) -> Column:

@@ -363,3 +363,35 @@ def test_allowed_words_spare_only_their_part(spark):
     rows = [(1, "/sample/T03kLm9Qx7Zr2vBn8Wp4", "en"), (2, "EXAMPLE_KEY=9fK2pLm7Qx4Zr8vBn3Wt", "en"), (3, "x/example9fK2pLm7Qx4Zr8vBn3Wt", "en")]
     got = {r.doc_id: r.spans for r in secrets.secrets(frame(spark, rows)).collect()}
     assert got == {1: "entropy:8:28", 2: "entropy:12:32", 3: ""}
+
+
+def brute_windows(run, least):
+    """Joined windows of a run by counting every window anew."""
+    import math
+
+    spans, window = [], secrets.WINDOW
+    for i in range(len(run) - window + 1):
+        counts = [run[i : i + window].count(c) for c in set(run[i : i + window])]
+        entropy = math.log2(window) - sum(c * math.log2(c) for c in counts) / window
+        if entropy >= least - 1e-9:
+            if spans and i <= spans[-1][1]:
+                spans[-1][1] = i + window
+            else:
+                spans.append([i, i + window])
+    return [tuple(s) for s in spans]
+
+
+def test_long_secret_texts(spark):
+    """Long runs and many spans stay linear and equal brute force."""
+    rng = random.Random(8)
+    blob = "".join(rng.choices(secrets.ALPHABET, k=300_000))
+    mixed = "".join(rng.choice(["a" * 25, "".join(rng.choices("0123456789abcdefXYZ", k=30))]) for _ in range(2000)) + "1"
+    hexes = " ".join("".join(rng.choices("0123456789abcdef", k=40)) for _ in range(2500))
+    docs = frame(spark, [(1, blob), (2, mixed), (3, hexes)])
+    got = {r.doc_id: r for r in secrets.secrets(docs).collect()}
+    want = brute_windows(mixed, secrets.LEAST["alnum"])
+    assert got[2].spans == ",".join(f"entropy:{s}:{e}" for s, e in want)
+    assert got[3].n_hex == 2500 and got[3].spans.count(":") == 5000
+    assert got[1].spans.startswith("entropy:0:") and int(got[1].spans.rsplit(":", 1)[1]) > 299_000
+    part = spark.createDataFrame([(blob[:5000],)], "t string").select(secrets.entropy_spans(F.col("t"), F.lit(3.8)).alias("s")).first().s
+    assert [tuple(x) for x in part] == brute_windows(blob[:5000], 3.8)
