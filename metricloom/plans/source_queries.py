@@ -63,6 +63,56 @@ def csv_rejects(spark, folder):
     )
 
 
+@query(
+    "csv_quoted_breaks",
+    "S1",
+    """SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus <> 'P') AS accepted, count(*) FILTER (WHERE o_orderstatus = 'P') AS rejected,
+    sum(length('key ' || o_orderkey || chr(10) || 'said "' || o_orderpriority || '", ok')) FILTER (WHERE o_orderstatus <> 'P')::BIGINT AS characters,
+    min('key ' || o_orderkey || chr(10) || 'said "' || o_orderpriority || '", ok') FILTER (WHERE o_orderstatus <> 'P') AS first_note
+    FROM orders GROUP BY 1""",
+)
+def csv_quoted_breaks(spark, folder):
+    """Cells with line breaks, quotes and commas; orders in status P get text behind a closing quote."""
+    path = new_path(spark, "noted-csv")
+    orders = load(spark, folder, "orders").df
+    note = F.concat(
+        F.lit('"key '), F.col("o_orderkey").cast("string"), F.lit('\nsaid ""'), F.col("o_orderpriority"), F.lit('"", ok"'),
+        F.when(F.col("o_orderstatus") == "P", "!").otherwise(""),
+    )
+    body = F.array_join(F.sort_array(F.collect_list(F.concat("o_orderpriority", F.lit(","), note))), "\n")
+    # one text per file and day of month; its first line is the header
+    day = F.dayofmonth("o_orderdate")
+    files = orders.groupBy(day.alias("day")).agg(F.concat(F.lit("o_orderpriority,note\n"), body).alias("value"))
+    files.repartition(31, "day").where("value IS NOT NULL").sortWithinPartitions("day").select("day", "value").write.partitionBy(
+        "day"
+    ).text(path)
+    rows = S.csv_rows(spark, path)
+    body_rows = rows.where("NOT (block = 0 AND place = 0)")
+    good = F.col("problem").isNull() & (F.size("cells") == 2)
+    priority = F.when(good, F.col("cells")[0]).otherwise(F.substring_index("raw", ",", 1))
+    told = F.when(good, F.col("cells")[1])
+    # a malformed row ends with its line, so the first line of such a note is a reject of its own
+    return body_rows.where(good | F.contains("raw", F.lit("!"))).groupBy(
+        F.when(good, priority).otherwise(F.regexp_extract("raw", '""([^"]*)""', 1)).alias("o_orderpriority")
+    ).agg(
+        F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected"),
+        F.sum(F.length(told)).alias("characters"), F.min(told).alias("first_note"),
+    )
+
+
+@query("json_array_items", "S2 S9", _ORDER_SUMS)
+def json_array_items(spark, folder):
+    """One top-level array with braces in its strings, cut at the borders of its objects."""
+    path = new_path(spark, "orders-array")
+    orders = _order_text(spark, folder).withColumn("note", F.lit('{not "the" end}'))
+    record = F.to_json(F.struct(*orders.columns))
+    files = orders.groupBy("o_orderpriority").agg(F.array_join(F.collect_list(record), ",\n ").alias("value"))
+    files.select("o_orderpriority", F.concat(F.lit("[\n"), "value", F.lit("\n]")).alias("value")).write.partitionBy("o_orderpriority").text(path)
+    loaded = S.read_json(spark, path)
+    rows = loaded.rows.where("note = '{not \"the\" end}'")
+    return _order_sums(V.Table(rows))
+
+
 @query("json_round_trip", "S2 S5 S9", _ORDER_SUMS)
 def json_round_trip(spark, folder):
     path = new_path(spark, "orders-json")

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from metricloom.functions.frames import literal_frame
 from metricloom.functions.values import Table, quoted
+from metricloom.session import new_path
+from metricloom.sources.records import csv_rows, json_items
 
 CORRUPT = "_corrupt_record"
 UNSAFE_TEXT = r"[\p{Cc}&&[^\t\n\r]]"
@@ -55,85 +57,78 @@ def _is_corrupt(name: str) -> Column:
     return quoted(CORRUPT).isNotNull() & (F.length(F.coalesce(quoted(name), F.lit(""))) >= 0)
 
 
-def read_csv(
-    spark: SparkSession, path: str, *, multi_line: bool = False, max_columns: int | None = None
-) -> Loaded:
-    """CSV with a header; rows of the wrong width become rejects.
+def read_csv(spark: SparkSession, path: str, *, max_columns: int | None = None) -> Loaded:
+    """Strict CSV with a header; malformed rows and rows of the wrong width become rejects.
 
-    Only the header line is looked at on the driver.  ``multi_line`` allows line breaks
-    in quoted cells but makes each file one task.
+    Quoted cells may hold line breaks wherever the file is split.  Every file repeats the header.
     """
-    options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"'}
     # The header is read as plain cells: with header=true Spark renames repeated names.
-    first = (
-        spark.read.options(**{**options, "header": False}).csv(path).limit(1).collect()
-    )
+    first = spark.read.options(header=False, multiLine=False, quote='"', escape='"').csv(path).limit(1).collect()
     if not first:
         raise SourceError("The file has no header.")
     names = check_headers([v or "" for v in first[0]], max_columns)
-    fields = [T.StructField(n, T.StringType()) for n in names]
-    schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-    raw = (
-        spark.read.options(**options)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("columnPruning", False)
-        .option("enforceSchema", True)
-        .schema(schema)
-        .csv(path)
-    )
-    bad = _is_corrupt(names[0])
-    empty = F.lit("")
-    good = raw.where(~bad).select(*[F.coalesce(quoted(n), empty).alias(n) for n in names])
-    return Loaded(good, raw.where(bad).select(quoted(CORRUPT).alias("raw")))
+    rows = csv_rows(spark, path)
+    heading = F.expr("block = 0 AND place = 0 AND line = 0")
+    same = F.transform("cells", F.trim) == F.array(*map(F.lit, names))
+    good = F.col("problem").isNull() & (F.size("cells") == len(names))
+    body = rows.withColumn("good", F.coalesce(F.when(heading, F.when(same, F.lit(None)).otherwise(False)).otherwise(good), F.when(~heading, False)))
+    cells = [F.element_at("cells", i + 1).alias(n) for i, n in enumerate(names)]
+    return Loaded(body.where("good").select(*cells), body.where("NOT good").select("raw"))
 
 
 def read_json(spark: SparkSession, path: str, *, lines: bool = False) -> Loaded:
-    """Flat records as text; ``lines`` for one record per line, which can be split."""
+    """Flat records as text: an array of objects in each file, or with ``lines`` one object a line.
+
+    An array is cut at the borders of its objects, wherever the file is split; an object that
+    names a key twice becomes a reject.
+    """
+    rejects = literal_frame(spark, [], "raw string")
+    if lines:
+        source = path
+        keyed = spark.read.text(path).select(F.monotonically_increasing_id().alias("place"), F.col("value").alias("text"))
+        order = F.struct("place")
+    else:
+        items = json_items(spark, path)
+        keys = F.json_object_keys("text")
+        # control characters in strings have no keys either; elsewhere a line break is a blank
+        bad = F.col("problem").isNotNull() | keys.isNull() | (F.size(keys) != F.size(F.array_distinct(keys)))
+        keyed = items.where(~bad)
+        rejects = items.where(bad).select(F.col("text").alias("raw"))
+        source = new_path(spark, "json-items")
+        keyed.select(F.translate("text", "\r\n", "  ")).write.text(source)
+        order = F.struct("file", "block", "place")
     raw = (
-        spark.read.option("multiLine", not lines)
-        .option("primitivesAsString", True)
+        spark.read.option("primitivesAsString", True)
         .option("allowNonNumericNumbers", False)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
+        .json(source)
     )
     nested = nested_columns(raw)
     if nested:
         raise SourceError(f"Nested values are not supported: {nested}")
-    if raw.columns == [CORRUPT]:
+    if raw.columns in ([CORRUPT], []):
         raise SourceError("No record of the source can be read as a flat JSON object.")
-    names = check_headers(_first_seen(spark, path, lines, [c for c in raw.columns if c != CORRUPT]))
+    names = check_headers(_first_seen(keyed, order, [c for c in raw.columns if c != CORRUPT]))
     good = raw
-    rejects = literal_frame(spark, [], "raw string")
     if CORRUPT in raw.columns:
         bad = _is_corrupt(names[0])
-        rejects = raw.where(bad).select(quoted(CORRUPT).alias("raw"))
+        rejects = rejects.unionByName(raw.where(bad).select(quoted(CORRUPT).alias("raw")))
         good = raw.where(~bad)
     empty = F.lit("")
     return Loaded(good.select(*[F.coalesce(quoted(n), empty).alias(n) for n in names]), rejects)
 
 
-def _first_seen(spark: SparkSession, path: str, lines: bool, names: list[str]) -> list[str]:
+def _first_seen(records: DataFrame, order: Column, names: list[str]) -> list[str]:
     """``names`` in the order in which the records first use them.
 
     The reader sorts them.  The keys of every record come with their places and only the
     smallest place of each key leaves the tasks.
     """
-    texts = spark.read.text(path, wholetext=not lines).select(
-        F.monotonically_increasing_id().alias("record"), "value"
-    )
-    if lines:
-        records = texts.select("record", F.lit(0).alias("item"), "value")
-    else:
-        array = F.from_json("value", "array<string>")
-        whole = F.array(F.col("value"))
-        items = F.when(F.ltrim("value").startswith("{"), whole).otherwise(array)
-        records = texts.select("record", F.posexplode(items).alias("item", "value"))
-    keys = records.select("record", "item", F.posexplode(F.json_object_keys("value")).alias("place", "key"))
-    first = keys.groupBy("key").agg(F.min(F.struct("record", "item", "place")).alias("at"))
-    order = [r["key"] for r in first.where(F.col("key").isin(names)).orderBy("at").collect()]
-    return order + [n for n in names if n not in order]
+    keys = records.select(order.alias("record"), F.posexplode(F.json_object_keys("text")).alias("item", "key"))
+    first = keys.groupBy("key").agg(F.min(F.struct("record", "item")).alias("at"))
+    seen = [r["key"] for r in first.where(F.col("key").isin(names)).orderBy("at").collect()]
+    return seen + [n for n in names if n not in seen]
 
 
 def nested_columns(df: DataFrame) -> list[str]:

@@ -1,3 +1,7 @@
+import csv
+import io
+import json
+import random
 import zipfile
 
 import pytest
@@ -175,3 +179,72 @@ def test_run_log(spark):
     rates = one(R.validation_rates(named))
     assert rates["first_attempt_rate"] == 0.5 and rates["validated_count"] == 1
     assert one(R.medians(named))["median_wall_time_ms"] == 20.0
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_strict_csv_over_splits(spark, tmp_path, small_splits):
+    """Cells with line breaks across many byte ranges, against the csv module."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        kind = rng.randrange(6)
+        long = "\n".join(["x" * rng.randrange(9) for _ in range(rng.choice([2, 60]))])
+        rows.append([str(i), ["plain", 'a "quoted" one', "1,2", long, "\r\nq\r", 'mid"dle'][kind], "é\n" * rng.randrange(3)])
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\r\n").writerows([["key", "note", "more"], *rows])
+    path = tmp_path / "split.csv"
+    path.write_bytes(text.getvalue().encode("utf-8-sig"))
+    loaded = tables.read_csv(spark, str(path))
+    assert loaded.rows.rdd.getNumPartitions() > 20
+    got = sorted(loaded.rows.collect(), key=lambda r: int(r["key"]))
+    assert [list(r) for r in got] == rows and loaded.rejects.count() == 0
+
+
+def test_strict_csv_rejects(spark, tmp_path, small_splits):
+    filler = "".join(f'{i},"n\nm"\n' for i in range(100, 140))
+    path = tmp_path / "bad.csv"
+    path.write_bytes(b'k,v\n1,"a"b\n2,"x\ny"z\n3,ok"still\n' + filler.encode() + b"4,\xff\n5,1,2\n\n6,\"open\n7,8\n")
+    loaded = tables.read_csv(spark, str(path))
+    assert {r["k"] for r in loaded.rows.collect()} == {"3", *map(str, range(100, 140))}
+    raws = {r["raw"] for r in loaded.rejects.collect()}
+    assert {'1,"a"b', '2,"x\ny"z', "5,1,2"} <= raws and any(r.startswith('6,"open') for r in raws) and len(raws) == 5
+
+
+def test_json_array_over_splits(spark, tmp_path, small_splits):
+    rng = random.Random(7)
+    items = [{"z": str(i), "a": rng.choice(["}", '{"', "\\", '\\"}', "é}{", "plain", "x" * 200]), "n": i} for i in range(200)]
+    path = tmp_path / "split.json"
+    path.write_text(json.dumps(items, indent=rng.choice([None, 1]), ensure_ascii=False))
+    loaded = tables.read_json(spark, str(path))
+    assert loaded.rows.columns == ["z", "a", "n"]
+    got = sorted(loaded.rows.collect(), key=lambda r: int(r["z"]))
+    assert [(r["z"], r["a"], int(r["n"])) for r in got] == [(x["z"], x["a"], x["n"]) for x in items]
+    assert loaded.rejects.count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, good, bad",
+    [
+        ('[{"a": 1}, {"a": 2, "a": 3}, {"b": "\x01"}]', 1, 2),
+        ('[{"a": 1} {"a": 2}]', 1, 1),
+        ('[{"a": 1}, {"a": 2}', 2, 1),
+        ('[{"a": 1}], {"a": 2}', 1, 2),
+        ('[{"a": 1}}]', 1, 1),
+        ('{"a": 1}', 1, 0),
+        ('[{"a": 1}, {"a": "open]', 1, 2),
+    ],
+)
+def test_json_rejects(spark, tmp_path, text, good, bad):
+    path = tmp_path / "bad.json"
+    path.write_text(text)
+    loaded = tables.read_json(spark, str(path))
+    assert (loaded.rows.count(), loaded.rejects.count()) == (good, bad)
