@@ -257,21 +257,31 @@ def segment_share(spark, folder):
     return shown(out, 6, value=4)
 
 
+_COHORT_SUMS = "sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(q) AS q, sum(r) AS r, sum(o) AS o"
+
+
 @query(
     "cohort_comparison",
     "B10 J1 X1",
-    f"""WITH p AS ({_P}), {_LAST_TWO}, sp AS ({_SP})
-    SELECT metric, category_column, segment, prev.period AS previous_period, cur.period AS current_period,
-    round(o.value, 4) AS previous_value, round(w.value, 4) AS current_value,
-    round(w.value - o.value, 4) AS absolute_change,
-    CASE WHEN abs(o.value) > 1e-12 THEN round((w.value - o.value) / o.value * 100, 6) END AS percentage_change,
-    o.n AS previous_record_count, w.n AS current_record_count
-    FROM sp o JOIN prev ON o.metric = prev.metric AND o.period = prev.period
-    JOIN cur ON cur.metric = o.metric
-    JOIN sp w ON w.metric = o.metric AND w.category_column = o.category_column
-        AND w.segment = o.segment AND w.period = cur.period
-    WHERE least(o.n, w.n) >= 2""".replace("SELECT metric, category_column, segment, prev.period",
-                                         "SELECT o.metric, o.category_column, o.segment, prev.period"),
+    f"""WITH g AS MATERIALIZED (SELECT l_returnflag, l_linestatus, strftime(l_shipdate, '%Y') AS period, count(*) AS n,
+      sum(l_extendedprice) AS a, sum(round(l_extendedprice * (1 - l_discount), 10)) AS b, sum(l_quantity) AS q,
+      count(*) FILTER (WHERE l_returnflag = 'R') AS r, sum(CASE WHEN l_linestatus = 'O' THEN l_extendedprice ELSE 0 END) AS o
+      FROM lineitem GROUP BY ALL),
+    c AS MATERIALIZED (SELECT 'l_returnflag' AS category_column, l_returnflag AS segment, period, {_COHORT_SUMS} FROM g GROUP BY ALL
+      UNION ALL SELECT 'l_linestatus', l_linestatus, period, {_COHORT_SUMS} FROM g GROUP BY ALL),
+    t AS MATERIALIZED (SELECT period, row_number() OVER (ORDER BY period DESC) AS back FROM (SELECT DISTINCT period FROM g)),
+    v AS MATERIALIZED (SELECT category_column, segment, period, back, n, unnest([
+      {{'metric': 'l_extendedprice', 'value': a}}, {{'metric': 'net', 'value': b}}, {{'metric': 'unit_price', 'value': a / q}},
+      {{'metric': 'return_rate', 'value': 100.0 * r / n}}, {{'metric': 'open_share', 'value': 100.0 * o / a}}]) AS k
+      FROM c JOIN t USING (period) WHERE back <= 2)
+    SELECT o.k.metric AS metric, o.category_column, o.segment, o.period AS previous_period, w.period AS current_period,
+    round(o.k.value, 4) AS previous_value, round(w.k.value, 4) AS current_value,
+    round(w.k.value - o.k.value, 4) AS absolute_change,
+    CASE WHEN abs(o.k.value) > 1e-12 THEN round((w.k.value - o.k.value) / o.k.value * 100, 6) END AS percentage_change,
+    o.n::BIGINT AS previous_record_count, w.n::BIGINT AS current_record_count
+    FROM v o JOIN v w ON o.back = 2 AND w.back = 1 AND w.category_column = o.category_column AND w.segment = o.segment
+      AND w.k.metric = o.k.metric
+    WHERE least(o.n, w.n) >= 2""",
 )
 def cohort_comparison(spark, folder):
     out = lineitem_battery(spark, folder).cohort_rows().select(
