@@ -120,9 +120,32 @@ def number_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(NUMBER_TOKEN), F.lit(0))
 
 
-def as_decimal(token: Column) -> Column:
-    """Exact value of a number token, for equality whatever its notation."""
-    return F.regexp_replace(token, ",", "").try_cast("decimal(38,12)")
+_NUMBER_PARTS = r"^([-+]?)([0-9]*)(?:\.([0-9]*))?(?:[eE]([-+]?[0-9]+))?$"
+
+
+def exact_number(token: Column) -> Column:
+    """The same text for number tokens of the same exact value, at any length and exponent.
+
+    Significant digits without zeros at either end, and the exponent of the last one; NULL
+    for what is no number.
+    """
+    plain = F.translate(token, ",", "")
+    sign, whole, fraction, power = (F.regexp_extract(plain, _NUMBER_PARTS, i) for i in range(1, 5))
+    digits = F.concat(whole, fraction)
+    zero = F.lit("0")
+    exponent = (
+        F.when(power == "", F.lit("0")).otherwise(power).try_cast("decimal(38,0)")
+        - F.length(fraction)
+        + (F.length(digits) - F.length(F.rtrim(digits, zero)))
+    )
+    value = F.concat(
+        F.when(sign == "-", "-").otherwise(""), F.trim(digits, zero), F.lit("e"), exponent.cast("string")
+    )
+    return (
+        F.when(~plain.rlike(_NUMBER_PARTS) | (digits == ""), None)
+        .when(F.trim(digits, zero) == "", zero)
+        .otherwise(value)
+    )
 
 
 def without_labels(text: Column, labels: Column) -> Column:
@@ -156,8 +179,8 @@ def audit_commentary(
     )
     tokens = number_tokens(F.col("_c"))
     staged = staged.withColumn("_tokens", tokens)
-    allowed_values = F.transform(allowed, as_decimal)
-    values = F.transform("_tokens", as_decimal)
+    allowed_values = F.transform(allowed, exact_number)
+    values = F.transform("_tokens", exact_number)
     unknown = F.exists(
         values, lambda v: v.isNull() | ~F.coalesce(F.array_contains(allowed_values, v), F.lit(False))
     )

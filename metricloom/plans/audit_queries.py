@@ -81,6 +81,30 @@ def audit_own_numbers(spark, folder):
     return out.select("o_orderkey", "accepted", F.col("number_count").cast("long").alias("number_count"))
 
 
+@query(
+    "audit_exact_numbers",
+    "N3",
+    "SELECT o_orderkey, (o_orderkey + 1) % 4 IN (1, 2) AS accepted FROM orders",
+)
+def audit_exact_numbers(spark, folder):
+    """Tiny, very long and differently written numbers: equal only if their exact values are."""
+    orders = load(spark, folder, "orders").df
+    key = (F.col("o_orderkey") + 1).cast("string")
+    long = "000000000000000000000000000000"
+    cases = [
+        (F.concat(key, F.lit("e-13")), F.lit("0")),
+        (F.concat(key, F.lit(f"{long}1")), F.concat(key, F.lit(f"{long}1"))),
+        (F.concat(key, F.lit(".50")), F.concat(key, F.lit("5e-1"))),
+        (F.concat(key, F.lit(f"{long}1")), F.concat(key, F.lit(f"{long}2"))),
+    ]
+    kind = F.pmod(F.col("o_orderkey") + 1, F.lit(4))
+    told, fact = (
+        F.coalesce(*[F.when(kind == i, case[part]) for i, case in enumerate(cases)]) for part in (0, 1)
+    )
+    texts = orders.select("o_orderkey", F.concat(F.lit("The rate is "), told, F.lit(".")).alias("text"), F.array(fact).alias("numbers"))
+    return A.audit_commentary(texts, "text", "numbers").select("o_orderkey", "accepted")
+
+
 @query(
     "audit_names_label",
     "N8",

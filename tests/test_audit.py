@@ -155,3 +155,17 @@ def test_every_fact_is_found(spark):
     some = A.flatten_numbers(df, "id", "facts", 5, 12, 8)
     left = A.omitted_leaves(A.flatten_numbers(df, "id", "facts"), some, "id").first()
     assert left["omitted_count"] == 22 + 1 - some.count()
+
+
+@pytest.mark.parametrize(
+    "told, fact, accepted",
+    [
+        ("1e-13", "0", False), ("0.0000000000004", "0", False), ("0.000", "-0", True), ("1" * 40, "1" * 40, True),
+        ("1" * 40, "1" * 39 + "2", False), ("1,250.0", "1.25E3", True), ("+7", "07", True), ("-7", "7", False),
+        ("1e400", "10e399", True), ("5", "x", False), ("100", "1e2", True), ("0.50", ".5", True),
+    ],
+)
+def test_exact_numbers(spark, told, fact, accepted):
+    texts = spark.createDataFrame([(f"It is {told} now", [fact])], "text string, numbers array<string>")
+    row = A.audit_commentary(texts, "text", "numbers").first()
+    assert row["accepted"] == accepted and row["number_count"] == 1
