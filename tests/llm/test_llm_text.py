@@ -385,7 +385,7 @@ def test_long_secret_texts(spark):
     """Long runs and many spans stay linear and equal brute force."""
     rng = random.Random(8)
     blob = "".join(rng.choices(secrets.ALPHABET, k=300_000))
-    mixed = "".join(rng.choice(["a" * 25, "".join(rng.choices("0123456789abcdefXYZ", k=30))]) for _ in range(2000)) + "1"
+    mixed = "".join(rng.choice(["a" * 25, "".join(rng.choices("0123456789GHJKLXYZ", k=30))]) for _ in range(2000)) + "1"
     hexes = " ".join("".join(rng.choices("0123456789abcdef", k=40)) for _ in range(2500))
     docs = frame(spark, [(1, blob, "en"), (2, mixed, "en"), (3, hexes, "en")])
     got = {r.doc_id: r for r in secrets.secrets(docs).collect()}
