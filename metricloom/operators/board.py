@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricloom.functions.frames import placed
 from metricloom.functions.values import Table, clean
 from metricloom.operators.charts import ChartError, box_summary, histogram
 
@@ -72,34 +73,29 @@ def grouped(
         order = [F.col("first_row")]
     else:
         order = [F.desc(F.abs("y")), F.col("first_row"), F.col("x")]
-    kept = points if limit is None else points.orderBy(*order).limit(limit)
-    place = Window.partitionBy(F.lit(0)).orderBy(*order)
-    kept = kept.withColumn("position", F.row_number().over(place))
-    if chart in POSITIVE:
-        kept = kept.where(F.col("y") > 0)
+    shown = F.greatest("y", F.lit(0.0)) if chart in POSITIVE else F.col("y")
+    if limit is None:
+        kept = placed(points, order, "position", {"_running": shown})
+    else:  # the displayed groups are one task's work
+        place = Window.partitionBy(F.lit(0)).orderBy(*order)
+        kept = points.orderBy(*order).limit(limit).withColumn("position", F.row_number().over(place)).withColumn(
+            "_running", F.sum(shown).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        )
     totals = points.agg(
         F.struct(
             F.sum("record_count").alias("total_records"), F.count("*").alias("group_count")
         )
     )
+    total = kept.agg(F.sum(shown)).scalar() if chart == "pareto" else None
+    if chart in POSITIVE:
+        kept = kept.where(F.col("y") > 0)
     out = kept.withColumn("_totals", totals.scalar()).select("*", "_totals.*").drop("_totals")
     out = out.withColumn("truncated", F.lit(False) if limit is None else F.col("group_count") > limit)
     if chart == "pareto":
-        running = Window.partitionBy(F.lit(0)).orderBy("position").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        total = F.sum("y").over(Window.partitionBy(F.lit(0)))
-        out = out.withColumn(
-            "cumulative_percentage",
-            clean(F.try_divide(F.sum("y").over(running), total) * 100),
-        )
+        out = out.withColumn("cumulative_percentage", clean(F.try_divide(F.col("_running"), total) * 100))
     if chart == "waterfall":
-        running = Window.partitionBy(F.lit(0)).orderBy("position").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        out = out.withColumn("end_value", F.sum("y").over(running)).withColumn(
-            "start_value", F.col("end_value") - F.col("y")
-        )
+        out = out.withColumn("end_value", F.col("_running")).withColumn("start_value", F.col("end_value") - F.col("y"))
+    out = out.drop("_running")
     return out.drop("first_row")
 
 
@@ -136,9 +132,10 @@ def stacked(
     def top(name: str, n: int | None, by_label: bool) -> DataFrame:
         totals = cells.groupBy(name).agg(F.sum("y").alias("_t"), F.min("first_row").alias("_f"))
         order = [F.col(name)] if by_label else [F.desc("_t"), F.col("_f"), F.col(name)]
+        if n is None:
+            return placed(totals, order, f"{name}_position").select(name, f"{name}_position")
         place = Window.partitionBy(F.lit(0)).orderBy(*order)
-        kept = totals if n is None else totals.orderBy(*order).limit(n)
-        return kept.select(name, F.row_number().over(place).alias(f"{name}_position"))
+        return totals.orderBy(*order).limit(n).select(name, F.row_number().over(place).alias(f"{name}_position"))
 
     dated = table.is_temporal(x)
     counts = cells.agg(

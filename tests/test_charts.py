@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import one
+from metricloom.functions.frames import placed
 from metricloom.operators import board as B
 from metricloom.operators import chart_facts as X
 from metricloom.operators import kpi as K
@@ -204,3 +206,20 @@ def test_many_series_stay_distributed(spark, table):
     assert out.count() == 4000 and out.where("value IS NULL").count() == 2000
     with pytest.raises(ChartError):
         drawable(table("k s v", rows), spec)
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_places_and_running_sums(spark, partitions):
+    """Places over range partitions equal a sort of everything, ties and descending order included."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(i, (i * 37) % 11, i % 3 - 1) for i in range(500)]
+    frame = spark.createDataFrame(rows, "k int, v int, y int").repartition(5)
+    got = placed(frame, [F.desc("v"), F.col("k")], "place", {"total": F.col("y")}).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    want = {r[0]: (i, sum(x[2] for x in order[:i])) for i, r in enumerate(order, 1)}
+    assert {r.k: (r.place, r.total) for r in got} == want and len(got) == 500
+    assert placed(frame.limit(0), [F.col("k")], "place").count() == 0
