@@ -1,14 +1,20 @@
 """Personal data: patterns, and terms that give them away, with built-in functions only.
 
-The patterns find the protected entities (email, ip, card, phone).  The terms around an
-entity are judged by information theory: with document shares p over the whole corpus, the
+The patterns find the protected entities (email, ip, card, phone).  The terms of a document that
+holds an entity are judged by information theory: with shares p of the rows of the whole corpus, the
 information of an entity is IC(e) = -log p(e), and a term t discloses
-PMI(e; t) = log p(e, t) / (p(e) p(t)) of it.  A term that stands by the entity in at least
-``SUPPORT`` documents and discloses at least ``DISCLOSURE`` of IC(e) becomes a span of kind
-``term`` wherever it stands by that entity.  Sanitising generalises an entity to its kind
-and a term to its class (name, word), or removes both.
+PMI(e; t) = log p(e, t) / (p(e) p(t)) of it, wherever in the document it stands.  A term that
+shares at least ``SUPPORT`` different texts with an entity and discloses at least ``DISCLOSURE`` of
+IC(e) becomes a span of kind ``term`` wherever it stands in any document.  Sanitising generalises an
+entity to its kind and a term to its class (name, word), or removes both.
 
-"By" means within ``REACH`` code points; a term is a whole word of four letters or more.
+A term is a whole word of four letters or more.  All shares count rows; copies of a text support
+a term only once.
+
+Skew: counts of entities, terms and pairs combine before the shuffle, so a frequent entity or term is
+one row a task.  Entities of too few texts leave before their documents are read for terms.  Entities
+and disclosing terms are broadcast only up to ``BROADCAST_ROWS`` counted rows and joined by a sort-merge
+join beyond, with the same result.
 
 Results for unusual input: NULL and empty texts have no spans; rows with equal id and text
 share one answer; NULL ids take part; a corpus in which no entity repeats has no terms.
@@ -20,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.common import id_of, real_id, text_of, written
-from metricloom.llm.spans import located, matches, no_spans, ordered, replaced
+from metricloom.llm.spans import located, matches, no_spans, ordered, outside, replaced
 
-REACH = 80
 SUPPORT = 3
-DISCLOSURE = 0.8
+DISCLOSURE = 0.9
+#: Rows of the small side of a broadcast join.
+BROADCAST_ROWS = 500_000
 #: Possessive loops and starts at the edge of a run keep the matching linear; ``\G`` lets an
 #: email start right after another.
 PATTERNS = {
@@ -71,11 +78,7 @@ def _passing(kind: str, spans: Column) -> Column:
 
 
 def found_entities(docs: DataFrame) -> DataFrame:
-    """id, mark (a hash of the text), the spans of every kind and ``around``.
-
-    ``around`` holds for every entity its kind and value, and the text before and after it
-    with the places where they start.
-    """
+    """id, mark (a hash of the text), the spans of every kind and ``entities``, hashes of their values."""
     rows = docs.select(id_of().alias("id"), text_of().alias("text"))
     text = F.col("text")
     for kind, pattern in PATTERNS.items():
@@ -85,70 +88,40 @@ def found_entities(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"found_{kind}", found)
     for kind, pattern in PATTERNS.items():
         rows = rows.withColumn(kind, _passing(kind, located(text, F.col(f"found_{kind}"), pattern)))
-    def named(kind: str) -> Column:
-        return F.transform(
-            kind,
-            lambda x: F.struct(
-                F.lit(kind).alias("kind"), F.lower(x["m"]).alias("value"), x["s"].alias("s"), x["e"].alias("e")
-            ),
-        )
 
-    entities = F.concat(*[named(kind) for kind in PATTERNS])
-
-    def near(x: Column) -> Column:
-        start = F.greatest(x["s"] - REACH, F.lit(0))
-        before = F.substring(text, start + 1, x["s"] - start)
-        after = F.substring(text, x["e"] + 1, F.lit(REACH))
-        return F.struct(
-            F.xxhash64(x["kind"], x["value"]).alias("entity"),
-            F.array(
-                # a word cut in two by the edge is masked
-                F.struct(start.alias("at"), F.when(start > 0, _masked(before, r"^\p{L}+")).otherwise(before).alias("part")),
-                F.struct(x["e"].alias("at"), F.when(F.length(after) == REACH, _masked(after, r"\p{L}+$")).otherwise(after).alias("part")),
-            ).alias("parts"),
-        )
+    def named(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.xxhash64(F.lit(kind), F.lower(x["m"])))
 
-    around = F.when(F.size(entities) > 0, F.transform(entities, near))
-    slim = rows.select("id", F.xxhash64("text").alias("mark"), *PATTERNS, around.alias("around"))
+    entities = F.array_distinct(F.concat(*[named(kind) for kind in PATTERNS]))
     bare = [F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("m"))).alias(k) for k in PATTERNS]
-    return slim.select("id", "mark", *bare, "around")
+    slim = rows.select("id", F.xxhash64("text").alias("mark"), "text", *PATTERNS, entities.alias("entities"))
+    return slim.select("id", "mark", "text", *bare, "entities")
 
 
-def _masked(part: Column, pattern: str) -> Column:
-    """The part with one matched word at its edge blanked, its length kept."""
-    word = F.regexp_extract(part, pattern, 0)
-    blank = F.repeat(F.lit(" "), F.length(word))
-    if pattern.startswith("^"):
-        return F.concat(blank, F.substring(part, F.length(word) + 1, F.length(part)))
-    return F.concat(F.substring(part, F.lit(1), F.length(part) - F.length(word)), blank)
+def _small(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` to be broadcast if its rows are counted to be few, else sorted and merged."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("merge")
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """entity, term and its place s, e, for every term by an entity."""
-    parts = found.where("around IS NOT NULL").select("id", "mark", F.explode("around").alias("x")).select(
-        "id", "mark", F.col("x.entity").alias("entity"), F.explode("x.parts").alias("p")
+def disclosing(
+    docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, limit: int = BROADCAST_ROWS
+) -> DataFrame:
+    """entity, term and share of every term that discloses its entity; ``share`` is PMI over IC."""
+    held = found.select("mark", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity", "mark").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(
+        F.sum("n").alias("df_entity"), F.count(F.lit(1)).alias("texts")
     )
-    terms = parts.select("id", "mark", "entity", F.col("p.at").alias("at"), F.col("p.part").alias("part")).withColumn(
-        "words", matches(F.col("part"), _TERM)
+    entities = written(entities.where(F.col("texts") >= support).drop("texts"), "entities")
+    # documents with such an entity, once for each, then their words: nothing but pairs meets in a shuffle
+    known = found.where(F.size("entities") > 0).select("mark", "text", F.explode("entities").alias("entity"))
+    known = known.join(_small(entities.select("entity"), limit), "entity")
+    words = known.select("entity", "mark", F.explode(F.array_distinct(matches(F.lower("text"), _TERM))).alias("term"))
+    pairs = words.groupBy("entity", "term", "mark").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(
+        F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")
     )
-    spans = terms.withColumn("spans", located(F.col("part"), F.col("words"), _TERM))
-    return spans.select("id", "mark", "entity", "at", F.explode("spans").alias("w")).select(
-        "id", "mark", "entity", F.lower("w.m").alias("term"),
-        (F.col("at") + F.col("w.s")).alias("s"), (F.col("at") + F.col("w.e")).alias("e"),
-    )
-
-
-def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """entity, term and share of every term that discloses its entity.
-
-    ``share`` is PMI over IC.  Documents with equal id and text count once by an entity.
-    """
-    pairs = near.select("entity", "term", "id", "mark").distinct().groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("both")
-    ).where(F.col("both") >= support)
-    entities = near.select("entity", "id", "mark").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
-    words = docs.select(F.explode(F.array_distinct(matches(F.lower(text_of()), _TERM))).alias("term"))
-    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    pairs = pairs.where(F.col("texts") >= support)
+    everywhere = docs.select(F.explode(F.array_distinct(matches(F.lower(text_of()), _TERM))).alias("term"))
+    terms = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
     total = docs.count()
     # the exploded side looks small to the planner: never broadcast it unasked
     joined_up = pairs.hint("merge").join(terms.hint("merge"), "term").hint("merge").join(entities.hint("merge"), "entity")
@@ -159,19 +132,21 @@ def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, disclos
     return joined_up.select("entity", "term", F.try_divide(pmi, information).alias("share")).where(F.col("share") >= disclosure)
 
 
-def _with_terms(docs: DataFrame) -> DataFrame:
+def _with_terms(docs: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """id, mark, base spans and ``terms``, the sorted spans of disclosing terms."""
-    found = written(found_entities(docs), "entities")
-    near = written(contexts(found), "contexts")
-    told = written(disclosing(docs, near), "disclosing")
-    terms = near.join(told.hint("merge"), ["entity", "term"]).groupBy("id", "mark").agg(
-        F.sort_array(F.collect_set(F.struct("s", "e", F.lit("").alias("m")))).alias("terms")
+    found = found_entities(docs)
+    spans = written(found.drop("text", "entities"), "entity-spans")
+    told = written(disclosing(docs, found, limit=limit).select("term").distinct(), "disclosing")
+    texts = docs.select(id_of().alias("id"), text_of().alias("text"))
+    places = texts.select(
+        "id", F.xxhash64("text").alias("mark"), F.explode(located(F.col("text"), matches(F.col("text"), _TERM), _TERM)).alias("w")
     )
-    rows = found.drop("around").hint("merge").join(terms.hint("merge"), ["id", "mark"], "left")
+    hits = places.select("id", "mark", F.lower("w.m").alias("term"), "w.s", "w.e").join(_small(told, limit), "term")
+    terms = hits.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("s", "e", F.lit("").alias("m")))).alias("terms"))
+    rows = spans.hint("merge").join(terms.hint("merge"), ["id", "mark"], "left")
     # spans of terms never cut into base spans
-    base = F.concat(*PATTERNS)
-    apart = F.filter("terms", lambda t: ~F.exists(base, lambda b: (t["s"] < b["e"]) & (b["s"] < t["e"])))
-    return rows.select("id", "mark", *PATTERNS, F.coalesce(apart, no_spans()).alias("terms"))
+    apart = F.when(F.col("terms").isNull(), no_spans()).otherwise(outside(F.col("terms"), F.concat(*PATTERNS)))
+    return rows.select("id", "mark", *PATTERNS, apart.alias("terms"))
 
 
 def _by_kind(*kinds: str) -> Column:

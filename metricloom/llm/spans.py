@@ -87,6 +87,25 @@ def located(text: Column, found: Column, pattern: str) -> Column:
     return F.when(F.size(found) == 0, no_spans()).otherwise(bound(pieces, added_up))
 
 
+def outside(spans: Column, others: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``others``, by start; linear but for the sort.
+
+    A span is met at its end: the largest end among the others that started before tells.
+    """
+    asked = F.transform(spans, lambda x: F.struct(x["e"].alias("at"), F.lit(0).alias("rank"), x["s"].alias("far")))
+    known = F.transform(others, lambda x: F.struct(x["s"].alias("at"), F.lit(1).alias("rank"), x["e"].alias("far")))
+    judged = bound(F.array_sort(F.concat(asked, known)), lambda events: running(
+        events, "struct<at:int,rank:int,far:int>", F.lit(-1), "int",
+        lambda most, x: F.when(x["rank"] == 1, F.greatest(most, x["far"])).otherwise(most),
+        lambda most, x: F.struct(x["far"].alias("s"), x["at"].alias("e"), ((x["rank"] == 0) & (most <= x["far"])).alias("free")),
+        "struct<s:int,e:int,free:boolean>",
+    ))
+    free = F.transform(
+        F.filter(judged, lambda x: x["free"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("m"))
+    )
+    return F.when(F.size(spans) == 0, no_spans()).otherwise(free)
+
+
 def ordered(spans: Column, rank: int, kind: str) -> Column:
     """Structs that sort by start, then the rank of the kind, then end."""
     return F.transform(

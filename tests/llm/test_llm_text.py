@@ -385,7 +385,7 @@ def test_long_secret_texts(spark):
     """Long runs and many spans stay linear and equal brute force."""
     rng = random.Random(8)
     blob = "".join(rng.choices(secrets.ALPHABET, k=300_000))
-    mixed = "".join(rng.choice(["a" * 25, "".join(rng.choices("0123456789GHJKLXYZ", k=30))]) for _ in range(2000)) + "1"
+    mixed = "".join(rng.choice(["z" * 25, "".join(rng.choices("0123456789GHJKLXYZ", k=30))]) for _ in range(2000)) + "1"
     hexes = " ".join("".join(rng.choices("0123456789abcdef", k=40)) for _ in range(2500))
     docs = frame(spark, [(1, blob, "en"), (2, mixed, "en"), (3, hexes, "en")])
     got = {r.doc_id: r for r in secrets.secrets(docs).collect()}
@@ -395,3 +395,65 @@ def test_long_secret_texts(spark):
     assert got[1].spans.startswith("entropy:0:") and int(got[1].spans.rsplit(":", 1)[1]) > 299_000
     part = spark.createDataFrame([(blob[:5000],)], "t string").select(secrets.entropy_spans(F.col("t"), F.lit(3.8)).alias("s")).first().s
     assert [tuple(x) for x in part] == brute_windows(blob[:5000], 3.8)
+
+
+def brute_terms(rows, support=pii.SUPPORT, disclosure=pii.DISCLOSURE):
+    """Disclosing terms by counting every pair over whole documents."""
+    import math
+    from collections import Counter, defaultdict
+
+    docs = [(t or "", {s.split(":")[0] + t[int(s.split(":")[1]) : int(s.split(":")[2])].lower() for s in base_spans(t or "")}) for _, t, _ in rows]
+    words = [set(re.findall(r"[^\W\d_]{4,}", t.lower())) for t, _ in docs]
+    df_term, df_entity, both = Counter(), Counter(), Counter()
+    texts, entity_texts = defaultdict(set), defaultdict(set)
+    for (t, held), w in zip(docs, words):
+        df_term.update(w)
+        df_entity.update(held)
+        both.update((e, x) for e in held for x in w)
+        for e in held:
+            entity_texts[e].add(t)
+            for x in w:
+                texts[e, x].add(t)
+    n, told = len(rows), set()
+    for (e, x), k in both.items():
+        information = math.log(n / df_entity[e])
+        if len(texts[e, x]) >= support and information and math.log(n * k / (df_entity[e] * df_term[x])) / information >= disclosure:
+            told.add(x)
+    return told
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_pii_terms_of_whole_documents(spark, limit):
+    rng = random.Random(12)
+    common = ["alpha", "beta", "gamma", "deltas", "omega"]
+    filler = lambda k: " ".join(rng.choices(common, k=k))
+    rows = [(i, f"Zweistein wrote {filler(250)} from é jo@mail.example.org {i}", "en") for i in range(5)]
+    rows += [(10 + i, f"{filler(9)} +49 170 1234567 {filler(300)} Codename Phoenix {i % 3}", "en") for i in range(4)]
+    rows += [(20, f"{filler(200)} zweistein, {filler(3)} phoenix", "en"), (21, "Zweisteinchen 10.0.0.1", "en")]
+    # copies are one text; a host in every tenth document
+    rows += [(30 + i, f"only once but copied Rarissimus 10.1.1.1 {filler(4)}" if i < 0 else "copied Rarissimus at 10.1.1.1", "en") for i in range(8)]
+    rows += [(100 + i, filler(20) + (" mirror 10.9.9.9" if i % 10 == 0 else ""), "en") for i in range(300)]
+    rows += [(100, rows[-300][1], "en"), (None, None, "en")]
+    told = brute_terms(rows)
+    assert {"zweistein", "phoenix", "codename", "mirror"} <= told and "rarissimus" not in told
+    docs = frame(spark, rows)
+    got = pii._with_terms(docs, limit=limit).collect()
+    want = {}
+    for i, t, _ in rows:
+        base = [tuple(map(int, s.split(":")[1:])) for s in base_spans(t or "")]
+        want[-(2**63) if i is None else i] = [
+            (m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{4,}", t or "")
+            if m[0].lower() in told and not any(m.start() < e and s < m.end() for s, e in base)
+        ]
+    assert len(got) == len(rows)
+    for r in got:
+        assert [(x.s, x.e) for x in r.terms] == want[r.id], (r.id, r.terms)
+    assert want[20] and all(not want[i] for i in range(101, 110))
+
+
+def test_pii_of_long_texts(spark):
+    """A long log of addresses is read in linear time."""
+    rng = random.Random(3)
+    log = " ".join(f"user{rng.randrange(10**6)}@mail{rng.randrange(99)}.example.org" for _ in range(12000))
+    got = pii.pii(frame(spark, [(1, log, "en"), (2, "7" * 100_000, "en")])).collect()
+    assert sorted((r.doc_id, r.n_email, r.n_card) for r in got) == [(1, 12000, 0), (2, 0, 0)]
