@@ -137,9 +137,12 @@ def _with_terms(docs: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     found = found_entities(docs)
     spans = written(found.drop("text", "entities"), "entity-spans")
     told = written(disclosing(docs, found, limit=limit).select("term").distinct(), "disclosing")
-    texts = docs.select(id_of().alias("id"), text_of().alias("text"))
-    places = texts.select(
-        "id", F.xxhash64("text").alias("mark"), F.explode(located(F.col("text"), matches(F.col("text"), _TERM), _TERM)).alias("w")
+    texts = docs.select(id_of().alias("id"), text_of().alias("text")).withColumn("mark", F.xxhash64("text"))
+    # places only in documents that hold such a term
+    words = texts.select("id", "mark", F.explode(F.array_distinct(matches(F.lower("text"), _TERM))).alias("term"))
+    holders = written(words.join(_small(told, limit), "term").select("id", "mark").distinct(), "holders")
+    places = texts.join(_small(holders, limit), ["id", "mark"]).select(
+        "id", "mark", F.explode(located(F.col("text"), matches(F.col("text"), _TERM), _TERM)).alias("w")
     )
     hits = places.select("id", "mark", F.lower("w.m").alias("term"), "w.s", "w.e").join(_small(told, limit), "term")
     terms = hits.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("s", "e", F.lit("").alias("m")))).alias("terms"))
