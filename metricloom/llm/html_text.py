@@ -2,10 +2,10 @@
 
 A tolerant parser builds the element tree of a page (implied end tags, void and raw-text
 elements, unclosed and stray tags).  Elements that are never part of an article go: scripts,
-styles, forms, menus, footers, sidebars and what their class, id or role names as adverts,
-notices or reader comments.  Names of a state (has-sidebar, comments-open) are no such mark; a
-marked element stays, with a lower score, if it is an outer article, holds most of the page's
-points or has a name of content beside the mark.  Every paragraph then passes points to its ancestors, one and one
+styles, menus, footers, sidebars.  Forms, and what a class, id or role names as an advert, a
+notice, a reader comment or a part of the page's frame, are marked.  Names of a state (has-sidebar,
+comments-open) are no mark; a marked element stays, with a lower score, if it is an outer article,
+holds most of the page's points or has a name of content beside the mark.  Every paragraph then passes points to its ancestors, one and one
 more for every comma and every hundred characters (three at most), whole to the parent, half
 to the grandparent, less above; a container's points are discounted by its share of linked
 text.  The best container, widened to the article element around it, and those of its
@@ -54,7 +54,7 @@ SIBLINGS = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 NEVER = frozenset(
-    "script style noscript template nav footer aside form button select input textarea iframe svg canvas object "
+    "script style noscript template nav footer aside button select input textarea iframe svg canvas object "
     "embed dialog menu head title datalist map audio video noembed noframes search".split()
 )
 #: Words in class, id or role that mark what is not the article.
@@ -70,7 +70,7 @@ WEAK = frozenset("footer header meta widget tags tools bottom top links login se
 CONTENT = frozenset("article body content entry main post story text page headline title".split())
 #: Elements that such words cannot remove.
 SAFE = frozenset("html body main".split())
-#: Elements nested deeper become children of the one at this depth.
+#: Elements nested deeper become children of the one at this depth; their end tags still match.
 DEEPEST = 512
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -115,6 +115,7 @@ def parse(page: str) -> Node:
     """The element tree; its root has the tag ``html`` or what the page starts with below it."""
     root = Node("#root", None)
     stack = [root]
+    beyond: list[str] = []  # open elements too deep for the stack
     at = 0
     while at < len(page):
         low = page.find("<", at)
@@ -135,9 +136,15 @@ def parse(page: str) -> Node:
             continue
         tag = found[2].lower()
         if found[1]:
-            _close(stack, tag)
+            if tag in beyond:
+                del beyond[len(beyond) - 1 - beyond[::-1].index(tag) :]
+            else:
+                if tag in BLOCK or not beyond:
+                    beyond.clear()
+                    _close(stack, tag)
             continue
-        _imply(stack, tag)
+        if not beyond:
+            _imply(stack, tag)
         node = Node(tag, stack[-1], found[3])
         stack[-1].children.append(node)
         if tag in RAW:
@@ -145,8 +152,11 @@ def parse(page: str) -> Node:
             if tag in ("textarea", "title"):
                 node.children.append(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
-        elif tag not in VOID and len(stack) < DEEPEST and not (found[3].endswith("/") and tag in ("svg", "path", "g", "circle", "rect", "use", "line")):
-            stack.append(node)
+        elif tag not in VOID and not (found[3].endswith("/") and tag in ("svg", "path", "g", "circle", "rect", "use", "line")):
+            if len(stack) < DEEPEST:
+                stack.append(node)
+            else:
+                beyond.append(tag)
     return root
 
 
@@ -192,6 +202,8 @@ def _unwanted(node: Node) -> bool:
         return True
     if tag == "header":
         return not _titles_article(node)
+    if tag == "form":
+        node.marked = False
     if not node.attributes or tag in SAFE:
         return False
     words: set[str] = set()
@@ -207,10 +219,10 @@ def _unwanted(node: Node) -> bool:
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    if marked:
+    weak = bool(words & WEAK) and not words & CONTENT and tag not in HEADINGS and tag != "article"
+    if marked or weak or tag == "form":
         node.marked = content
-        return False
-    return bool(words & WEAK) and not words & CONTENT and tag not in HEADINGS and tag != "article"
+    return False
 
 
 def _titles_article(node: Node) -> bool:
@@ -378,7 +390,7 @@ def _widened(best: Node) -> list[Node]:
 
 
 def _link_list(node: Node) -> bool:
-    """A list or box of links inside the container."""
+    """A list or box of links inside a container that is no article."""
     if node.tag not in ("ul", "ol", "div", "section", "table") or not node.links:
         return False
     anchors, todo = 0, [node]
@@ -401,6 +413,7 @@ def _lines(nodes: list[Node]) -> list[str]:
         parts.clear()
 
     for top in nodes:
+        article = top.tag in ("article", "main")
         todo: list = [top]
         while todo:
             item = todo.pop()
@@ -410,7 +423,7 @@ def _lines(nodes: list[Node]) -> list[str]:
                 parts.append(item)
             elif item.tag in ("br", "wbr"):
                 parts.append(" " if item.tag == "br" else "")
-            elif item is not top and _link_list(item):
+            elif item is not top and not article and _link_list(item):
                 continue
             else:
                 if item.tag in BLOCK:

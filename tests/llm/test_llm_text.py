@@ -457,3 +457,99 @@ def test_pii_of_long_texts(spark):
     log = " ".join(f"user{rng.randrange(10**6)}@mail{rng.randrange(99)}.example.org" for _ in range(12000))
     got = pii.pii(frame(spark, [(1, log, "en"), (2, "7" * 100_000, "en")])).collect()
     assert sorted((r.doc_id, r.n_email, r.n_card) for r in got) == [(1, 12000, 0), (2, 0, 0)]
+
+
+ARTICLE = "".join(f"<p>Paragraph {k} of the article, with commas, and enough words to be read as its text.</p>" for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "wrap", ["<form id=aspnetForm>{}</form>", "<div id='top'>{}</div>", "<div class='tools-panel'>{}</div>", "<div class='widget'>{}</div>"]
+)
+def test_wrapped_articles_stay(wrap):
+    page = (
+        "<html><body><div class=nav><ul><li><a href=x>Home</a></li></ul></div><form><input name=q><p>Search here</p></form>"
+        + wrap.format(ARTICLE) + "<div class='comments'><p>Nice one, thanks!</p></div><div class=bottom><p>Imprint</p></div></body></html>"
+    )
+    assert html_text.main_text(page).split("\n") == [f"Paragraph {k} of the article, with commas, and enough words to be read as its text." for k in range(6)]
+
+
+def test_deep_pages_lose_no_text():
+    deep = "<article><p>First.</p>" + "<div>" * 600 + "<p>Deep <b>text</b>.</p>" + "</div>" * 600 + "<p>Last.</p></article><footer>no</footer>"
+    assert html_text.main_text(deep).split("\n") == ["First.", "Deep text.", "Last."]
+
+
+def test_sources_of_an_article_stay():
+    links = "<ul>" + "".join(f"<li><a href=x>Source {k}</a></li>" for k in range(4)) + "</ul>"
+    page = f"<body><ul><li><a href=x>Menu</a></li><li><a href=y>More</a></li></ul><article>{ARTICLE}{links}</article></body>"
+    got = html_text.main_text(page).split("\n")
+    assert got[-4:] == [f"Source {k}" for k in range(4)] and len(got) == 10
+
+
+def brute_container(tree):
+    """Best container of nested (tag, children) by plain recursion over every pair of paragraph and ancestor."""
+    best = (0.0, None)
+
+    def texts(node, linked=False):
+        tag, children = node
+        for c in children:
+            if isinstance(c, str):
+                yield c, linked or tag == "a"
+            else:
+                yield from texts(c, linked or tag == "a")
+
+    def paragraphs(node, path):
+        if node[0] == "p":
+            parts = list(texts(node))
+            size, linked = sum(len(t) for t, _ in parts), sum(len(t) for t, k in parts if k)
+            if size:
+                yield path, (1 + sum(t.count(",") for t, _ in parts) + min(size / 100, 3)) * (1 - linked / size)
+        for c in node[1]:
+            if not isinstance(c, str):
+                yield from paragraphs(c, (*path, id(node)))
+
+    every = list(paragraphs(tree, ()))
+
+    def visit(node):
+        nonlocal best
+        parts = list(texts(node))
+        size = sum(len(t) for t, _ in parts)
+        if node[0] == "div" and size:
+            score = sum(
+                p / (1, 2, *[3 * k for k in range(2, 99)])[len(path) - 1 - path.index(id(node))] for path, p in every if id(node) in path
+            )
+            value = score * (1 - sum(len(t) for t, k in parts if k) / size)
+            if value > best[0] + 1e-9:
+                best = (value, node)
+        for c in node[1]:
+            if not isinstance(c, str):
+                visit(c)
+
+    visit(tree)
+    return best
+
+
+def test_scores_of_random_trees():
+    rng = random.Random(14)
+
+    def grow(depth):
+        kids = []
+        for _ in range(rng.randrange(1, 5)):
+            if depth < 4 and rng.random() < 0.5:
+                kids.append(grow(depth + 1))
+            else:
+                words = lambda: "wörd, " * rng.randrange(0, 9) + "x" * rng.randrange(1, 150)
+                kids.append(("p", [words(), *([("a", ["l" * rng.randrange(1, 60)])] if rng.random() < 0.4 else [])]))
+        return "div", kids
+
+    def written_out(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(written_out, node[1]))}</{node[0]}>"
+
+    for _ in range(120):
+        tree = grow(0)
+        order = html_text._prune(html_text.parse(written_out(tree)))
+        html_text._measure(order)
+        found = html_text._score(order)
+        value, want = brute_container(tree)
+        if want is None:
+            continue
+        assert abs(found.score * (1 - html_text._density(found)) - value) < 1e-6 * value
