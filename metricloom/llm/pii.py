@@ -98,9 +98,11 @@ def found_entities(docs: DataFrame) -> DataFrame:
     return slim.select("id", "mark", "text", *bare, "entities")
 
 
-def _small(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` to be broadcast if its rows are counted to be few, else sorted and merged."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("merge")
+def _small(df: DataFrame, limit: int, weight: Column | None = None) -> DataFrame:
+    """``df`` to be broadcast if its rows (or their weights) are counted to be few, else sorted and merged."""
+    weight = F.lit(1) if weight is None else weight
+    few = (df.agg(F.sum(weight)).first()[0] or 0) <= limit
+    return F.broadcast(df) if few else df.hint("merge")
 
 
 def disclosing(
@@ -140,12 +142,14 @@ def _with_terms(docs: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     texts = docs.select(id_of().alias("id"), text_of().alias("text")).withColumn("mark", F.xxhash64("text"))
     # places only in documents that hold such a term
     words = texts.select("id", "mark", F.explode(F.array_distinct(matches(F.lower("text"), _TERM))).alias("term"))
-    holders = written(words.join(_small(told, limit), "term").select("id", "mark").distinct(), "holders")
-    places = texts.join(_small(holders, limit), ["id", "mark"]).select(
-        "id", "mark", F.explode(located(F.col("text"), matches(F.col("text"), _TERM), _TERM)).alias("w")
+    holders = words.join(_small(told, limit), "term").groupBy("id", "mark").agg(F.collect_set("term").alias("held"))
+    holders = written(holders, "holders")
+    places = F.filter(located(F.col("text"), matches(F.col("text"), _TERM), _TERM), lambda x: F.array_contains("held", F.lower(x["m"])))
+    bare = F.transform(places, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("").alias("m")))
+    terms = (
+        texts.join(_small(holders, limit, F.size("held")), ["id", "mark"])
+        .select("id", "mark", bare.alias("terms")).groupBy("id", "mark").agg(F.first("terms").alias("terms"))
     )
-    hits = places.select("id", "mark", F.lower("w.m").alias("term"), "w.s", "w.e").join(_small(told, limit), "term")
-    terms = hits.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("s", "e", F.lit("").alias("m")))).alias("terms"))
     rows = spans.hint("merge").join(terms.hint("merge"), ["id", "mark"], "left")
     # spans of terms never cut into base spans
     apart = F.when(F.col("terms").isNull(), no_spans()).otherwise(outside(F.col("terms"), F.concat(*PATTERNS)))
