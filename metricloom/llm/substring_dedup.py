@@ -7,6 +7,10 @@ In a bucket the strings are sorted by document and place; a window seen before i
 Windows are compared by their words, not by hashes; in a packed string the ``CODES`` most
 frequent words of the sample stand as codes of two or three bytes that no UTF-8 text holds.
 
+A slim pass first counts the strings of every minimiser, in a bitmap of ``2 ** PLACES`` places; a string
+whose place holds no other, and in which the minimiser stands once, repeats nothing and does not
+travel.  Minimisers that share a place only travel in vain.
+
 Skew: copies of a string within a batch are settled before the shuffle (all but the earliest
 are repeats as a whole).  Minimisers that hold more than one of ``HOT_SHARE`` strings of a
 sample of documents (fewer than ``HOT_SHARE`` of them) are split: their windows travel one by
@@ -47,6 +51,8 @@ CODES = 80_000
 PIECE = 4_000_000
 #: One document of so many is in the sample.
 SAMPLE = 16
+#: Places of the bitmap of minimisers, and of a segment of it, as powers of two.
+PLACES, SEGMENT = 28, 20
 #: Different windows a task keeps of one bucket.
 SEEN = 300_000
 #: Word hashes a task remembers.
@@ -101,8 +107,57 @@ def word_codes(words: list[bytes]) -> dict[bytes, bytes]:
     return dict(zip(words, chain(short, long), strict=False))
 
 
-def _packed(ids: list, marks: list, texts: list, hashes: dict, hot: frozenset, codes: dict):
+def _places(least: np.ndarray) -> np.ndarray:
+    """Places of minimisers in the bitmap; those that share a bucket share a place."""
+    return (least >> np.uint64(24)) & np.uint64((1 << PLACES) - 1)
+
+
+def _counted_places(batches):
+    """Places of the minimisers of all strings, by segment, with counts up to 2."""
+    hashes = _Hashes()
+    for _, _, texts in _pieces(batches):
+        found = [super_kmers(t.encode("utf-8", "surrogatepass").split(), hashes)[0] for t in texts]
+        places, counts = np.unique(_places(np.concatenate(found)), return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array((places >> np.uint64(SEGMENT)).astype(np.int16)),
+                pa.array((places & np.uint64((1 << SEGMENT) - 1)).astype(np.int32)),
+                pa.array(np.minimum(counts, 2).astype(np.int8)),
+            ],
+            names=["segment", "place", "n"],
+        )
+
+
+def _segments(batches):
+    """Bits of the places that hold two strings or more, for the segments of a partition."""
+    counts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        segments, places, n = (batch[c].to_numpy() for c in ("segment", "place", "n"))
+        order = np.argsort(segments, kind="stable")
+        cuts = np.flatnonzero(np.diff(segments[order])) + 1
+        for some in np.split(order, cuts):
+            if len(some):
+                known = counts.setdefault(int(segments[some[0]]), np.zeros(1 << SEGMENT, np.uint8))
+                at, inverse = np.unique(places[some], return_inverse=True)
+                known[at] = np.minimum(known[at] + np.bincount(inverse, weights=n[some]), 2)
+    for segment, known in counts.items():
+        bits = np.packbits(known > 1, bitorder="little").tobytes()
+        yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int16()), "bits": pa.array([bits], pa.binary())})
+
+
+def shared_places(rows: DataFrame) -> np.ndarray:
+    """The bitmap of minimisers that more than one string has; its size does not grow with the input."""
+    places = rows.select("id", "mark", "text").mapInArrow(_counted_places, "segment short, place int, n byte")
+    bits = np.zeros(1 << (PLACES - 3), np.uint8)
+    width = 1 << (SEGMENT - 3)
+    for r in places.repartition("segment").mapInArrow(_segments, "segment short, bits binary").toLocalIterator():
+        bits[r.segment * width : (r.segment + 1) * width] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
+def _packed(ids: list, marks: list, texts: list, hashes: dict, hot: frozenset, codes: dict, bits: np.ndarray):
     """Rows to ship: packed strings, each once, and settled repeats without a string."""
+    split = np.array(list(hot), np.uint64)
     earliest: dict[bytes, list] = {}
     settled: list[tuple] = []
 
@@ -119,6 +174,9 @@ def _packed(ids: list, marks: list, texts: list, hashes: dict, hot: frozenset, c
     for key, mark, text in zip(ids, marks, texts, strict=True):
         words = text.encode("utf-8", "surrogatepass").split()
         least, starts, counts, inner = super_kmers(words, hashes)
+        at = _places(least)
+        ships = inner | ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0) | np.isin(least, split)
+        least, starts, counts, inner = least[ships], starts[ships], counts[ships], inner[ships]
         if not len(starts):
             continue
         words = [codes.get(w, w) for w in words]
@@ -156,10 +214,10 @@ def _pieces(batches):
 
 def _shipped(known):
     def run(batches):
-        hashes, (hot, words) = _Hashes(), known.value
+        hashes, (hot, words, bits) = _Hashes(), known.value
         codes = word_codes(words)
         for ids, marks, texts in _pieces(batches):
-            earliest, settled = _packed(ids, marks, texts, hashes, hot, codes)
+            earliest, settled = _packed(ids, marks, texts, hashes, hot, codes, bits)
             kept = list(earliest.values())
             # settled repeats have no string; any bucket will do
             buckets = [k[0] for k in kept] + [xxhash.xxh64_intdigest(repr(s).encode()) for s in settled]
@@ -284,7 +342,7 @@ def repeated(rows: DataFrame, seen: int = SEEN, sample: int = SAMPLE, least: int
 
     ``rows`` has id, mark and text.
     """
-    known = rows.sparkSession.sparkContext.broadcast(sampled(rows, sample, least))
+    known = rows.sparkSession.sparkContext.broadcast((*sampled(rows, sample, least), shared_places(rows)))
     shipped = rows.mapInArrow(_shipped(known), _SHIPPED)
     dealt = shipped.repartition("bucket").sortWithinPartitions("bucket", "id", "mark", "first")
     found = written(dealt.mapInArrow(_repeats(seen), _FOUND), "repeats")
