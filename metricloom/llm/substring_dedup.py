@@ -4,8 +4,7 @@ A window is ``WINDOW`` consecutive words; its minimiser is the smallest hash amo
 ``RUN`` words in it.  Consecutive windows of a document that share a minimiser travel as one
 packed string (a super-k-mer) to the bucket of that minimiser, so equal windows always meet.
 In a bucket the strings are sorted by document and place; a window seen before is a repeat.
-Windows are compared by their words, not by hashes; in a packed string the ``CODES`` most
-frequent words of the sample stand as codes of two or three bytes that no UTF-8 text holds.
+Windows are compared by their words, not by hashes.
 
 A slim pass first counts the strings of every minimiser, in a bitmap of ``2 ** PLACES`` places; a string
 whose place holds no other, and in which the minimiser stands once, repeats nothing and does not
@@ -28,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +43,6 @@ LONGEST = 256
 HOT_SHARE = 2000
 #: Strings of a minimiser in the sample from which it is looked at.
 HOT_LEAST = 200
-#: Words with a code.
-CODES = 80_000
 #: Text bytes packed at once.
 PIECE = 4_000_000
 #: One document of so many is in the sample.
@@ -57,6 +53,7 @@ PLACES, SEGMENT = 28, 20
 SEEN = 300_000
 #: Word hashes a task remembers.
 MEMORY = 500_000
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _SHIPPED = "bucket long, packed binary, id long, mark long, first int, windows int, inner boolean"
 _FOUND = "id long, mark long, first int, windows int, window binary"
 
@@ -69,6 +66,15 @@ class _Hashes(dict):
         return value
 
 
+def _runs(one: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``RUN`` words."""
+    last = len(one) - RUN + 1
+    run = one[:last].copy()
+    for i in range(1, RUN):
+        run = (run ^ (run >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + one[i : last + i]
+    return (run ^ (run >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def super_kmers(words: list[bytes], hashes: dict) -> tuple[np.ndarray, ...]:
     """Minimiser, first window and number of windows of every stretch, and whether the
     minimiser stands at several places of it (only then can windows inside it be equal).
@@ -78,10 +84,7 @@ def super_kmers(words: list[bytes], hashes: dict) -> tuple[np.ndarray, ...]:
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none, none.astype(bool)
     one = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    run = one[: n - RUN + 1].copy()
-    for i in range(1, RUN):
-        run = (run ^ (run >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + one[i : n - RUN + 1 + i]
-    run = (run ^ (run >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    run = _runs(one)
     view = np.lib.stride_tricks.sliding_window_view(run, WINDOW - RUN + 1)
     places = view.argmin(axis=1) + np.arange(len(view))
     least = run[places]
@@ -98,26 +101,56 @@ def super_kmers(words: list[bytes], hashes: dict) -> tuple[np.ndarray, ...]:
     return least[starts], starts, counts, inner
 
 
-def word_codes(words: list[bytes]) -> dict[bytes, bytes]:
-    """Codes of the words, most frequent first: a byte that UTF-8 never uses, then bytes above
-    the space."""
-    tail = [bytes([b]) for b in range(0x21, 0x100)]
-    short = (bytes([lead]) + t for lead in range(0xF5, 0x100) for t in tail)
-    long = (lead + t + u for lead in (b"\xc0", b"\xc1") for t in tail for u in tail)
-    return dict(zip(words, chain(short, long), strict=False))
-
-
 def _places(least: np.ndarray) -> np.ndarray:
     """Places of minimisers in the bitmap; those that share a bucket share a place."""
     return (least >> np.uint64(24)) & np.uint64((1 << PLACES) - 1)
 
 
+def _word_hashes(texts: list[bytes], hashes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of some texts and the text that it stands in, over all bytes at once."""
+    raw = np.frombuffer(b"\n".join(texts), np.uint8)
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    inside = ~_SPACE[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    starts = np.flatnonzero(begins)
+    offsets = np.concatenate([np.cumsum(inside)[starts] - 1, [np.count_nonzero(inside)]])
+    words = pa.Array.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[inside])]
+    ).dictionary_encode()
+    kinds = np.fromiter(map(hashes.__getitem__, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    return kinds[words.indices.to_numpy()] if len(starts) else kinds, np.searchsorted(bounds, starts, "right") - 1
+
+
+def _stretches(one: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minimiser and number of windows of every stretch of texts that stand one after the other."""
+    run = _runs(one)
+    least, width = run, 1
+    while 2 * width <= WINDOW - RUN + 1:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    rest = WINDOW - RUN + 1 - width
+    if rest:
+        least = np.minimum(least[:-rest], least[rest:])
+    whole = text[: len(least)] == text[WINDOW - 1 :]
+    new = whole.copy()
+    new[1:] &= ~(whole[:-1] & (text[1 : len(least)] == text[: len(least) - 1]) & (least[1:] == least[:-1]))
+    starts = np.flatnonzero(new)
+    before = np.concatenate([[0], np.cumsum(whole)])
+    return least[starts], np.diff(before[np.append(starts, len(least))])
+
+
 def _counted_places(batches):
     """Places of the minimisers of all strings, by segment, with counts up to 2."""
     hashes = _Hashes()
     for _, _, texts in _pieces(batches):
-        found = [super_kmers(t.encode("utf-8", "surrogatepass").split(), hashes)[0] for t in texts]
-        places, counts = np.unique(_places(np.concatenate(found)), return_counts=True)
+        one, text = _word_hashes([t.encode("utf-8", "surrogatepass") for t in texts], hashes)
+        if len(one) < WINDOW:
+            continue
+        least, windows = _stretches(one, text)
+        # a stretch that is cut is several strings
+        least = np.concatenate([least, least[windows > LONGEST]])
+        places, counts = np.unique(_places(least), return_counts=True)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array((places >> np.uint64(SEGMENT)).astype(np.int16)),
@@ -155,7 +188,7 @@ def shared_places(rows: DataFrame) -> np.ndarray:
     return bits
 
 
-def _packed(ids: list, marks: list, texts: list, hashes: dict, hot: frozenset, codes: dict, bits: np.ndarray):
+def _packed(ids: list, marks: list, texts: list, hashes: dict, hot: frozenset, bits: np.ndarray):
     """Rows to ship: packed strings, each once, and settled repeats without a string."""
     split = np.array(list(hot), np.uint64)
     earliest: dict[bytes, list] = {}
@@ -179,7 +212,6 @@ def _packed(ids: list, marks: list, texts: list, hashes: dict, hot: frozenset, c
         least, starts, counts, inner = least[ships], starts[ships], counts[ships], inner[ships]
         if not len(starts):
             continue
-        words = [codes.get(w, w) for w in words]
         joined = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         begins = np.concatenate([[0], ends[:-1] + 1])
@@ -214,10 +246,9 @@ def _pieces(batches):
 
 def _shipped(known):
     def run(batches):
-        hashes, (hot, words, bits) = _Hashes(), known.value
-        codes = word_codes(words)
+        hashes, (hot, bits) = _Hashes(), known.value
         for ids, marks, texts in _pieces(batches):
-            earliest, settled = _packed(ids, marks, texts, hashes, hot, codes, bits)
+            earliest, settled = _packed(ids, marks, texts, hashes, hot, bits)
             kept = list(earliest.values())
             # settled repeats have no string; any bucket will do
             buckets = [k[0] for k in kept] + [xxhash.xxh64_intdigest(repr(s).encode()) for s in settled]
@@ -239,32 +270,26 @@ def _shipped(known):
 
 
 def _sampled(batches):
-    """Minimisers and words of the sample, counted by task."""
+    """Minimisers of the sample, counted by task."""
     hashes = _Hashes()
     for batch in batches:
-        minimisers, seen = Counter(), Counter()
+        minimisers = Counter()
         for text in batch["text"]:
             words = text.as_py().encode("utf-8", "surrogatepass").split()
             minimisers.update(super_kmers(words, hashes)[0].view(np.int64).tolist())
-            seen.update(words)
-        found = pa.array([*minimisers, *[None] * len(seen)], pa.int64())
         yield pa.RecordBatch.from_pydict(
-            {"bucket": found, "word": pa.array([*[None] * len(minimisers), *seen], pa.binary()),
-             "n": pa.array([*minimisers.values(), *seen.values()], pa.int64())}
+            {"bucket": pa.array([*minimisers], pa.int64()), "n": pa.array([*minimisers.values()], pa.int64())}
         )
 
 
-def sampled(rows: DataFrame, sample: int = SAMPLE, least: int = HOT_LEAST) -> tuple[frozenset, list[bytes]]:
-    """Minimisers of more than one of ``HOT_SHARE`` strings, and the most frequent words."""
+def sampled(rows: DataFrame, sample: int = SAMPLE, least: int = HOT_LEAST) -> frozenset:
+    """Minimisers of more than one of ``HOT_SHARE`` strings."""
     some = rows.where(F.pmod(F.xxhash64("id", "mark"), F.lit(sample)) == 0).select("text")
-    counts = some.mapInArrow(_sampled, "bucket long, word binary, n long").groupBy("bucket", "word").agg(F.sum("n").alias("n"))
-    counts = written(counts.where("n > 1"), "minimisers")
-    strings = counts.where("bucket IS NOT NULL")
+    counts = some.mapInArrow(_sampled, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    strings = written(counts.where("n > 1"), "minimisers")
     total = strings.agg(F.sum("n")).first()[0] or 0
     hot = strings.where((F.col("n") >= least) & (F.col("n") * HOT_SHARE > total)).select("bucket").collect()
-    # a code saves about the length of its word
-    words = counts.where("word IS NOT NULL").orderBy(F.desc(F.col("n") * F.length("word")), "word").limit(CODES).select("word").collect()
-    return frozenset(r.bucket % (1 << 64) for r in hot), [bytes(r.word) for r in words]
+    return frozenset(r.bucket % (1 << 64) for r in hot)
 
 
 class _Bucket:
@@ -342,7 +367,7 @@ def repeated(rows: DataFrame, seen: int = SEEN, sample: int = SAMPLE, least: int
 
     ``rows`` has id, mark and text.
     """
-    known = rows.sparkSession.sparkContext.broadcast((*sampled(rows, sample, least), shared_places(rows)))
+    known = rows.sparkSession.sparkContext.broadcast((sampled(rows, sample, least), shared_places(rows)))
     shipped = rows.mapInArrow(_shipped(known), _SHIPPED)
     dealt = shipped.repartition("bucket").sortWithinPartitions("bucket", "id", "mark", "first")
     found = written(dealt.mapInArrow(_repeats(seen), _FOUND), "repeats")

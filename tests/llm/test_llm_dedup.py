@@ -210,3 +210,24 @@ def test_substring_tells_ids_apart_by_whole_hashes(spark):
     assert marks[0] != marks[1] and marks[0] & 0xFFFFFFFF == marks[1] & 0xFFFFFFFF
     got = substring_dedup.substring_dedup(docs).collect()
     assert sorted((r.n_words, r.n_removed) for r in got) == [(26, 0), (61, 30)]
+
+
+def test_stretches_of_many_texts():
+    """Minimisers over all texts at once equal those of text by text."""
+    rng = random.Random(21)
+    texts = [" \t".join(rng.choices([f"w{k}" for k in range(rng.choice([1, 2, 300]))], k=rng.randrange(0, 400))).encode() for _ in range(60)]
+    texts += [b"", b"a b", b"same " * 900]
+    hashes = substring_dedup._Hashes()
+    one, text = substring_dedup._word_hashes(texts, hashes)
+    assert np.bincount(text, minlength=len(texts)).tolist() == [len(t.split()) for t in texts]
+    least, windows = substring_dedup._stretches(one, text)
+    want, counts = [], []
+    for t in texts:
+        some, _, lengths, _ = substring_dedup.super_kmers(t.split(), hashes)
+        for m, c in zip(some.tolist(), lengths.tolist()):
+            if counts and want[-1] == (t, m):
+                counts[-1] += c  # a stretch that is cut
+            else:
+                want.append((t, m))
+                counts.append(c)
+    assert least.tolist() == [m for _, m in want] and windows.tolist() == counts
