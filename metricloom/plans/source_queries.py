@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from metricloom.functions import values as V
@@ -9,7 +13,7 @@ from metricloom.operators import kpi as K
 from metricloom.plans.log_queries import _log
 from metricloom.plans.registry import load, query, shown
 from metricloom.session import new_path
-from metricloom.sources import sinks
+from metricloom.sources import sinks, workbooks
 from metricloom.sources import tables as S
 
 _ORDER_SUMS = """SELECT o_orderpriority, count(*) AS record_count, round(sum(o_totalprice), 2) AS total,
@@ -120,6 +124,73 @@ def json_round_trip(spark, folder):
     return _order_sums(S.read_table(spark, path, "ndjson"))
 
 
+_BOOK = """<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+ xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Orders" sheetId="1" r:id="r1"/>
+ <sheet name="Notes" sheetId="2" r:id="r2" state="hidden"/></sheets></workbook>"""
+_LINKS = """<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">
+ <Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>"""
+_STYLES = """<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><cellXfs><xf numFmtId="0"/>
+ <xf numFmtId="14"/></cellXfs></styleSheet>"""
+_SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
+
+
+def _as_workbook(rows: pd.DataFrame) -> pd.DataFrame:
+    """A workbook of one month's orders: key, total, and the day as a styled serial number."""
+    text = '<c r="{}{}" t="inlineStr"><is><t>{}</t></is></c>'
+    lines = ["<row r=\"1\">" + "".join(text.format(c, 1, n) for c, n in zip("ABC", ("key", "total", "day"))) + "</row>"]
+    for i, (key, total, day) in enumerate(zip(rows["o_orderkey"], rows["o_totalprice"], rows["day"]), 2):
+        lines.append(f'<row r="{i}">{text.format("A", i, key)}<c r="B{i}"><v>{total!r}</v></c><c r="C{i}" s="1"><v>{day}</v></c></row>')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, body in (
+            ("xl/workbook.xml", _BOOK), ("xl/_rels/workbook.xml.rels", _LINKS), ("xl/styles.xml", _STYLES),
+            ("xl/worksheets/sheet1.xml", _SHEET.format("".join(lines))), ("xl/worksheets/sheet2.xml", _SHEET.format("")),
+        ):
+            book.writestr(name, body)
+    return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [out.getvalue()]})
+
+
+def _workbook_cells(spark, folder):
+    """Cells of one workbook for every priority and month, written by the executors."""
+    orders = load(spark, folder, "orders").df.select(
+        "o_orderkey", "o_totalprice", F.date_diff("o_orderdate", F.lit("1899-12-30")).alias("day"),
+        F.concat("o_orderpriority", F.lit("/"), F.date_format("o_orderdate", "yyyy-MM"), F.lit(".xlsx")).alias("path"),
+    )
+    files = orders.groupBy("path").applyInPandas(_as_workbook, "path string, content binary")
+    # read several times: sheet names, header and rows
+    place = new_path(spark, "workbooks")
+    files.write.parquet(place)
+    return workbooks.cells_of(spark.read.parquet(place))
+
+
+@query(
+    "workbook_cells",
+    "S3",
+    """SELECT o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2) AS total, strftime(min(o_orderdate), '%Y-%m-%d') AS first_day,
+    count(DISTINCT o_orderkey) AS order_keys FROM orders GROUP BY 1""",
+)
+def workbook_cells(spark, folder):
+    cells = _workbook_cells(spark, folder).where("sheet = 'Orders' AND row_number > 1 AND problem IS NULL")
+    cell = lambda i: F.max(F.when(F.col("column") == i, F.col("value")))
+    rows = cells.groupBy("path", "row_number").agg(cell(1).alias("key"), cell(2).alias("total"), cell(3).alias("day"))
+    out = rows.groupBy(F.substring_index("path", "/", 1).alias("o_orderpriority")).agg(
+        F.count("*").alias("orders"), F.sum(F.col("total").cast("double")).alias("total"),
+        F.substring(F.min("day"), 1, 10).alias("first_day"), F.count_distinct("key").alias("order_keys"),
+    )
+    return shown(out, 2)
+
+
+@query(
+    "workbook_sheets",
+    "S4",
+    """SELECT o_orderpriority, 'Orders' AS sheet, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS workbooks FROM orders GROUP BY 1""",
+)
+def workbook_sheets(spark, folder):
+    """Visible sheets; every workbook also hides one."""
+    found = workbooks.sheets_of(_workbook_cells(spark, folder))
+    return found.groupBy(F.substring_index("path", "/", 1).alias("o_orderpriority"), "sheet").agg(F.count("*").alias("workbooks"))
+
+
 @query(
     "versioned_output",
     "S13",

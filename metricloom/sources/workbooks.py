@@ -125,14 +125,23 @@ def cells(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
         .select("path", "content")
     )
-    return files.mapInPandas(_read, CELLS)
+    return cells_of(files)
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """Every cell of the workbooks of a frame with ``path`` and ``content``."""
+    return files.select("path", "content").mapInPandas(_read, CELLS)
 
 
 def sheets(spark: SparkSession, path: str, *, visible_only: bool = True) -> DataFrame:
     """(path, sheet, state) of the sheets below a path."""
-    found = cells(spark, path).where((F.col("row_number") == 0) & F.col("sheet").isNotNull())
-    found = found.select("path", "sheet", "state")
-    return found.where(F.col("state") == "visible") if visible_only else found
+    return sheets_of(cells(spark, path), visible_only=visible_only)
+
+
+def sheets_of(found: DataFrame, *, visible_only: bool = True) -> DataFrame:
+    """(path, sheet, state) of the sheets among cells."""
+    named = found.where((F.col("row_number") == 0) & F.col("sheet").isNotNull()).select("path", "sheet", "state")
+    return named.where(F.col("state") == "visible") if visible_only else named
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
