@@ -7,8 +7,11 @@ length of the longest match that ends at each word tells which words lie in a wi
 ``window`` item words (an item of fewer words is one window), and each state knows the items
 its windows occur in.
 
-The automaton lives in every task, so its size is bounded: items are dealt into shards of at
-most ``SHARD_WORDS`` words (one item more at most), and a document passes all shards.
+The automaton lives in every task, so its size is bounded: distinct items are dealt by a hash
+into shards of about ``SHARD_WORDS`` words at most.  Executor tasks build one automaton each;
+the driver passes on the bytes of one at a time and never opens them.  With several shards,
+each but the last leaves slim rows (digest of the text, stretches, items) of the documents it
+hits, and the last pass takes them up, so a task holds one automaton.
 
 Results for unusual input: NULL and wordless documents have no words and are not
 contaminated; NULL, empty and wordless items have no windows; repeated items count by their
@@ -17,20 +20,25 @@ id, once for each distinct id; a NULL item id is left out of ``items_sha256`` bu
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import ROW, in_batches, text_of, unwrapped, wrapped
+from metricloom.llm.common import ROW, in_batches, text_of, unwrapped, wrapped, written
 
 WINDOW = 13
 #: A document is contaminated from this share of hit words on: one in so many.
 COVERAGE = 20
 #: Item words in one automaton.
 SHARD_WORDS = 2_000_000
+#: Bytes of a built automaton in one row.
+PIECE = 8 << 20
 
 _KEPT = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(128, 256))
 #: Lower-cases A-Z and turns every separating byte into a space.
@@ -192,16 +200,47 @@ class Shard:
     ids: list[str | None]
 
 
+class Packed:
+    """The bytes of a shard, opened once by each Python worker that needs it."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    @cached_property
+    def shard(self) -> Shard:
+        return pickle.loads(self.data)
+
+
+def _packed(items: list[tuple[str | None, str]], window: int) -> bytes:
+    return pickle.dumps(Shard(Automaton([(i, words_of(t)) for i, t in items], window), [i for i, _ in items]), protocol=5)
+
+
+def _built(window: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = [None if pd.isna(i) else i for i in rows["item_id"]]
+        data = _packed(sorted(zip(ids, rows["text"], strict=True), key=lambda r: (r[0] or "", r[1])), window)
+        starts = range(0, len(data), PIECE)
+        return pd.DataFrame(
+            {"part": rows["part"].iloc[0], "piece": range(len(starts)), "data": [data[a : a + PIECE] for a in starts]}
+        )
+
+    return run
+
+
 def shards_of(benchmark: DataFrame, words: int = SHARD_WORDS, window: int = WINDOW):
-    """Yield the shards one after the other; the driver holds the items of one at a time."""
-    slim = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of().alias("text"))
+    """Yield the shards as built by executor tasks, one after the other."""
+    slim = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of().alias("text")).distinct()
+    slim = written(slim, "items")
     chars = slim.agg(F.sum(F.length("text"))).first()[0] or 0
     # a word has a character and a gap at least
     parts = max(1, -(-chars // (2 * words)))
     placed = slim.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    built = written(
+        placed.groupBy("part").applyInPandas(_built(window), "part long, piece int, data binary"), "automata"
+    )
     for part in range(parts):
-        rows = placed.where(F.col("part") == part).orderBy("item_id", "text").collect()
-        yield Shard(Automaton([(r.item_id, words_of(r.text)) for r in rows], window), [r.item_id for r in rows])
+        pieces = built.where(F.col("part") == part).orderBy("piece").collect()
+        yield Packed(b"".join(bytes(p.data) for p in pieces) if pieces else _packed([], window))
 
 
 def _merged(one: list, two: list) -> list[tuple[int, int]]:
@@ -220,7 +259,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _scanned(batch: pa.RecordBatch, shard) -> pa.RecordBatch:
     """Add what one shard finds to what earlier shards found."""
-    automaton, ids = shard.value.automaton, shard.value.ids
+    automaton, ids = shard.value.shard.automaton, shard.value.shard.ids
     columns = {n: batch[n] for n in batch.schema.names}
     known, hits, items, nameless = [], [], [], []
     for text, old, had, unknown in zip(
@@ -243,17 +282,51 @@ def _scanned(batch: pa.RecordBatch, shard) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def _nothing() -> dict:
+    return {
+        "n_words": F.lit(0).cast("long"),
+        "hits": F.array().cast("array<struct<start:long,end:long>>"),
+        "items": F.array().cast("array<string>"),
+        "nameless": F.lit(False),
+    }
+
+
+def _finds(texts: DataFrame, shard) -> DataFrame:
+    """digest, hits, items and nameless of the distinct texts that a shard hits."""
+    rows = texts.withColumns(_nothing()).mapInArrow(in_batches(_scanned, shard), f"digest binary, text string, {_FOUND}")
+    found = rows.where(F.size("hits") > 0).select("digest", F.struct("hits", "items", "nameless").alias("found"))
+    # equal texts have equal finds
+    return found.groupBy("digest").agg(F.first("found").alias("found")).select("digest", "found.*")
+
+
 def scanned(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``rows``, whose last column is ``text``, with n_words, hits, items and nameless."""
     context = rows.sparkSession.sparkContext
-    empty = F.array().cast("array<struct<start:long,end:long>>")
-    out = rows.withColumns(
-        {"n_words": F.lit(0).cast("long"), "hits": empty, "items": F.array().cast("array<string>"), "nameless": F.lit(False)}
-    )
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    for shard in shards_of(benchmark, shard_words, window):
-        out = out.mapInArrow(in_batches(_scanned, context.broadcast(shard)), f"{kept}, {_FOUND}")
-    return out
+    digest = F.unhex(F.sha2(F.col("text"), 256)).alias("digest")
+    slim, last, nothing = [], None, _nothing()
+    for packed in shards_of(benchmark, shard_words, window):
+        if last is not None:
+            slim.append(written(_finds(rows.select(digest, "text"), last), "finds"))
+            last.destroy()
+        last = context.broadcast(packed)
+    if not slim:
+        return rows.withColumns(_nothing()).mapInArrow(in_batches(_scanned, last), f"{kept}, {_FOUND}")
+    earlier = slim[0]
+    for other in slim[1:]:
+        earlier = earlier.unionByName(other)
+    # a text has one row per shard at most
+    earlier = earlier.groupBy("digest").agg(
+        F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits_"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items_"),
+        F.max("nameless").alias("nameless_"),
+    )
+    keyed = rows.select(F.struct(*rows.columns).alias("all_"), digest)
+    out = keyed.join(earlier.hint("merge"), "digest", "left").select(
+        "all_.*", nothing["n_words"].alias("n_words"),
+        *[F.coalesce(f"{n}_", nothing[n]).alias(n) for n in ("hits", "items", "nameless")],
+    )
+    return out.mapInArrow(in_batches(_scanned, last), f"{kept}, {_FOUND}")
 
 
 def _counted(rows: DataFrame, *keep: str) -> DataFrame:

@@ -23,6 +23,10 @@ from metricloom.session import new_path
 #: A digest shared by more than 1 of so many rows is looked up in a broadcast: fewer than
 #: this many digests can be that frequent, whatever the number of rows.
 HOT_SHARE = 1000
+#: Rows of a bucket at most, when an index is sized for a table: about 1 GB of digests.
+BUCKET_ROWS = 20_000_000
+#: Buckets of an index at least.
+BUCKETS = 64
 
 
 def digest_of(text: Column) -> Column:
@@ -36,7 +40,7 @@ class DigestIndex:
     again.  ``buckets`` is fixed when the folder is first used: about one per GB of digests.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark = spark
         self.path = path
         self.buckets = buckets
@@ -99,9 +103,15 @@ class DigestIndex:
         )
 
 
+def index_for(docs: DataFrame) -> DigestIndex:
+    """A new index with as many buckets as the rows of ``docs`` ask for."""
+    spark = docs.sparkSession
+    return DigestIndex(spark, new_path(spark, "digests"), max(BUCKETS, -(-docs.count() // BUCKET_ROWS)))
+
+
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every document."""
-    index = index or DigestIndex(docs.sparkSession, new_path(docs.sparkSession, "digests"))
+    index = index or index_for(docs)
     index.append_new(docs)
     return index.matched(docs).select(
         real_id("id"),
@@ -117,7 +127,7 @@ def without_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFra
 
     Of rows that repeat id and text, one stays.
     """
-    index = index or DigestIndex(docs.sparkSession, new_path(docs.sparkSession, "digests"))
+    index = index or index_for(docs)
     index.append_new(docs)
     keys = ["digest", "id"]
     kept = index.rows().select("digest", F.col("keep_id").alias("id"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from metricloom.functions import frames
 from metricloom.llm.common import id_of, in_batches, real_id, text_of, written
 
 BLOCK = 64
@@ -35,6 +36,11 @@ WEIGHTS = (1, 2, 3)
 CHUNK = 2000
 #: Slots of an output shard, about.
 SHARD_SLOTS = 4096
+#: Shards of one draw; a source's slots are dealt to groups of shards first.
+GROUP = 4096
+#: Slots of one task, about, as long as that makes no more than ``MOST_TASKS``.
+TASK_SLOTS = 1 << 18
+MOST_TASKS = 20_000
 SEED = 20240
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -56,25 +62,26 @@ def targets(rows: DataFrame, repeats: int = REPEATS) -> DataFrame:
 
     Weights 1, 2, 3 repeat over the sources in code point order, NULL last.  The targets are
     the smaller of ``repeats`` times the size and a common level times the weight; the level
-    is found by running sums over the sources in the order of size over weight.  These windows
-    run over one row a source.
+    is found by running sums over the sources in the order of size over weight.  Places and
+    running sums are taken over ranges of sources, so no task sees all of them.
     """
     sums = rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.max("source").alias("source"))
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (place % len(WEIGHTS) + 1).cast("int"))
+    numbered = frames.placed(sums, [F.col("source").asc_nulls_last()], "place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), ((F.col("place") - 1) % len(WEIGHTS) + 1).cast("int"))
     cap = (F.col("source_size") * repeats).cast("double")
-    table = sums.withColumn("weight", weight).withColumn("cap", cap)
-    order = W.orderBy(F.col("cap") / F.col("weight"), "key")
-    whole = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    left = F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    open_weight = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    level = table.withColumn("level", left / open_weight)
-    free = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), F.col("key"), F.col("level")).alias("s"))).over(whole)
-    return level.withColumn("free", free).select(
-        "key", "source_size",
-        F.least("cap", F.coalesce(F.col("free.level"), F.col("level")) * F.col("weight")).alias("target"),
+    table = numbered.select("key", "source_size", weight.alias("weight"), cap.alias("cap"))
+    ratio = F.col("cap") / F.col("weight")
+    # caps and weights are whole numbers: the sums are exact in any order
+    ranked = frames.placed(
+        table, [ratio, F.col("key")], "rank", {"caps": F.col("cap"), "weights": F.col("weight")}
     )
+    size, weights = table.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    left = F.lit(size) - (F.col("caps") - F.col("cap"))
+    level = left / (F.lit(weights) - (F.col("weights") - F.col("weight")))
+    ranked = ranked.withColumn("level", level)
+    free = ranked.where("cap >= level * weight").agg(F.min(F.struct("rank", "level"))).first()[0]
+    reached = F.lit(free["level"]) if free else F.col("level")
+    return ranked.select("key", "source_size", F.least("cap", reached * F.col("weight")).alias("target"))
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -87,8 +94,13 @@ def placed(rows: DataFrame) -> DataFrame:
         "local", F.coalesce(F.sum("size").over(before), F.lit(0))
     )
     sums = dealt.groupBy("key", "chunk").agg(F.sum("size").alias("chunk_size"))
-    earlier = W.partitionBy("key").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("key", "chunk", F.coalesce(F.sum("chunk_size").over(earlier), F.lit(0)).alias("base"))
+    # one running sum over all chunks, less what lies before the source's first chunk
+    summed = frames.placed(sums, [F.col("key"), F.col("chunk")], "nth", {"upto": F.col("chunk_size")})
+    summed = summed.select("key", "chunk", (F.col("upto") - F.col("chunk_size")).alias("before"))
+    starts = summed.groupBy("key").agg(F.min("before").alias("start"))
+    offsets = summed.hint("merge").join(starts.hint("merge"), "key").select(
+        "key", "chunk", (F.col("before") - F.col("start")).alias("base")
+    )
     return local.join(offsets, ["key", "chunk"]).select(
         "id", "mark", "source", "key", "size", "chunk", "place", (F.col("base") + F.col("local")).alias("first")
     )
@@ -98,20 +110,30 @@ def _seed(*parts) -> int:
     return int.from_bytes(hashlib.sha256(repr(parts).encode()).digest()[:8], "big")
 
 
-def _drawn(shards: int, seed: int):
-    """Multinomial counts of a source's slots over the shards, with the first slot of each."""
+def _dealt(shards: int, seed: int, level: str):
+    """Multinomial counts of a row's slots over the parts of its range of shards.
+
+    On level "groups" the parts are groups of ``GROUP`` shards, drawn by their widths; on level
+    "shards" they are the shards of a group.  Together they are one draw over all shards.
+    """
 
     def run(batches):
         for rows in batches:
-            for key, slots, blocks in zip(rows["key"], rows["slots"], rows["blocks"], strict=True):
-                draw = np.random.default_rng(_seed(seed, key, int(slots)))
-                counts = draw.multinomial(int(slots), np.full(shards, 1 / shards))
-                firsts = np.cumsum(counts) - counts
+            for key, blocks, group, start, slots in rows.itertuples(index=False, name=None):
+                if level == "groups":
+                    parts = np.arange(-(-shards // GROUP))
+                    width = np.minimum(shards - parts * GROUP, GROUP)
+                else:
+                    parts = np.arange(group * GROUP, min(shards, (group + 1) * GROUP))
+                    width = np.ones(len(parts))
+                draw = np.random.default_rng(_seed(seed, level, key, int(group), int(slots)))
+                counts = draw.multinomial(int(slots), width / width.sum())
+                firsts = start + np.cumsum(counts) - counts
                 used = np.flatnonzero(counts)
-                for start in range(0, len(used), 10_000):
-                    some = used[start : start + 10_000]
+                for at in range(0, len(used), 10_000):
+                    some = used[at : at + 10_000]
                     yield pd.DataFrame(
-                        {"key": key, "blocks": blocks, "shard": some, "from": firsts[some], "slots": counts[some]}
+                        {"key": key, "blocks": blocks, "part": parts[some], "from": firsts[some], "slots": counts[some]}
                     )
 
     return run
@@ -179,10 +201,13 @@ def slots(source_targets: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     wanted = written(wanted, "wanted")
     total = wanted.agg(F.sum("slots")).first()[0] or 0
     shards = max(1, round(total / SHARD_SLOTS))
-    drawn = wanted.repartition("key").mapInPandas(
-        _drawn(shards, seed), "key string, blocks long, shard long, `from` long, slots long"
-    )
-    spread = drawn.repartition("key", "shard").select(
+    # a given number of partitions is not folded: few small rows become many slots
+    tasks = min(MOST_TASKS, max(1, -(-total // TASK_SLOTS)))
+    row = "key string, blocks long, part long, `from` long, slots long"
+    whole = wanted.select("key", "blocks", F.lit(0).alias("part"), F.lit(0).cast("long").alias("from"), "slots")
+    groups = whole.repartition("key").mapInPandas(_dealt(shards, seed, "groups"), row)
+    drawn = groups.repartition(tasks, "key", "part").mapInPandas(_dealt(shards, seed, "shards"), row)
+    spread = drawn.withColumnRenamed("part", "shard").repartition(tasks, "key", "shard").select(
         "key", "blocks", "shard", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("slots") - 1)).alias("slot")
     )
     return spread.mapInPandas(_mapped(seed), "key string, shard long, slot long, epoch long, block long")

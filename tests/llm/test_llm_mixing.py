@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,45 @@ def test_permutations():
     assert both[0] != both[1]
 
 
+def test_draws_in_two_levels(monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 7)
+    rows = pd.DataFrame({"key": ["=a", "=b"], "blocks": [9, 4], "part": [0, 0], "from": [0, 0], "slots": [5000, 3]})
+    groups = pd.concat(mixing._dealt(23, 1, "groups")([rows]))
+    drawn = pd.concat(mixing._dealt(23, 1, "shards")([groups]))
+    assert drawn.equals(pd.concat(mixing._dealt(23, 1, "shards")([groups])))
+    for key, slots in (("=a", 5000), ("=b", 3)):
+        mine = drawn[drawn["key"] == key].sort_values("part")
+        assert mine["part"].is_unique and mine["part"].between(0, 22).all()
+        assert mine["from"].tolist() == (mine["slots"].cumsum() - mine["slots"]).tolist()
+        assert mine["slots"].sum() == slots
+    counts = drawn[drawn["key"] == "=a"]["slots"].to_numpy()
+    assert len(counts) == 23 and ((counts - 5000 / 23) ** 2 / (5000 / 23)).sum() < 60
+
+
+def test_offsets_of_sources(spark):
+    docs = frame(spark, [(i, "w " * (i % 5), "abc"[i % 3] if i % 7 else None) for i in range(400)])
+    mixing_chunk, mixing.CHUNK = mixing.CHUNK, 20
+    try:
+        rows = mixing.placed(mixing.measured(docs)).collect()
+    finally:
+        mixing.CHUNK = mixing_chunk
+    assert len(rows) == 400
+    for key in {r.key for r in rows}:
+        at = 0
+        for r in sorted((r for r in rows if r.key == key), key=lambda r: (r.chunk, r.place)):
+            assert r.first == at
+            at += r.size
+
+
+def test_many_sources(spark):
+    sizes = {f"s{i:04}": (i * 37) % 101 for i in range(600)} | {"hot": 30_000, None: 12}
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())]
+    want = brute_targets(sizes)
+    got = {r.source: r.target for r in mixing.targets(mixing.measured(frame(spark, rows))).selectExpr("nullif(substring(key, 2), '') source", "target").collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[s] - t) < 1e-6 * max(1, t) for s, t in want.items())
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 400))), ["a", "b", "é", "c", None, "tiny"][i % 6] if i % 6 < 5 or i < 8 else "a") for i in range(300)]
