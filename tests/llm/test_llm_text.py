@@ -248,12 +248,12 @@ def test_repeated_items_and_texts_over_shards(spark):
     texts = ["x a b c d e f g h i j k l m y", "q r s u v w", "clean words only"]
     docs = frame(spark, [(i, texts[i % 3], "en") for i in range(60)])
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for shard_words in (1_000_000, 5):
+    for shard_words in (1_000_000, 12):
         out = decontamination.scanned(docs.select("doc_id", "text"), bench, shard_words=shard_words)
         got = {(r.doc_id, r.n_hit, tuple(r["items"]), r.nameless) for r in decontamination._counted(out, "doc_id").collect()}
         told = [(13, ("1", "2"), False), (6, ("3",), True), (0, (), False)]
         assert got == {(i, *told[i % 3]) for i in range(60)}
-    shards = list(decontamination.shards_of(bench, 5))
+    shards = list(decontamination.shards_of(bench, 12))
     assert len(shards) > 1 and sum(len(s.shard.ids) for s in shards) == 4
 
 
