@@ -75,7 +75,7 @@ def test_exact_index_grows(spark, tmp_path):
 def test_buckets_follow_the_rows(spark, texts, monkeypatch):
     monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 3)
     monkeypatch.setattr(exact_dedup, "BUCKETS", 2)
-    docs = frame(spark, [(i, f"text {i % 4}", "en") for i in range(10)])
+    docs = frame(spark, [(i, f"text {i % 4}") for i in range(10)])
     assert exact_dedup.index_for(docs).buckets == 4
     assert exact_dedup.index_for(docs.limit(0)).buckets == 2
     assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(docs).collect()} == {(i, max(j for j in range(10) if j % 4 == i % 4)) for i in range(10)}
