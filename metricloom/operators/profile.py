@@ -1,10 +1,11 @@
-"""Column profiles: missing values, statistics and inferred types in one wide scan.
-
-Counts and number statistics are aggregates of one wide ``agg``.  Distinct counts and
-medians are separate, and type tests of text columns run on the distinct values.  ``count_distinct`` over many columns would
-build one hash table per column in one task; instead (column, value) pairs of equal
-type, whole numbers, floating numbers and texts, are combined before their shuffle.
-Medians go through the exact rank selection.
+"""Column profiles: missing values, statistics and inferred types in two scans.
+
+Counts and number statistics of typed columns are aggregates of one wide ``agg``.  Everything
+that asks about values, distinct counts, medians and the type tests and statistics of text
+columns, reads one written table of counted values instead of the source.  ``count_distinct``
+over many columns would build one hash table per column in one task; instead (column, value)
+pairs are combined before their shuffle.  Medians go through the exact rank selection, where a
+counted value weighs as often as it occurs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from metricloom.functions.values import (
     quoted,
 )
 from metricloom.operators.quantiles import exact_quantiles
+from metricloom.session import new_path
 
 # Name tokens and limits of the type rules.
 IDENTIFIER_TOKENS = ("id", "identifier", "uuid", "guid", "key")
@@ -68,29 +70,44 @@ def distinct_values(table: Table, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("ordinal", "column", "value").agg(F.count("*").alias("value_count"))
 
 
-def _distinct_counts(table: Table, columns: Sequence[str]) -> DataFrame:
-    """(ordinal, distinct) per typed column with at least one value."""
-    whole, floating, other = [], [], []
+_WHOLE = ("byte", "short", "integer", "long")
+_COUNTED = "ordinal int, text string, number double, value_count long"
+
+
+def counted_values(table: Table, columns: Sequence[str]) -> DataFrame:
+    """(ordinal, text, number, value_count) of every distinct non-missing value, in one scan.
+
+    A value is told apart by its own type: whole and floating numbers as numbers, everything
+    else as text.  ``number`` is the value of number columns and of text that reads as one.
+    The result is written, so the questions that follow read it instead of the source.
+    """
+    spark = table.df.sparkSession
+    if not columns:
+        return literal_frame(spark, [], _COUNTED)
+    cells = []
     for i, name in enumerate(columns):
-        kind = table.types[name].typeName()
-        if table.is_text(name):
-            continue
-        if kind in ("byte", "short", "integer", "long"):
-            whole.append((i, quoted(name).cast("long")))
-        elif kind in ("float", "double"):
-            floating.append((i, table.num(name)))
+        whole, number, text = (F.lit(None).cast(t) for t in ("long", "double", "string"))
+        if table.types[name].typeName() in _WHOLE:
+            whole = quoted(name).cast("long")
+        elif table.types[name].typeName() in ("float", "double"):
+            number = table.num(name)
         else:
-            other.append((i, table.text(name)))
-    parts = []
-    for group in (whole, floating, other):
-        if not group:
-            continue
-        cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), c.alias("v")) for i, c in group])
-        pairs = table.df.select(F.inline(cells)).where(F.col("v").isNotNull())
-        parts.append(pairs.distinct().groupBy("ordinal").agg(F.count("v").alias("distinct")))
-    if not parts:
-        return literal_frame(table.df.sparkSession, [], "ordinal int, distinct long")
-    return union_all(parts)
+            text = table.text(name)
+        cells.append(
+            F.struct(F.lit(i).alias("ordinal"), whole.alias("whole"), number.alias("number"), text.alias("text"))
+        )
+    keys = ["whole", "number", "text"]
+    values = table.df.select(F.inline(F.array(*cells))).dropna("all", subset=keys)
+    counted = values.groupBy("ordinal", *keys).agg(F.count("*").alias("value_count"))
+    read = [i for i, c in enumerate(columns) if table.is_text(c)]
+    fixed = [i for i, c in enumerate(columns) if table.is_number(c)]
+    from_text = F.when(F.col("ordinal").isin(read), parse_number(F.col("text"))).when(
+        F.col("ordinal").isin(fixed), F.col("text").cast("double")
+    )
+    number = F.coalesce("number", F.col("whole").cast("double"), from_text)
+    path = new_path(spark, "counted-values")
+    counted.select("ordinal", "text", number.alias("number"), "value_count").write.parquet(path)
+    return spark.read.schema(_COUNTED).parquet(path)
 
 
 def _value_tests(value: Column) -> dict[str, Column]:
@@ -105,33 +122,39 @@ def _value_tests(value: Column) -> dict[str, Column]:
     }
 
 
-def _text_tests(table: Table, columns: Sequence[str]) -> DataFrame:
-    """Type tests per text column, asked once per distinct value instead of per row."""
-    texts = [(i, c) for i, c in enumerate(columns) if table.is_text(c)]
-    if not texts:
-        return literal_frame(
-            table.df.sparkSession,
-            [],
-            "ordinal int, distinct long, is_bool boolean, is_date boolean, is_num boolean, "
-            "id_like boolean, max_len int, avg_len double, max_words int, first_ts string, "
-            "last_ts string",
-        )
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("ordinal"), table.text(c).alias("v")) for i, c in texts]
+def _value_facts(counted: DataFrame, texts: Sequence[int]) -> DataFrame:
+    """Distinct counts per column; of text columns also type tests and number statistics.
+
+    Every test is asked once per distinct value instead of per row.
+    """
+    asked = F.col("ordinal").isin(list(texts))
+    value, count = F.when(asked, F.col("text")), F.col("value_count")
+    number = F.when(asked, F.col("number"))
+    moment, size = parse_timestamp(value), F.length(value)
+    nums, total = F.sum(F.when(number.isNotNull(), count)), F.sum(number * count)
+    facts = {k: F.bool_and(F.coalesce(t, F.lit(False))) for k, t in _value_tests(value).items()}
+    facts |= {
+        "max_len": F.max(size),
+        "avg_len": F.sum(size * count) / F.sum(count),
+        "max_words": F.max(F.size(F.split(value, r"\s+"))),
+        "nums": nums,
+        "lo": F.min(number),
+        "hi": F.max(number),
+        "mean": total / nums,
+        "total": total,
+        "first_ts": F.date_format(F.min(moment), _DATE_TEXT),
+        "last_ts": F.date_format(F.max(moment), _DATE_TEXT),
+    }
+    out = counted.groupBy("ordinal").agg(
+        F.count("*").alias("distinct"), *[F.when(asked, c).alias(k) for k, c in facts.items()]
     )
-    long = table.df.select(F.inline(cells)).where(F.col("v").isNotNull())
-    values = long.groupBy("ordinal", "v").agg(F.count("*").alias("c"))
-    value, moment = F.col("v"), parse_timestamp(F.col("v"))
-    size = F.length(value)
-    return values.groupBy("ordinal").agg(
-        F.count("*").alias("distinct"),
-        *[F.bool_and(F.coalesce(t, F.lit(False))).alias(k) for k, t in _value_tests(value).items()],
-        F.max(size).alias("max_len"),
-        (F.sum(size * F.col("c")) / F.sum("c")).alias("avg_len"),
-        F.max(F.size(F.split(value, r"\s+"))).alias("max_words"),
-        F.date_format(F.min(moment), _DATE_TEXT).alias("first_ts"),
-        F.date_format(F.max(moment), _DATE_TEXT).alias("last_ts"),
+    # Deviations from the known mean: a sum of squares would lose the small digits.
+    numbers = counted.where(asked & F.col("number").isNotNull())
+    means = numbers.groupBy("ordinal").agg((F.sum(F.col("number") * count) / F.sum(count)).alias("_mean"))
+    spread = numbers.join(F.broadcast(means), "ordinal").groupBy("ordinal").agg(
+        F.sqrt(F.sum(count * F.pow(F.col("number") - F.col("_mean"), 2)) / F.sum(count)).alias("sd")
     )
+    return out.join(F.broadcast(spread), "ordinal", "left")  # one row per column
 
 
 def missing_counts(table: Table, columns: Sequence[str] | None = None) -> DataFrame:
@@ -164,7 +187,6 @@ def profile(
     ``approximate`` replaces exact distinct counts and medians with sketches.
     """
     columns = list(columns) if columns is not None else _scalar_columns(table)
-    spark = table.df.sparkSession
     aggregates: list[Column] = [F.count("*").alias("row_count")]
     inputs: list[Column] = []
     parts = []
@@ -215,7 +237,7 @@ def profile(
             }
         if table.is_temporal(name) or (table.is_text(name) and approximate):
             tests |= {"first_ts": F.min(moment), "last_ts": F.max(moment)}
-        if table.is_text(name) or table.is_number(name):
+        if table.is_number(name) or (table.is_text(name) and approximate):
             tests |= {
                 "nums": F.count(number),
                 "lo": F.min(number),
@@ -245,26 +267,13 @@ def profile(
     wide = table.df.select(*inputs).agg(*aggregates)
     stats = wide.select("row_count", F.inline(F.array(*parts)))
     if not approximate:
-        found = _text_tests(table, columns).unionByName(
-            _distinct_counts(table, columns), allowMissingColumns=True
-        )
+        counted = counted_values(table, columns)
+        found = _value_facts(counted, [i for i, c in enumerate(columns) if table.is_text(c)])
         asked = [c for c in found.columns if c not in ("ordinal", "distinct")]
         found = found.select("ordinal", "distinct", *[F.col(c).alias(f"_{c}") for c in asked])
-        numbers = [
-            F.struct(F.lit(i).alias("ordinal"), table.num(c).alias("v"))
-            for i, c in enumerate(columns)
-            if table.is_number(c) or table.is_text(c)
-        ]
-        if numbers:
-            middle = exact_quantiles(
-                table.df.select(F.inline(F.array(*numbers))),
-                ["ordinal"],
-                F.col("v"),
-                [0.5],
-                few_groups=True,
-            ).select("ordinal", F.col("quantiles")[0].alias("median"))
-        else:
-            middle = literal_frame(spark, [], "ordinal int, median double")
+        middle = exact_quantiles(
+            counted, ["ordinal"], F.col("number"), [0.5], few_groups=True, weight=F.col("value_count")
+        ).select("ordinal", F.col("quantiles")[0].alias("median"))
         # One row per column on either side.
         stats = (
             stats.join(F.broadcast(found), "ordinal", "left")

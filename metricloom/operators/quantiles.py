@@ -51,10 +51,13 @@ def exact_quantiles(
     probabilities: Sequence[float],
     *,
     few_groups: bool | None = None,
+    weight: Column | None = None,
     output: str = "quantiles",
 ) -> DataFrame:
     """Inclusive (linear interpolation) quantiles per group, as an array column.
 
+    With ``weight`` a row stands for that many equal values (a whole number, at least 1).
+
     The wanted buckets, at most ``2 * len(probabilities)`` per group, are joined back to
     the values.  ``few_groups=True`` says that the number of groups has a proven bound
     (a global quantile, a category that passed the distinct-value rule), so they are
@@ -63,7 +66,10 @@ def exact_quantiles(
     spreads a hot group over its buckets.
     """
     keys = list(keys)
-    base = df.select(*keys, finite(value.cast("double")).alias("_v")).where(
+    weights = [] if weight is None else [weight.cast("long").alias("_w")]
+    size = F.count("*") if weight is None else F.sum("_w")
+    carried = ["_v"] if weight is None else ["_v", "_w"]
+    base = df.select(*keys, finite(value.cast("double")).alias("_v"), *weights).where(
         F.col("_v").isNotNull()
     )
     base = base.withColumn("_b1", _magnitude_bucket(F.col("_v")))
@@ -99,7 +105,7 @@ def exact_quantiles(
 
     group_window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     counted = base.groupBy(*keys, "_b1").agg(
-        F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        size.alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     counted = (
         counted.withColumn("_n", F.sum("_c").over(group_window))
@@ -114,7 +120,7 @@ def exact_quantiles(
     inside = base.join(small(first), same).select(
         *keys,
         "_b1",
-        "_v",
+        *carried,
         F.when(
             F.col("_hi") > F.col("_lo"),
             F.least(
@@ -130,7 +136,7 @@ def exact_quantiles(
     )
     # max() of per-bucket constants keeps this a hash aggregate.
     parts = inside.groupBy(*keys, "_b1", "_b2").agg(
-        F.count("*").alias("_c"),
+        size.alias("_c"),
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),
         F.max("_n").alias("_n"),
@@ -145,12 +151,12 @@ def exact_quantiles(
         *keys,
         "_b1",
         "_b2",
-        "_v",
+        *carried,
         "_n",
         "_start",
     )
     values = close.groupBy(*keys, "_b1", "_b2", "_v").agg(
-        F.count("*").alias("_c"), F.max("_n").alias("_n"), F.max("_start").alias("_start")
+        size.alias("_c"), F.max("_n").alias("_n"), F.max("_start").alias("_start")
     )
     picked = holding(values, [*keys, "_b1", "_b2"], "_v")
     # At most two ranks per probability and group remain here.

@@ -71,3 +71,16 @@ def test_any_values(spark, values):
     assert got[0] == ordered[0] and got[2] == ordered[-1]
     if n % 2:
         assert got[1] == ordered[n // 2]
+
+
+def test_weights(spark):
+    rng = random.Random(5)
+    rows = [(g, rng.choice([-1.0, 1.0]) * rng.expovariate(1), rng.randint(1, 9)) for g in "ab" for _ in range(200)]
+    rows += [("a", 0.25, 100_000), ("b", None, 7)]
+    df = spark.createDataFrame(rows, "g string, v double, w int").repartition(3)
+    for few in (True, None):
+        got = exact_quantiles(df, ["g"], F.col("v"), PS, few_groups=few, weight=F.col("w")).collect()
+        for r in got:
+            values = [v for g, v, w in rows if g == r["g"] and v is not None for _ in range(w)]
+            assert r["value_count"] == len(values)
+            assert r["quantiles"] == pytest.approx(list(np.quantile(values, PS)), rel=1e-12)
