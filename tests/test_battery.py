@@ -238,3 +238,24 @@ def test_wide_categories_are_refused(table):
     t = table("c v", [(f"v{i}", i) for i in range(60)])
     with pytest.raises(K.KpiError):
         battery(t, K.source_kpi("v"), date=None, cats=("c",), numbers=["v"]).segment_ranking_rows()
+
+
+def test_correlation_sums_compute_each_kpi_once_a_row(table, capsys):
+    rows = [(2, 3, 1), (4, None, 5), (None, 7, 6), (8, 9, None), (10, 11, 12)]
+    b = battery(
+        table("a b c", rows), K.source_kpi("a"), K.formula_kpi("net", "[a] * [b]", "row", "sum"),
+        date=None, cats=(), numbers=["a", "b", "c"],
+    )
+    b.table.df.select(b.measures[1].row_value).explain()
+    alone = capsys.readouterr().out.count("rint(")
+    sums = b.correlation_sums()
+    sums.explain()
+    assert 0 < capsys.readouterr().out.count("rint(") <= alone
+    got = {(r["metric"], r["associated_metric"]): tuple(r)[2:] for r in sums.collect()}
+    assert got == {
+        ("a", "b"): (3, 20.0, 23.0, 168.0, 211.0, 188.0),
+        ("a", "c"): (3, 16.0, 18.0, 120.0, 170.0, 142.0),
+        ("net", "a"): (3, 188.0, 20.0, 36.0 + 72.0**2 + 110.0**2, 168.0, 1688.0),
+        ("net", "b"): (3, 188.0, 23.0, 36.0 + 72.0**2 + 110.0**2, 211.0, 1876.0),
+        ("net", "c"): (2, 116.0, 13.0, 36.0 + 110.0**2, 145.0, 1326.0),
+    }
