@@ -6,6 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from metricloom.functions import values as V
@@ -110,8 +111,12 @@ def json_array_items(spark, folder):
     path = new_path(spark, "orders-array")
     orders = _order_text(spark, folder).withColumn("note", F.lit('{not "the" end}'))
     record = F.to_json(F.struct(*orders.columns))
-    files = orders.groupBy("o_orderpriority").agg(F.array_join(F.collect_list(record), ",\n ").alias("value"))
-    files.select("o_orderpriority", F.concat(F.lit("[\n"), "value", F.lit("\n]")).alias("value")).write.partitionBy("o_orderpriority").text(path)
+    # a file for each priority, written record by record
+    place = W.partitionBy("o_orderpriority").orderBy("o_orderkey")
+    lead = F.when(F.row_number().over(place) == 1, "[\n").otherwise(" ")
+    tail = F.when(F.lead(F.lit(True)).over(place), ",").otherwise("\n]")
+    lines = orders.select("o_orderpriority", "o_orderkey", record.alias("record"))
+    lines.select("o_orderpriority", F.concat(lead, "record", tail).alias("value")).write.partitionBy("o_orderpriority").text(path)
     loaded = S.read_json(spark, path)
     rows = loaded.rows.where("note = '{not \"the\" end}'")
     return _order_sums(V.Table(rows))

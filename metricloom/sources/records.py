@@ -5,7 +5,8 @@ file is read in its usual byte ranges, in pieces that end with a separator (a li
 brace).  A piece maps the state before it to the state after it: inside quotes or not, and how
 deep in braces.  The maps of a range compose to one map; the maps of the ranges before it tell
 every range the state in which it begins.  A second pass cuts each range into records; only the ends
-of records that cross a range's border meet in a shuffle, at most two texts a range.
+of records that cross a range's border meet in a shuffle, at most two texts a range.  What the second
+pass finds stays on the executors' disks, and every reader of the records starts from there.
 
 No file is one task, and the driver holds one entry for every range that begins inside a record.
 """
@@ -17,8 +18,10 @@ import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,7 +100,14 @@ def _pieces(spark: SparkSession, path: str, kind) -> DataFrame:
 
 def _rows(batches) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in ("file", "block", "text", "bytes")))
+        file, block, text, raw = (batch.column(n) for n in ("file", "block", "text", "bytes"))
+        if not len(text):
+            continue
+        if file[0] == file[-1] and block[0] == block[-1]:  # ranges come one after the other
+            where = repeat(file[0].as_py()), repeat(block[0].as_py())
+        else:
+            where = file.to_pylist(), block.to_pylist()
+        yield from zip(*where, text.to_pylist(), repeat(None) if raw.null_count == len(raw) else raw.to_pylist())
 
 
 def _maps(batches, kind):
@@ -202,7 +212,7 @@ def records(spark: SparkSession, path: str, kind) -> DataFrame:
     )
     starts = {(r.file, r.block): (r.inside, r.depth) for r in _starts(maps).collect()}  # at most one entry a range
     shared = spark.sparkContext.broadcast(starts)
-    cut = pieces.mapInArrow(lambda b: _cut(b, kind, shared), _PARTS)
+    cut = pieces.mapInArrow(lambda b: _cut(b, kind, shared), _PARTS).persist(StorageLevel.DISK_ONLY)
     whole = cut.where("part IS NULL").select("file", "block", "place", "text", "problem")
     parts = cut.where("part IS NOT NULL")
     chain = W.partitionBy("file").orderBy("block", "place")
@@ -257,22 +267,28 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_items(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of top-level JSON arrays: file, block, place, text and problem.
+    """Objects of top-level JSON arrays: file, block, place, text, and problem.
 
     A file may also hold one object without an array.  What stands between objects must be the
     array's brackets and commas.
     """
-    cut = records(spark, path, JsonObjects())
-    lead = F.regexp_extract("text", r"^[\x20\t\r\n]*([\[,]?)[\x20\t\r\n]*\{", 1)
-    led = F.col("text").rlike(r"^[\x20\t\r\n]*[\[,]?[\x20\t\r\n]*\{")
+    blanks = F.lit(" \t\r\n")
+    trimmed = records(spark, path, JsonObjects()).withColumn("body", F.ltrim("text", blanks))
+    sign = F.substring("body", 1, 1)
+    signed = trimmed.withColumn("sign", F.when(sign.isin("[", ","), sign).otherwise(""))
+    rest = F.when(F.col("sign") == "", F.col("body")).otherwise(F.ltrim(F.expr("substring(body, 2)"), blanks))
     first = (F.col("block") == 0) & (F.col("place") == 0)
-    marked = cut.select("*", (F.instr("text", "{") == 0).alias("bare"), lead.alias("lead"), led.alias("led"), first.alias("first"))
+    marked = signed.select(
+        "file", "block", "place", "text", "problem", "sign", rest.alias("rest"), first.alias("first"),
+        (F.instr("text", "{") == 0).alias("bare"),
+    )
+    led = F.startswith("rest", F.lit("{"))
     objects = marked.where("NOT bare").select(
-        "file", "block", "place", F.concat(F.regexp_replace("text", r"^[\x20\t\r\n]*[\[,]?[\x20\t\r\n]*", ""), F.lit("}")).alias("text"),
+        "file", "block", "place", F.concat("rest", F.lit("}")).alias("text"),
         F.coalesce(
-            "problem", F.when(~F.col("led"), "no object"),
-            F.when(F.col("first") & (F.col("lead") == ","), "a comma before the first object")
-            .when(~F.col("first") & (F.col("lead") != ","), "objects without a comma"),
+            "problem", F.when(~led, "no object"),
+            F.when(F.col("first") & (F.col("sign") == ","), "a comma before the first object")
+            .when(~F.col("first") & (F.col("sign") != ","), "objects without a comma"),
         ).alias("problem"),
     )
     # what stands behind the last object, and whether a bracket stands at either end: a few rows a file

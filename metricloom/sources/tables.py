@@ -85,18 +85,20 @@ def read_json(spark: SparkSession, path: str, *, lines: bool = False) -> Loaded:
     rejects = literal_frame(spark, [], "raw string")
     if lines:
         source = path
-        keyed = spark.read.text(path).select(F.monotonically_increasing_id().alias("place"), F.col("value").alias("text"))
-        order = F.struct("place")
+        lists = F.json_object_keys("value").alias("keys")
+        keyed = spark.read.text(path).select(F.monotonically_increasing_id().alias("place"), lists)
+        order = ["place"]
     else:
         items = json_items(spark, path)
-        keys = F.json_object_keys("text")
+        items = items.withColumn("keys", F.json_object_keys("text"))
+        keys = F.col("keys")
         # control characters in strings have no keys either; elsewhere a line break is a blank
         bad = F.col("problem").isNotNull() | keys.isNull() | (F.size(keys) != F.size(F.array_distinct(keys)))
         keyed = items.where(~bad)
         rejects = items.where(bad).select(F.col("text").alias("raw"))
         source = new_path(spark, "json-items")
         keyed.select(F.translate("text", "\r\n", "  ")).write.text(source)
-        order = F.struct("file", "block", "place")
+        order = ["file", "block", "place"]
     raw = (
         spark.read.option("primitivesAsString", True)
         .option("allowNonNumericNumbers", False)
@@ -119,13 +121,15 @@ def read_json(spark: SparkSession, path: str, *, lines: bool = False) -> Loaded:
     return Loaded(good.select(*[F.coalesce(quoted(n), empty).alias(n) for n in names]), rejects)
 
 
-def _first_seen(records: DataFrame, order: Column, names: list[str]) -> list[str]:
-    """``names`` in the order in which the records first use them.
+def _first_seen(records: DataFrame, order: list[str], names: list[str]) -> list[str]:
+    """``names`` in the order in which the records first use them; ``order`` ends with a number.
 
-    The reader sorts them.  The keys of every record come with their places and only the
-    smallest place of each key leaves the tasks.
+    The reader sorts them.  Records of one range with the same list of keys are counted by the
+    first of them, so the keys of a range leave its task once.
     """
-    keys = records.select(order.alias("record"), F.posexplode(F.json_object_keys("text")).alias("item", "key"))
+    *range_of, place = order
+    lists = records.groupBy(*range_of, "keys").agg(F.min(place).alias(place))
+    keys = lists.select(F.struct(*order).alias("record"), F.posexplode("keys").alias("item", "key"))
     first = keys.groupBy("key").agg(F.min(F.struct("record", "item")).alias("at"))
     seen = [r["key"] for r in first.where(F.col("key").isin(names)).orderBy("at").collect()]
     return seen + [n for n in names if n not in seen]

@@ -3,6 +3,7 @@ import io
 import json
 import random
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import one
 from metricloom.functions.values import Table
 from metricloom.operators import runlog as R
-from metricloom.sources import sinks, tables, workbooks
+from metricloom.sources import records, sinks, tables, workbooks
 
 
 def test_csv(spark, tmp_path):
@@ -248,3 +249,21 @@ def test_json_rejects(spark, tmp_path, text, good, bad):
     path.write_text(text)
     loaded = tables.read_json(spark, str(path))
     assert (loaded.rows.count(), loaded.rejects.count()) == (good, bad)
+
+
+def test_json_ranges_are_cut_once(spark, tmp_path, small_splits, monkeypatch):
+    cut, seen = records._cut, str(tmp_path / "seen")
+
+    def noted(batches, kind, starts):
+        for batch in batches:
+            with open(seen, "a") as log:
+                log.write(f"{batch.column('block')[0]}\n")
+            yield from cut([batch], kind, starts)
+
+    monkeypatch.setattr(records, "_cut", noted)
+    path = tmp_path / "once.json"
+    path.write_text(json.dumps([{"a": i, "b": "{}"} for i in range(40)]))
+    loaded = tables.read_json(spark, str(path))
+    assert loaded.rows.columns == ["a", "b"] and loaded.rows.count() == 40
+    blocks = Path(seen).read_text().split()
+    assert len(blocks) > 5 and len(blocks) == len(set(blocks))
