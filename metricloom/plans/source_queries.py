@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Window as W
@@ -139,26 +140,37 @@ _STYLES = """<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/
 _SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
 
 
-def _as_workbook(rows: pd.DataFrame) -> pd.DataFrame:
+def _as_workbook(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A workbook of one month's orders: key, total, and the day as a styled serial number."""
     text = '<c r="{}{}" t="inlineStr"><is><t>{}</t></is></c>'
-    lines = ["<row r=\"1\">" + "".join(text.format(c, 1, n) for c, n in zip("ABC", ("key", "total", "day"))) + "</row>"]
-    for i, (key, total, day) in enumerate(zip(rows["o_orderkey"], rows["o_totalprice"], rows["day"]), 2):
-        lines.append(f'<row r="{i}">{text.format("A", i, key)}<c r="B{i}"><v>{total!r}</v></c><c r="C{i}" s="1"><v>{day}</v></c></row>')
+    head, tail = _SHEET.split("{}")
     out = io.BytesIO()
+    path, last = None, 1
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
         for name, body in (
             ("xl/workbook.xml", _BOOK), ("xl/_rels/workbook.xml.rels", _LINKS), ("xl/styles.xml", _STYLES),
-            ("xl/worksheets/sheet1.xml", _SHEET.format("".join(lines))), ("xl/worksheets/sheet2.xml", _SHEET.format("")),
+            ("xl/worksheets/sheet2.xml", _SHEET.format("")),
         ):
             book.writestr(name, body)
-    return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [out.getvalue()]})
+        with book.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
+            names = "".join(text.format(c, 1, n) for c, n in zip("ABC", ("key", "total", "day")))
+            sheet.write(f'{head}<row r="1">{names}</row>'.encode())
+            for rows in parts:
+                path = rows["path"].iloc[0]
+                lines = [
+                    f'<row r="{i}">{text.format("A", i, key)}<c r="B{i}"><v>{total!r}</v></c><c r="C{i}" s="1"><v>{day}</v></c></row>'
+                    for i, (key, total, day) in enumerate(zip(rows["key"], rows["o_totalprice"], rows["day"]), last + 1)
+                ]
+                sheet.write("".join(lines).encode())
+                last += len(lines)
+            sheet.write(tail.encode())
+    yield pd.DataFrame({"path": [path], "content": [out.getvalue()]})
 
 
 def _workbook_cells(spark, folder):
     """Cells of one workbook for every priority and month, written by the executors."""
     orders = load(spark, folder, "orders").df.select(
-        "o_orderkey", "o_totalprice", F.date_diff("o_orderdate", F.lit("1899-12-30")).alias("day"),
+        F.coalesce(F.col("o_orderkey").cast("string"), F.lit("nan")).alias("key"), "o_totalprice", F.date_diff("o_orderdate", F.lit("1899-12-30")).alias("day"),
         F.concat("o_orderpriority", F.lit("/"), F.date_format("o_orderdate", "yyyy-MM"), F.lit(".xlsx")).alias("path"),
     )
     files = orders.groupBy("path").applyInPandas(_as_workbook, "path string, content binary")

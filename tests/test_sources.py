@@ -2,9 +2,11 @@ import csv
 import io
 import json
 import random
+import tracemalloc
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,3 +269,23 @@ def test_json_ranges_are_cut_once(spark, tmp_path, small_splits, monkeypatch):
     assert loaded.rows.columns == ["a", "b"] and loaded.rows.count() == 40
     blocks = Path(seen).read_text().split()
     assert len(blocks) > 5 and len(blocks) == len(set(blocks))
+
+
+def test_large_sheets_are_read_in_pieces(spark, tmp_path):
+    n = 40_000
+    rows = "".join(f'<row r="{i}"><c r="A{i}"><v>{i}</v></c><c r="B{i}"><v>1.5</v></c></row>' for i in range(2, n + 2))
+    workbook(tmp_path / "a.xlsx", HEAD + rows)
+    workbook(tmp_path / "b.xlsx", HEAD + rows + "<row")
+    files = spark.read.format("binaryFile").load(str(tmp_path / "*.xlsx")).select("path", "content").orderBy("path")
+    found = workbooks.cells_of(files).groupBy(F.col("path").substr(-6, 6).alias("path")).agg(
+        F.count("*").alias("n"), F.count("problem").alias("bad"), F.max("row_number").alias("last")
+    )
+    # two sheets, the two names of the head and two numbers a row; nothing of a broken workbook
+    assert sorted(map(tuple, found.collect())) == [("a.xlsx", 2 * n + 4, 0, n + 1), ("b.xlsx", 1, 1, 0)]
+    whole = pa.RecordBatch.from_pandas(files.toPandas())
+    tracemalloc.start()
+    sizes = [len(batch) for batch in workbooks._read(iter([whole]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 2 * n + 5 and max(sizes) <= 10_000
+    assert peak < 12_000_000, peak
