@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricloom.functions.frames import literal_frame
+from metricloom.functions.frames import literal_frame, union_all
 from metricloom.functions.values import Table, quoted
 from metricloom.session import new_path
+from metricloom.sources import files
 from metricloom.sources.records import csv_rows, json_items
 
 CORRUPT = "_corrupt_record"
@@ -219,21 +220,45 @@ def sniff(content: Column) -> Column:
     """
     text = content.cast("string")
     start = F.substring(F.ltrim(text, F.lit("\ufeff \t\r\n\f\v")), 1, 1)
-    zipped = F.substring(content, 1, 4) == F.lit(b"PK\x03\x04")
+    plain = F.is_valid_utf8(text) & ~F.contains(text, F.lit("\0"))
+    return _format(F.substring(content, 1, 4), F.contains(content, F.lit(b"xl/workbook.xml")), plain, start)
+
+
+def _format(head: Column, workbook: Column, plain: Column, start: Column) -> Column:
+    zipped = head == F.lit(b"PK\x03\x04")
     return (
-        F.when(F.substring(content, 1, 4) == F.lit(b"PAR1"), "parquet")
-        .when(zipped & F.contains(content, F.lit(b"xl/workbook.xml")), "xlsx")
-        .when(zipped | ~F.is_valid_utf8(text) | F.contains(text, F.lit("\0")), "unsupported")
+        F.when(head == F.lit(b"PAR1"), "parquet")
+        .when(zipped & workbook, "xlsx")
+        .when(zipped | ~plain, "unsupported")
         .when(start.isin("[", "{"), "json")
         .otherwise("csv")
     )
 
 
-def catalog(spark: SparkSession, path: str) -> DataFrame:
-    """(path, format, sha256, source_id, bytes) of every file below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def catalog(spark: SparkSession, path: str, step: int = files.RANGE) -> DataFrame:
+    """(path, format, sha256, source_id, bytes) of every file below a path.
+
+    Files of more than ``step`` bytes are read in ranges, by jobs of this call; only those that
+    cannot be cut are read as a whole like the others.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    sizes = {r["path"]: r["length"] for r in found.where(F.col("length") > step).select("path", "length").collect()}
+    parts = [_whole(found.where(F.col("length") <= step))]
+    if uncut := [files.pattern(p) for p in sizes if not files.can_cut(p)]:
+        parts.append(_whole(spark.read.format("binaryFile").load(uncut)))
+    known = files.facts(spark, {p: n for p, n in sizes.items() if files.can_cut(p)}, step)
+    if known:
+        rows = [(p, s.head, s.workbook, s.plain, s.start, files.sha256_hex(s.digest), s.size) for p, s in known.items()]
+        names = "path string, head binary, workbook boolean, plain boolean, start string, sha256 string, bytes long"
+        large = literal_frame(spark, rows, names)
+        kind = _format(F.col("head"), F.col("workbook"), F.col("plain"), F.col("start"))
+        parts.append(large.select("path", kind.alias("format"), "sha256", source_id(F.col("sha256")).alias("source_id"), "bytes"))
+    return union_all(parts)
+
+
+def _whole(found: DataFrame) -> DataFrame:
     digest = F.sha2("content", 256)
-    return files.select(
+    return found.select(
         "path",
         sniff(F.col("content")).alias("format"),
         digest.alias("sha256"),

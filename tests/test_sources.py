@@ -1,4 +1,5 @@
 import csv
+import hashlib
 import io
 import json
 import random
@@ -116,6 +117,39 @@ def test_catalog(spark, tmp_path):
     assert out["x"]["source_id"] == "SRC-" + out["x"]["sha256"][:12].upper()
 
 
+def test_catalog_of_large_files(spark, tmp_path):
+    """Files longer than a range are hashed and sniffed range by range, none as a whole."""
+    dice = random.Random(5)
+    contents = {
+        "text": ("é€😀\n" * 300).encode(), "cut": ("é€😀\n" * 300).encode() + b"\xe2\x82", "late": b" \r\n" * 500 + b"[1]",
+        "mark": "\ufeff {".encode() + b"1" * 1500, "nul": b"a" * 2300 + b"\0", "odd": dice.randbytes(3001),
+        "p.parquet": b"PAR1" + bytes(1096), "exact": b"a" * 3000, "over": b"a" * 1101, "names, {a}*[1]?%20": dice.randbytes(2100),
+        "book": b"PK\x03\x04" + b"z" * 990 + b"xl/workbook.xml" + b"q" * 50, "zip": b"PK\x03\x04" + b"z" * 2000, "small": b"a,b\n",
+    }
+    (tmp_path / "below").mkdir()
+    for i, (name, content) in enumerate(contents.items()):
+        (tmp_path / ("below" if i % 2 else "") / name).write_bytes(content)
+    whole = {r["path"].rsplit("/", 1)[1]: r for r in tables.catalog(spark, str(tmp_path)).collect()}
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)  # the reader of whole files refuses longer ones
+    try:
+        cut = {r["path"].rsplit("/", 1)[1]: r for r in tables.catalog(spark, str(tmp_path), 1000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert cut == whole and set(cut) == set(contents)
+    assert {n: r["sha256"] for n, r in cut.items()} == {n: hashlib.sha256(c).hexdigest() for n, c in contents.items()}
+    formats = {"late": "json", "mark": "json", "p.parquet": "parquet", "book": "xlsx", "text": "csv", "exact": "csv", "over": "csv", "small": "csv"}
+    assert {n: r["format"] for n, r in cut.items()} == {n: formats.get(n, "unsupported") for n in contents}
+
+
+def test_ranges_get_smaller(spark, tmp_path):
+    """The end of a file that is longer than a record of the reader; packed names are read whole."""
+    content = random.Random(6).randbytes(9_700_001)
+    (tmp_path / "a.bin").write_bytes(content)
+    (tmp_path / "a.gz").write_bytes(content[: 5 << 20])
+    got = {r["path"][-5:]: (r["sha256"], r["bytes"]) for r in tables.catalog(spark, str(tmp_path), 4 << 20).collect()}
+    assert got == {n: (hashlib.sha256(c).hexdigest(), len(c)) for n, c in (("a.bin", content), ("/a.gz", content[: 5 << 20]))}
+
+
 def test_digest_ignores_order(spark):
     df = spark.range(100).select("id", (F.col("id") * 2).alias("v"))
     a, b = tables.row_digest(df).first(), tables.row_digest(df.orderBy(F.desc("id"))).first()
